@@ -72,7 +72,7 @@ def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int)
     fits = last < n
     first, last = first[fits], last[fits]
     # sums of sentence hashes times powers of an odd number, divided by the power of the span's start
-    power = np.cumprod(np.concatenate([[1], np.full(n, FACTOR, np.uint64)]).astype(np.uint64))
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
     inverse = np.uint64(pow(FACTOR, -1, 1 << 64))
     back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(own) * power[:-1])])
