@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, packing, simhash, spans, topk, toxicity
+from . import lines, mixing, packing, rollups, simhash, spans, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.document_rollups(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -19,6 +19,18 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP3 = r"""
+WITH firsts AS (
+  SELECT source, lang, text FROM documents
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, source NULLS FIRST, lang NULLS FIRST) = 1),
+counts AS (
+  SELECT source, lang, 'words-v1' AS tokenizer, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM firsts
+  UNION ALL
+  SELECT source, lang, 'alnum-v1', coalesce(len(regexp_extract_all(text, '[0-9A-Za-z]+|[^\x00-\x7F]+')), 0) FROM firsts)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens
+FROM counts GROUP BY ALL
+"""
+
 OP7 = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -57,4 +69,4 @@ JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND d.h = s.h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bitsliced_topk": OP2, "op7_mix_sources": OP7}
+    return {"op2_bitsliced_topk": OP2, "op3_token_rollups": OP3, "op7_mix_sources": OP7}
