@@ -14,6 +14,10 @@ pieces; extra columns are ignored. Every id of every row is in exactly one piece
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,6 +37,8 @@ OPEN_WINDOWS = 32
 END_ID = 2
 MERGE_TASKS = 64
 CACHE_WORDS = 400_000
+#: Lower-case Latin letters that no normalisation changes, then punctuation.
+PLAIN = re.compile(r"([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,35 +49,78 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian bytes. The tokenizer drops white space and never merges across it, so each word is encoded once and kept."""
+    """Ids of texts as little-endian bytes.
+
+    The tokenizer drops white space and never merges across it, nor between a run of letters and
+    a run of punctuation. So a text is split at white space, and known words are looked up. A new
+    word of Latin letters, with or without punctuation after it, is looked up by its lower-case
+    letters; new letter runs are encoded many at a time. Other words are encoded one by one.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         # characters that Python splits at though the tokenizer keeps them: texts with these are encoded as a whole
         spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
-        self.odd = {c for c in spaces if self.tokenizer.encode(c, add_special_tokens=False).ids}
+        self.odd = re.compile("[" + "".join(c for c in spaces if self.whole(c)) + "]")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn_letters(self, runs: list[str]) -> None:
+        """Encode runs of letters as one text; each is one piece of it."""
+        for at in range(0, len(runs), 10_000):
+            part = runs[at : at + 10_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            self.letters.update(zip(part, (ids[i:j] for i, j in zip(ends, ends[1:]))))
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.letters) > CACHE_WORDS:
+            self.letters.clear()
+        if len(self.marks) > CACHE_WORDS // 10:
+            self.marks = {"": b""}
+        split = []
+        for word in words:
+            if m := PLAIN.fullmatch(low := word.lower()):
+                split.append((word, m[1], m[2]))
+            else:
+                self.words[word] = self.whole(word)
+        self.learn_letters(list({x for _, x, _ in split}.difference(self.letters)))
+        for mark in {x for _, _, x in split}.difference(self.marks):
+            self.marks[mark] = self.whole(mark)
+        letters, marks = self.letters, self.marks
+        self.words.update((word, letters[x] + marks[y]) for word, x, y in split)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and not self.odd.isdisjoint(t) else (t or "").split() for t in texts]
+        split = [None if t and self.odd.search(t) else (t or "").split() for t in texts]
+        fresh = set().union(*(w for w in split if w))
+        if len(self.words) > CACHE_WORDS:
+            self.learn(fresh)
+        else:
+            self.learn(fresh.difference(self.words))
         known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = list(set().union(*(w for w in split if w)).difference(known))
-        for at in range(0, len(fresh), 8192):
-            part = fresh[at : at + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
         return [self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
 
 
+def encoder_for(vocabulary: str) -> WordEncoder:
+    """The encoder of this Python process, which keeps what it learned from one task to the next."""
+    kept = sys.modules.setdefault("_lexigraph_encoders", types.ModuleType("_lexigraph_encoders")).__dict__
+    if vocabulary not in kept:
+        kept[vocabulary] = WordEncoder(vocabulary)
+    return kept[vocabulary]
+
+
 class Packer:
     """The open windows of one task. Emits (sequence, offset, piece) for full windows; a piece is (doc_id, start, length, doc_tokens, ids)."""
 
@@ -168,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, o
 
         task = TaskContext.get().partitionId()
         own = path if Path(path).exists() else default_vocabulary()
-        encoder, packer, done = WordEncoder(own), Packer(window, open_windows), 0
+        encoder, packer, done = encoder_for(own), Packer(window, open_windows), 0
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
         for batch in batches:
