@@ -128,6 +128,6 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done = [(t, 0) if c is None or t is None else keep(t, [(r["first"], r["last"]) for r in c]) for t, c in zip(batch["text"], batch["covered"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [t for t, _ in done], "n_removed": np.array([n for _, n in done], np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": pd.Series([t for t, _ in done], dtype=object), "n_removed": np.array([n for _, n in done], np.int64)})
 
     return met.mapInPandas(run, "doc_id long, text string, n_removed long")
