@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, lines, mixing, packing, rollups, simhash, spans, topk, toxicity
+from . import extract, imatch, lines, mixing, packing, rollups, simhash, spans, topk, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.document_rollups(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
