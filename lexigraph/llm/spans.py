@@ -102,6 +102,7 @@ def repeats_of(spans: DataFrame) -> DataFrame:
     """(doc_id, key, covered: ranges of sentences) of documents with a span that is not the first of its hash."""
     at = F.struct("doc_id", "key", "first")
     firsts = spans.groupBy("hash").agg(F.min(at).alias("home"), F.max(at).alias("other")).where("home <> other").select("hash", "home")
+    firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot hash in the join
     later = spans.join(firsts, "hash").where(at > F.col("home"))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
