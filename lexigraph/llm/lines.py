@@ -123,6 +123,7 @@ def overlaps(texts: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES) -
     lines = texts.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= MIN_LINE_WORDS))).alias("x"))
     lines = lines.select("doc_id", F.col("x.hashes").alias("line"))
     firsts = lines.groupBy("line").agg(F.count("*").alias("texts"), F.min("doc_id").alias("early")).where("texts > 1")
+    firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot line in the join
     shared = lines.join(firsts, "line").where("doc_id > early")
     pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(F.count("*").alias("n"), F.min("texts").alias("rarest"))
     return pairs.where((F.col("rarest") <= rare) | (F.col("n") >= many)).select("early", "late")

@@ -161,6 +161,7 @@ def link(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         low = member.groupBy("root").agg(F.min("first_id").alias("low_id"))
         linked = member.join(low, "root").select("fp", "low_id")
         nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("low_id", "first_id").alias("first_id"))
+        nodes = stage(nodes, "linked")  # read from a table, so that Spark may split a hot fingerprint in the join
     return prints.join(nodes.withColumnRenamed("first_id", "component_id"), "fp", "left")
 
 
