@@ -1,11 +1,346 @@
-"""Registered queries of the search engine and their SQL oracles."""
+"""Registered queries of the search engine; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lexigraph.functions import codec, web
+from lexigraph.functions.text import kept_words_column, with_stem, words_column
+from lexigraph.operators import boolean, crawl, fuzzy, graph, ranking
+from lexigraph.operators import index as indexes
+from lexigraph.plans.oracles import BATCH, BOOLEAN, CLOSED, DUPLICATE, FUZZY, MULTI, PHRASE2, PHRASE3, SINGLE, SPELL, SUGGEST, oracle_sql
+from lexigraph.sources import files
+from lexigraph.sources.tables import stage
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
+Query = Callable[[SparkSession, str], DataFrame]
+PART_IDS = 1_000_000_000
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the engine's table: doc_id, path, title, body."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("lang").alias("title"), F.col("text").alias("body"))
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), web.without_fragment(F.col("url")).alias("path"), web.page_title(html, F.col("url")).alias("title"), web.page_text(html).alias("body")
+    )
+
+
+_BUILT: dict[tuple[str, str], indexes.Index] = {}
+
+
+def stored(index: indexes.Index) -> indexes.Index:
+    """The index as tables in the shared folder; postings are sorted by term, so that a term's are few row groups."""
+    ordered = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return indexes.Index(stage(ordered, "postings"), stage(index.doc_stats, "doc-stats"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The documents' index, built once a session, as a search engine would keep it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = stored(indexes.build(documents(spark, sf_dir)))
+    return _BUILT[key]
+
+
+def listed(array: str, name: str) -> Column:
+    return F.array_join(F.col(array).cast("array<string>"), " ").alias(name)
+
+
+def scored(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, "doc_id", F.round("score", 6).alias("score"), listed("matched_terms", "matched_terms"))
+
+
+def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and parts; a supplier links to the next one of an order and to the parts it delivers, which link nowhere."""
+    lines = read(spark, sf_dir, "lineitem")
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    next_ = lines.select(F.col("l_suppkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
+    parts = lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART_IDS).alias("dst"))
+    nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).unionAll(read(spark, sf_dir, "part").select(F.col("p_partkey") + PART_IDS))
+    return nodes, next_.unionAll(parts).distinct()
+
+
+def tokenize_raw(spark, d):
+    return documents(spark, d).select("doc_id", F.posexplode(words_column(F.col("body"))).alias("pos", "word"))
+
+
+def stopword_filtered(spark, d):
+    return documents(spark, d).select(F.explode(kept_words_column(F.col("body"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def token_positions(spark, d):
+    return indexes.tokens(documents(spark, d)).select("doc_id", "pos", "term")
+
+
+def stem_terms(spark, d):
+    words = documents(spark, d).select(F.explode(kept_words_column(F.col("body"))).alias("word")).distinct()
+    return with_stem(words).select("word", "term")
+
+
+def postings(spark, d):
+    return indexes.build(documents(spark, d)).postings.select("term", "doc_id", "tf", listed("positions", "positions"))
+
+
+def term_df(spark, d):
+    return index(spark, d).terms()
+
+
+def doc_lengths(spark, d):
+    return index(spark, d).doc_stats
+
+
+def index_stats(spark, d):
+    return indexes.stats(index(spark, d)).withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+
+
+def bm25_single(spark, d):
+    return scored(ranking.search(index(spark, d), SINGLE, 10))
+
+
+def bm25_multi(spark, d):
+    return scored(ranking.search(index(spark, d), MULTI, 20))
+
+
+def bm25_dup_term(spark, d):
+    return scored(ranking.search(index(spark, d), DUPLICATE, 10))
+
+
+def bm25_batch(spark, d):
+    return scored(ranking.search_batch(index(spark, d), BATCH, 10), "query_id", "rank")
+
+
+def bm25_by_lang(spark, d):
+    lang = read(spark, d, "documents").select("doc_id", "lang")
+    rows = ranking.bm25_terms(index(spark, d), [ranking.tokenize_text(MULTI)]).join(lang, "doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*ranking.best_first()))
+    return scored(rows.withColumn("rank", rank).where("rank <= 5"), "lang", "rank")
+
+
+def all_terms(spark, d):
+    return ranking.all_terms(index(spark, d), ranking.tokenize_text(MULTI))
+
+
+def phrase2(spark, d):
+    return ranking.phrase_documents(index(spark, d), ranking.tokenize_text(PHRASE2))
+
+
+def phrase3(spark, d):
+    return ranking.phrase_documents(index(spark, d), ranking.tokenize_text(PHRASE3))
+
+
+def phrase_ranked(spark, d):
+    return scored(ranking.phrase_search(index(spark, d), PHRASE2, 10))
+
+
+def _boolean(name: str) -> Query:
+    return lambda spark, d: boolean.matching(index(spark, d), boolean.parse(BOOLEAN[name]))
+
+
+def bool_sets(spark, d):
+    return boolean.matching_by_sets(index(spark, d), boolean.parse(BOOLEAN["bool_nested"]))
+
+
+def bool_ranked(spark, d):
+    return scored(boolean.boolean_search(index(spark, d), BOOLEAN["bool_nested"], 20).results)
+
+
+def levenshtein_terms(spark, d):
+    terms = index(spark, d).terms().select("term")
+    words = F.broadcast(spark.createDataFrame([(w,) for w in FUZZY], "word string"))
+    dist = F.levenshtein("word", "term", 2)
+    return terms.join(words, (F.abs(F.length("word") - F.length("term")) <= 2) & (dist >= 0)).select("word", "term", dist.alias("dist"))
+
+
+def fuzzy_expand(spark, d):
+    return fuzzy.fuzzy_terms(index(spark, d).terms(), FUZZY)
+
+
+def fuzzy_search(spark, d):
+    return scored(fuzzy.fuzzy_search(index(spark, d), " ".join(FUZZY), 20).results)
+
+
+def spell_suggest(spark, d):
+    return fuzzy.suggest(index(spark, d).terms(), SUGGEST, 2, 5)
+
+
+def spell_correct(spark, d):
+    terms = index(spark, d).terms().persist()
+    try:
+        rows = [(q, fuzzy.correct_query(terms, q)) for q in SPELL]
+    finally:
+        terms.unpersist()
+    return spark.createDataFrame(rows, "query string, corrected string")
+
+
+def pagerank(spark, d):
+    return graph.pagerank(*supplier_graph(spark, d)).select("doc_id", F.round("pr", 9).alias("pr"))
+
+
+def pagerank_summary(spark, d):
+    return graph.summary(graph.pagerank(*supplier_graph(spark, d))).select(F.round("max_pr", 9).alias("max_pr"), F.round("avg_pr", 9).alias("avg_pr"))
+
+
+def out_degree(spark, d):
+    return graph.out_degree(*supplier_graph(spark, d))
+
+
+def in_links(spark, d):
+    return graph.in_links(*supplier_graph(spark, d)).groupBy("dst").agg(F.count("*").alias("in_degree"))
+
+
+def dangling(spark, d):
+    return out_degree(spark, d).where("out_degree = 0").select("id")
+
+
+def rerank_title_path(spark, d):
+    docs = page_documents(spark, d)
+    found = ranking.search(indexes.build(docs), MULTI, 50)
+    return scored(ranking.rerank(found, docs, MULTI, None, k=20))
+
+
+def rerank_pagerank(spark, d):
+    docs = documents(spark, d)
+    found = ranking.search(index(spark, d), MULTI, 50)
+    return scored(ranking.rerank(found, docs, MULTI, graph.pagerank(*supplier_graph(spark, d)), k=20))
+
+
+def html_title(spark, d):
+    return page_documents(spark, d).select(F.col("doc_id").alias("page_id"), "title")
+
+
+def html_text(spark, d):
+    return page_documents(spark, d).select(F.col("doc_id").alias("page_id"), F.col("body").alias("text"))
+
+
+def _links(spark, d):
+    pages = read(spark, d, "pages")
+    return pages.select("page_id", "url", F.posexplode(web.page_links(F.col("html"))).alias("place", "href"))
+
+
+def html_links(spark, d):
+    return _links(spark, d).select("page_id", "place", "href", web.link_target(F.col("url"), web.decode_basic(F.col("href"))).alias("target"))
+
+
+def link_resolve(spark, d):
+    links = _links(spark, d).select(F.col("page_id").alias("src"), web.link_target(F.col("url"), web.decode_basic(F.col("href"))).alias("url"))
+    known = read(spark, d, "pages").select(web.without_fragment(F.col("url")).alias("url"), F.col("page_id").alias("doc_id"))
+    # pages also link to the start page of their site, so that there are links to resolve
+    home = read(spark, d, "pages").select(F.col("page_id").alias("src"), F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("url"))
+    sites = read(spark, d, "pages").groupBy(F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("url")).agg(F.min("page_id").alias("doc_id"))
+    return graph.resolve_links(links.unionAll(home), known.unionAll(sites))
+
+
+def url_normalize(spark, d):
+    return read(spark, d, "pages").select("page_id", web.without_fragment(F.col("url")).alias("url"))
+
+
+def domain_scope(spark, d):
+    pages = read(spark, d, "pages").withColumn("host", web.url_host(F.col("url")))
+    seeds = pages.where(F.col("host").startswith("blog.")).select("host").distinct()
+    return pages.join(seeds, "host", "left_semi").select("page_id", "host")
+
+
+def bfs_depth(spark, d):
+    _, edges = supplier_graph(spark, d)
+    return crawl.bfs_depth(edges, [1, 2], 3)
+
+
+def visited_anti(spark, d):
+    _, edges = supplier_graph(spark, d)
+    seeds = edges.where("src IN (1, 2)").select(F.col("dst").alias("id")).distinct()
+    after = edges.join(seeds, edges["src"] == seeds["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
+    return after.join(seeds, "id", "left_anti")
+
+
+def robots_allowed(spark, d):
+    closed = F.array(*[F.lit(c) for c in CLOSED])
+    path = web.url_path(F.col("url"))
+    return read(spark, d, "pages").select("page_id", path.alias("path"), web.is_allowed(path, closed).alias("allowed"))
+
+
+def vbyte_len(spark, d):
+    return index(spark, d).postings.select("term", "doc_id", codec.list_length(F.col("positions")).cast("long").alias("bytes"))
+
+
+def delta_gaps(spark, d):
+    return codec.id_gaps(index(spark, d).postings)
+
+
+def compression_stats(spark, d):
+    out = codec.compression_stats(index(spark, d).postings)
+    return out.withColumns({c: F.round(c, 6) for c in ("ratio", "savings_percent")})
+
+
+def snippets(spark, d):
+    docs = documents(spark, d)
+    found = ranking.search(index(spark, d), MULTI, 10)
+    rows = docs.join(F.broadcast(found), "doc_id")  # ten rows
+    return rows.select("doc_id", ranking.snippet(F.col("body"), F.col("matched_terms"), 8).alias("snippet"))
+
+
+def format_bytes(spark, d):
+    size = F.octet_length("text").cast("long")
+    sizes = read(spark, d, "documents").groupBy("source").agg(F.sum(size).alias("bytes")).unionAll(read(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id"), size))
+    return sizes.select("source", "bytes", web.format_bytes_column(F.col("bytes")).alias("size"))
+
+
+def ext_filter(spark, d):
+    path = web.url_path(F.col("url"))
+    return read(spark, d, "pages").select("page_id", files.extension(path).alias("extension"), files.is_indexable(path).alias("indexable"))
+
+
+def corpus_merge(spark, d):
+    """Conversations appended to documents, with ids after theirs."""
+    old = documents(spark, d)
+    base = old.agg(F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).first()[0]
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn") + base).alias("doc_id"), F.col("text").alias("body"))
+    return indexes.merge(indexes.build(old), indexes.build(turns)).terms()
+
+
+def incremental_skip(spark, d):
+    """Pages that a corpus of the sites' first pages does not have yet."""
+    pages = read(spark, d, "pages").select("page_id", web.without_fragment(F.col("url")).alias("url"))
+    site = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
+    first = F.row_number().over(Window.partitionBy(site).orderBy("page_id"))
+    known = pages.withColumn("n", first).where("n = 1").select("url")
+    return pages.join(known, "url", "left_anti").select("page_id", "url")
+
+
+def crawl_archive(spark, d):
+    """A crawl of the pages table, whose links lead to pages by position: from the first page of each site outward."""
+    pages = read(spark, d, "pages").select(web.without_fragment(F.col("url")).alias("url"), "page_id", "html")
+    place = F.row_number().over(Window.partitionBy(web.url_host(F.col("url"))).orderBy("page_id"))
+    onward = F.lead("url").over(Window.partitionBy(web.url_host(F.col("url"))).orderBy("page_id"))
+    linked = pages.withColumn("place", place).withColumn("onward", onward)
+    linked = linked.withColumn("html", F.concat(F.col("html"), F.coalesce(F.concat(F.lit('<a href="'), F.replace("onward", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')), F.lit(""))))
+    seeds = [r["url"] for r in linked.where("place = 1").orderBy("page_id").limit(20).select("url").collect()]
+    result = crawl.crawl(spark, seeds, crawl.table_fetcher(linked), crawl.CrawlConfig(max_pages=50, max_depth=3))
+    return result.documents.select("doc_id", "path", "title", F.length("body").alias("n_chars"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        tokenize_raw, stopword_filtered, token_positions, stem_terms, postings, term_df, doc_lengths, index_stats,
+        bm25_single, bm25_multi, bm25_dup_term, bm25_batch, bm25_by_lang, all_terms, phrase2, phrase3, phrase_ranked,
+        bool_sets, bool_ranked, levenshtein_terms, fuzzy_expand, fuzzy_search, spell_suggest, spell_correct,
+        pagerank, pagerank_summary, out_degree, in_links, dangling, rerank_title_path, rerank_pagerank,
+        html_title, html_text, html_links, link_resolve, url_normalize, domain_scope, bfs_depth, visited_anti, robots_allowed,
+        vbyte_len, delta_gaps, compression_stats, snippets, format_bytes, ext_filter, corpus_merge, incremental_skip, crawl_archive,
+    )
+}
+
+
+def queries() -> dict[str, Query]:
+    return {**QUERIES, **{name: _boolean(name) for name in BOOLEAN}}
