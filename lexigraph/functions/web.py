@@ -175,7 +175,7 @@ def format_bytes(n: int) -> str:
 
 
 def format_bytes_column(n: Column) -> Column:
-    scaled = [F.format_string(f"%.1f {u}", n / F.lit(float(s))) for u, s in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30))]
+    scaled = [F.format_string(f"%.1f {u}", F.bround(n / F.lit(float(s)), 1)) for u, s in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30))]
     return F.when(n < 1 << 10, F.format_string("%d B", n)).when(n < 1 << 20, scaled[0]).when(n < 1 << 30, scaled[1]).otherwise(scaled[2])
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexigraph.sources.tables import stage
 
 DAMPING = 0.85
 ITERATIONS = 30
-#: After so many iterations the ranks are written to the shared folder, which bounds what a lost executor costs.
-WRITE_EVERY = 10
 
 
 def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,29 +33,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
 
     A node gives pr / out_degree along each of its links; what it gives to itself is lost. Nodes
     without links give to all. The links, joined with out-degrees, stay cached in partitions by
-    source, so an iteration is one join without a shuffle of links and one aggregation of partial
-    sums. The one number that goes to the driver is the rank of nodes without links.
+    source, so an iteration moves ranks and partial sums but no links. Each iteration is one job:
+    it writes its ranks to the shared folder, which cuts lineage, and its write observes the one
+    number that the driver needs, the rank of nodes without links.
     """
+    spark = nodes.sparkSession
     degrees = out_degree(nodes, edges)
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = in_links(nodes, edges).join(degrees, F.col("src") == F.col("id")).select("src", "dst", "out_degree").repartition(parts, "src").persist()
     degrees = degrees.repartition(parts, "id").persist()
     try:
-        n = degrees.count()
+        n, without = degrees.agg(F.count("*"), F.count_if(F.col("out_degree") == 0)).first()
         if n == 0:
-            return nodes.sparkSession.createDataFrame([], "doc_id bigint, pr double")
-        state = degrees.select("id", "out_degree", F.lit(1.0 / n).alias("pr"))
-        for i in range(iterations):
-            state = state.persist()
-            loose = state.where("out_degree = 0").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).first()[0]
-            given = links.join(state.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") / F.col("out_degree")).alias("got"))
+            return spark.createDataFrame([], "doc_id bigint, pr double")
+        ranks, loose = degrees.select("id", F.lit(1.0 / n).alias("pr")), without / n
+        for _ in range(iterations):
+            given = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") / F.col("out_degree")).alias("got"))
             fixed = (1 - damping) / n + damping * loose / n
             after = degrees.join(given, "id", "left").select("id", "out_degree", (F.lit(fixed) + damping * F.coalesce("got", F.lit(0.0))).alias("pr"))
-            if i % WRITE_EVERY == WRITE_EVERY - 1 or i == iterations - 1:
-                after = stage(after, "ranks")
-                state.unpersist()
-            state = after
-        return state.select(F.col("id").alias("doc_id"), "pr")
+            seen = Observation()
+            after = after.observe(seen, F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pr"))), F.lit(0.0)).alias("loose"))
+            ranks = stage(after.select("id", "pr"), "ranks")
+            loose = seen.get["loose"]
+        return ranks.select(F.col("id").alias("doc_id"), "pr")
     finally:
         links.unpersist()
         degrees.unpersist()

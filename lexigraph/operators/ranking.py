@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions.text import kept_words_column, tokenize_text, with_stem
 from lexigraph.operators.index import Index
+from lexigraph.sources.tables import stage
 
 RESULTS = "query_id int, doc_id bigint, score double, matched_terms array<string>"
 #: A query list up to this many terms is broadcast; the bound is checked when the list is made.
@@ -131,7 +132,8 @@ def rerank(results: DataFrame, documents: DataFrame, query: str, pageranks: Data
     terms = tokenize_text(query)
     if not terms:
         return results if k is None else results.limit(k)
-    own = documents.join(results.select("doc_id"), "doc_id", "left_semi").select("doc_id", "title", "path")
+    results = stage(results, "results")  # the few best rows, which are used several times
+    own = stage(documents.join(results.select("doc_id"), "doc_id", "left_semi").select("doc_id", "title", "path"), "results")
     rows = results.join(title_boost(own, terms), "doc_id", "left")
     score = F.col("score") * F.coalesce("boost", F.lit(1.0))
     if pageranks is not None:

@@ -205,7 +205,7 @@ def dangling(spark, d):
 
 def rerank_title_path(spark, d):
     docs = page_documents(spark, d)
-    found = ranking.search(indexes.build(docs), MULTI, 50)
+    found = ranking.search(stored(indexes.build(docs)), MULTI, 50)
     return scored(ranking.rerank(found, docs, MULTI, None, k=20))
 
 

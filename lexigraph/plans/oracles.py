@@ -245,20 +245,20 @@ FROM centred"""
 
 def _fuzzy_search() -> str:
     """Terms of the expansion, each as often as it is asked for. Stemming an expanded term again is a row of the second dictionary."""
-    own = ", ".join(f"('{t}', {i})" for i, t in enumerate(FUZZY))
-    again = words("SELECT 0 AS doc_id, string_agg(term, ' ' ORDER BY at) AS body FROM listed")
+    own = ", ".join(f"('{t}', '{stem_word(t)}', {i})" for i, t in enumerate(FUZZY))
+    again = words("SELECT 0 AS doc_id, string_agg(term, ' ' ORDER BY nr) AS body FROM listed")
     again = again[: again.index("postings AS")].rstrip().rstrip(",")
     names = ["docs", "raw", "kept", "spots", *(f"s{i}" for i in range(10)), "dictionary", "tokens"]
     import re
 
     again = re.sub(r"\b(" + "|".join(names) + r")\b(?= AS \(|\)| JOIN| USING|,)", r"x_\1", again)
     again = re.sub(r"(FROM|JOIN) (" + "|".join(names) + r")\b", r"\1 x_\2", again)
-    return f"""WITH {WORDS}, {_near(tuple(dict.fromkeys(FUZZY)), True).replace('words(word)', 'words(word)')},
-own(word, place) AS (VALUES {own}),
-mentions AS (SELECT word AS term, place, 0 AS dist FROM own
+    return f"""WITH {WORDS}, {_near(tuple(dict.fromkeys(stem_word(t) for t in FUZZY)), True)},
+own(original, word, place) AS (VALUES {own}),
+mentions AS (SELECT original AS term, place, 0 AS dist FROM own
   UNION ALL SELECT n.term, place, dist FROM near n JOIN own USING (word) WHERE dist BETWEEN 1 AND 2),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY place, dist, term) AS nth FROM mentions),
-listed AS (SELECT term, place * 1000000 + row_number() OVER (PARTITION BY place ORDER BY dist, term) AS at FROM firsts WHERE nth = 1 OR dist = 0),
+listed AS (SELECT term, place * 1000000 + row_number() OVER (PARTITION BY place ORDER BY dist, term) AS nr FROM firsts WHERE nth = 1 OR dist = 0),
 {again},
 asked AS (SELECT 0 AS query_id, term, count(*) AS weight, min(pos) AS qpos FROM x_tokens GROUP BY term),
 found AS (
