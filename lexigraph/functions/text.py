@@ -128,16 +128,6 @@ def _cvc(word: Column) -> Column:
     return word.rlike("[^aeiou][aeiou][^aeiouwxy]$")
 
 
-def _held(step: Column) -> Column:
-    """A step's result, as it is: the number of a partition is never negative.
-
-    The optimizer neither copies filters through an expression that it takes for nondeterministic
-    nor infers constraints from it. Both would put each step's expression into the next one's many
-    places.
-    """
-    return F.when(F.spark_partition_id() >= 0, step)
-
-
 def with_stem(frame: DataFrame, word: str = "word", out: str = "term") -> DataFrame:
     """Add the stem of a column of lower-case words.
 
@@ -145,19 +135,18 @@ def with_stem(frame: DataFrame, word: str = "word", out: str = "term") -> DataFr
     expression takes the place of trying suffixes one by one, as its lazy prefix finds the longest
     suffix, which is the first of the ordered rules.
     """
-    step = _held
     w = F.col("_w")
     frame = frame.withColumn(
         "_w",
-        step(F.when(F.octet_length(word) <= 2, F.col(word)).when(F.col(word).endswith("sses") | F.col(word).endswith("ies"), _less(F.col(word), 2))
-        .when(F.col(word).endswith("s") & ~F.col(word).endswith("ss"), _less(F.col(word), 1)).otherwise(F.col(word))),
+        F.when(F.octet_length(word) <= 2, F.col(word)).when(F.col(word).endswith("sses") | F.col(word).endswith("ies"), _less(F.col(word), 2))
+        .when(F.col(word).endswith("s") & ~F.col(word).endswith("ss"), _less(F.col(word), 1)).otherwise(F.col(word)),
     )
     cut = (
         F.when(w.endswith("eed"), F.lit(None).cast("string"))
         .when(w.endswith("ed") & _has_vowel(_less(w, 2)), _less(w, 2))
         .when(w.endswith("ing") & _has_vowel(_less(w, 3)), _less(w, 3))
     )
-    frame = frame.withColumn("_cut", step(cut))
+    frame = frame.withColumn("_cut", cut)
     c = F.col("_cut")
     mended = (
         F.when(c.rlike("(at|bl|iz)$"), F.concat(c, F.lit("e")))
@@ -166,18 +155,20 @@ def with_stem(frame: DataFrame, word: str = "word", out: str = "term") -> DataFr
         .otherwise(c)
     )
     eed = F.when(w.endswith("eed") & (_m(_less(w, 3)) > 0), _less(w, 1))
-    frame = frame.withColumn("_w", step(F.coalesce(F.when(c.isNotNull(), mended), eed, w)))
-    frame = frame.withColumn("_w", step(F.when(w.endswith("y") & _has_vowel(_less(w, 1)), F.concat(_less(w, 1), F.lit("i"))).otherwise(w)))
+    frame = frame.withColumn("_w", F.coalesce(F.when(c.isNotNull(), mended), eed, w))
+    frame = frame.withColumn("_w", F.when(w.endswith("y") & _has_vowel(_less(w, 1)), F.concat(_less(w, 1), F.lit("i"))).otherwise(w))
     s = F.col("_s")
     head = F.substring(w, F.lit(1), F.length(w) - F.length(s))
     for rules in (STEP2, STEP3):
-        frame = frame.withColumn("_s", step(F.regexp_extract(w, f"^.*?({'|'.join(rules)})$", 1)))
+        frame = frame.withColumn("_s", F.regexp_extract(w, f"^.*?({'|'.join(rules)})$", 1))
         swap = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
-        frame = frame.withColumn("_w", step(F.when((s != "") & (_m(head) > 0), F.concat(head, F.element_at(swap, s))).otherwise(w)))
-    frame = frame.withColumn("_s", step(F.regexp_extract(w, f"^.*?({'|'.join(STEP4)})$", 1)))
-    frame = frame.withColumn("_w", step(F.when((s != "") & (_m(head) > 1) & ((s != "ion") | head.rlike("[st]$")), head).otherwise(w)))
+        frame = frame.withColumn("_w", F.when((s != "") & (_m(head) > 0), F.concat(head, F.element_at(swap, s))).otherwise(w))
+    frame = frame.withColumn("_s", F.regexp_extract(w, f"^.*?({'|'.join(STEP4)})$", 1))
+    frame = frame.withColumn("_w", F.when((s != "") & (_m(head) > 1) & ((s != "ion") | head.rlike("[st]$")), head).otherwise(w))
     last = _less(w, 1)
-    frame = frame.withColumn("_w", step(F.when(w.endswith("e") & ((_m(last) > 1) | ((_m(last) == 1) & ~_cvc(last))), last).otherwise(w)))
-    frame = frame.withColumn("_w", step(F.when(w.endswith("ll") & (_m(last) > 1), last).otherwise(w)))
+    frame = frame.withColumn("_w", F.when(w.endswith("e") & ((_m(last) > 1) | ((_m(last) == 1) & ~_cvc(last))), last).otherwise(w))
+    frame = frame.withColumn("_w", F.when(w.endswith("ll") & (_m(last) > 1), last).otherwise(w))
     stem = F.when(F.octet_length(word) <= 2, F.col(word)).otherwise(w)
-    return frame.withColumn(out, step(stem)).drop("_w", "_cut", "_s")
+    # Exploding a single value ends the optimizer's view of a stem's origin. It would else copy filters
+    # and join keys on stems down through the steps, each of which has the one before in many places.
+    return frame.withColumn(out, F.explode(F.array(stem))).drop("_w", "_cut", "_s")
