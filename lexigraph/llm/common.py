@@ -61,7 +61,13 @@ def code_points(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 
 
+#: Rows that a Python worker gets at once, unless the session says otherwise; texts can be long.
+BATCH_ROWS = 1_000
+
+
 def need(frame: DataFrame, *names: str) -> None:
-    """Fail early, and plainly, when a column is missing."""
+    """Fail early, and plainly, when a column is missing. Batches for Python are kept small."""
+    if frame.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if missing := [n for n in names if n not in frame.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")

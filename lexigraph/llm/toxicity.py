@@ -44,7 +44,7 @@ BEGINNINGS = (4, 5, 6)
 MIN_TOXIC_ROWS = 3
 MIN_LOG_ODDS = 2.0
 PREDICT_AT = 0.7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 TOKEN = re.compile(r"\w+")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 COUNTS = ("hits", "density", "shouting", "exclaims", "repeats")
@@ -269,5 +269,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with the same columns."""
+    need(docs, "doc_id", "text")
     rows = score(docs.withColumnsRenamed({"score": "_score"}), fit(docs, labels))
     return rows.where(F.col("score") < PREDICT_AT).drop("score").withColumnsRenamed({"_score": "score"}).select(docs.columns)
