@@ -65,7 +65,7 @@ def counters(text: str | None, width: int) -> tuple[int, np.ndarray]:
         return 0, total.astype(np.float32)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
-        wide = np.stack([_mix(part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(1, COUNTERS // 64 + 1)], 1)
+        wide = np.stack([_mix(part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, COUNTERS // 64 + 1)], 1)
         total += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     centred = (2 * total - len(hashes)).astype(np.float32)
     return len(hashes), centred / max(1e-9, float(np.linalg.norm(centred)))
