@@ -21,6 +21,7 @@ import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -36,9 +37,9 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 END_ID = 2
 MERGE_TASKS = 64
-CACHE_WORDS = 300_000
-#: Lower-case Latin letters that no normalisation changes, then punctuation.
-PLAIN = re.compile(r"([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+CACHE_WORDS = 500_000
+#: Words by line: lower-case Latin letters that no normalisation changes, then punctuation; two empty groups for other words.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -90,17 +91,17 @@ class WordEncoder:
             self.letters.clear()
         if len(self.marks) > CACHE_WORDS // 10:
             self.marks = {"": b""}
-        split = []
-        for word in words:
-            if m := PLAIN.fullmatch(low := word.lower()):
-                split.append((word, m[1], m[2]))
-            else:
-                self.words[word] = self.whole(word)
-        self.learn_letters(list({x for _, x, _ in split}.difference(self.letters)))
-        for mark in {x for _, _, x in split}.difference(self.marks):
+        own = list(words)
+        parts = PLAIN.findall("\n".join(own).lower()) if own else []  # no word has a line end
+        plain = [i for i, (run, _) in enumerate(parts) if run]
+        for i in set(range(len(own))).difference(plain):
+            self.words[own[i]] = self.whole(own[i])
+        runs, marks = [parts[i][0] for i in plain], [parts[i][1] for i in plain]
+        self.learn_letters(list(set(runs).difference(self.letters)))
+        for mark in set(marks).difference(self.marks):
             self.marks[mark] = self.whole(mark)
-        letters, marks = self.letters, self.marks
-        self.words.update((word, letters[x] + marks[y]) for word, x, y in split)
+        ids = map(add, map(self.letters.__getitem__, runs), map(self.marks.__getitem__, marks))
+        self.words.update(zip(map(own.__getitem__, plain), ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and self.odd.search(t) else (t or "").split() for t in texts]
