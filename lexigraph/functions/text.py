@@ -160,10 +160,10 @@ def with_stem(frame: DataFrame, word: str = "word", out: str = "term") -> DataFr
     s = F.col("_s")
     head = F.substring(w, F.lit(1), F.length(w) - F.length(s))
     for rules in (STEP2, STEP3):
-        frame = frame.withColumn("_s", F.regexp_extract(w, f"^.*?({'|'.join(rules)})$", 1))
+        frame = frame.withColumn("_s", F.regexp_extract(w, f"({'|'.join(rules)})$", 1))
         swap = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
         frame = frame.withColumn("_w", F.when((s != "") & (_m(head) > 0), F.concat(head, F.element_at(swap, s))).otherwise(w))
-    frame = frame.withColumn("_s", F.regexp_extract(w, f"^.*?({'|'.join(STEP4)})$", 1))
+    frame = frame.withColumn("_s", F.regexp_extract(w, f"({'|'.join(STEP4)})$", 1))
     frame = frame.withColumn("_w", F.when((s != "") & (_m(head) > 1) & ((s != "ion") | head.rlike("[st]$")), head).otherwise(w))
     last = _less(w, 1)
     frame = frame.withColumn("_w", F.when(w.endswith("e") & ((_m(last) > 1) | ((_m(last) == 1) & ~_cvc(last))), last).otherwise(w))
