@@ -25,8 +25,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as the engine's table: doc_id, path, title, body."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("lang").alias("title"), F.col("text").alias("body"))
+    """documents as the engine's table: doc_id, path, title, body.
+
+    A table of fewer files than there are cores is dealt to all of them first, as a small file may
+    be a single row group, which one task would tokenize; larger tables stay where they are.
+    """
+    rows, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        rows = rows.repartition(cores)
+    return rows.select("doc_id", F.col("source").alias("path"), F.col("lang").alias("title"), F.col("text").alias("body"))
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
