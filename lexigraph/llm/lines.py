@@ -4,8 +4,9 @@
 2. A line of ``MIN_LINE_WORDS`` words or more that several texts share pairs each later text with
    the first that has the line. So a line in n texts gives n - 1 pairs, not n(n-1)/2, and every
    shared line of a text leads to a pair. A pair is an overlap if it shares a rare line, found
-   in ``RARE_TEXTS`` texts or fewer, or ``MANY_LINES`` lines of any frequency: common boilerplate
-   alone is no overlap, and a large family of near copies is one, however often its lines occur.
+   in ``RARE_TEXTS`` texts or fewer, or lines of any frequency with as many words together as
+   ``MANY_LINES`` lines have at least: a short line of boilerplate alone is no overlap; a long
+   paragraph, or a large family of near copies, is one, however often its lines occur.
 3. Each overlapping pair is aligned by patience diff over line hashes: lines that are unique on
    both sides, in the longest increasing order, anchor the alignment; the gaps are aligned alike.
 4. Runs of aligned lines that have ``MIN_BLOCK_WORDS`` words or more are deleted from the later
@@ -121,12 +122,12 @@ def line_table(docs: DataFrame) -> DataFrame:
 def overlaps(texts: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES) -> DataFrame:
     """(early, late) of overlapping texts (doc_id, hashes, words), by their first holders."""
     lines = texts.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= MIN_LINE_WORDS))).alias("x"))
-    lines = lines.select("doc_id", F.col("x.hashes").alias("line"))
+    lines = lines.select("doc_id", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"))
     firsts = lines.groupBy("line").agg(F.count("*").alias("texts"), F.min("doc_id").alias("early")).where("texts > 1")
     firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot line in the join
     shared = lines.join(firsts, "line").where("doc_id > early")
-    pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(F.count("*").alias("n"), F.min("texts").alias("rarest"))
-    return pairs.where((F.col("rarest") <= rare) | (F.col("n") >= many)).select("early", "late")
+    pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(F.sum("words").alias("words"), F.min("texts").alias("rarest"))
+    return pairs.where((F.col("rarest") <= rare) | (F.col("words") >= many * MIN_LINE_WORDS)).select("early", "late")
 
 
 def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, least: int = MIN_BLOCK_WORDS) -> DataFrame:

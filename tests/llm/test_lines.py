@@ -117,3 +117,15 @@ def test_odd_rows(spark):
     assert got(docs) == plain(docs.collect())
     assert lines.dedup_lines(no_documents(spark)).collect() == []
     assert lines.deduplicated(docs).columns == docs.columns
+
+
+def test_long_lines_of_any_frequency(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    texts = [f"opening of text {i} alone\n{passage}\nending of text {i} alone" for i in range(200)]
+    pair = ["the first of two lines that many share", "the second of two lines that many share"]
+    texts += [f"title {i} of a family of short texts\n{pair[0]}\n{pair[1]}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert kept[0] == texts[0] and kept[200] == texts[200]
+    assert all(kept[i] == f"opening of text {i} alone\nending of text {i} alone" for i in range(1, 200))
+    assert all(kept[200 + i] == f"title {i} of a family of short texts" for i in range(1, 60))
