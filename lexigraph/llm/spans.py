@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences: after . ! ? (and their full-width forms) before white space, and at
-line ends. From every sentence a span of consecutive sentences runs until it has at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; one sentence of ``LONE_WORDS`` words or more
-is a span of its own. Spans are compared by a 64-bit hash of their words (case and white space
-aside) over all documents; the first of a hash, by doc_id and place, stays, and every sentence
-that any other span of the hash covers is removed with the white space that follows it.
+line ends. From every sentence a span of consecutive sentences runs forwards, and another one
+backwards, until it has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; one sentence
+of ``LONE_WORDS`` words or more is a span of its own, and so is every whole text. Any longer run is
+covered by spans inside it, so this removes what comparing every run of sentences would. Spans are
+compared by a 64-bit hash of their words (case and white space aside) over all documents; the first
+of a hash, by doc_id and place, stays, and every sentence that any other span of the hash covers is
+removed with the white space that follows it.
 
 Per hash, count and first place are partial sums before the shuffle, so a passage in a third of
 all documents is one row a task; the join that finds its other places is an ordinary equi-join,
@@ -64,13 +66,18 @@ def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int)
         return none, none, none
     own = np.fromiter((xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
     total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    # the span of sentence i ends at the first j with enough words and sentences
-    first = np.arange(n)
-    last = np.maximum(np.searchsorted(total, total[:-1] + min_words) - 1, first + min_sentences - 1)
+    # forwards the span of sentence i ends at the first j with enough words and sentences, backwards it starts at the last such j
+    at = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + min_words) - 1, at + min_sentences - 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at - min_sentences + 1)
     alone = np.diff(total) >= lone_words
-    last = np.where(alone, first, last)
-    fits = last < n
+    end = np.where(alone, at, end)
+    first, last = np.concatenate([at, start[~alone]]), np.concatenate([end, at[~alone]])
+    fits = (first >= 0) & (last < n)
     first, last = first[fits], last[fits]
+    if total[-1]:
+        first, last = np.append(first, 0), np.append(last, n - 1)
+    first, last = np.divmod(np.unique(first * n + last), n)
     # sums of sentence hashes times powers of an odd number, divided by the power of the span's start
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
     inverse = np.uint64(pow(FACTOR, -1, 1 << 64))

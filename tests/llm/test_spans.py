@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -73,3 +74,45 @@ def test_planted_passage_stays_once(spark):
     assert out[0] == own[0] + passage + " Ending of 0 differs from all."
     assert out[1] == own[1] + "Ending of 1 differs from all."
     assert out[2] == own[2] + "Ending of 2 differs from all."
+
+
+def every_run(texts, min_sentences=2, min_words=20, lone_words=40):
+    """Removed sentences by text, comparing every run of sentences that is long enough, and whole texts."""
+    seen, gone = set(), []
+    for text in texts:
+        p = [tuple(text[a:b].lower().split()) for a, b in spans.sentences(text)]
+        out = set()
+        for i in range(len(p)):
+            for j in range(i, len(p)):
+                words = sum(map(len, p[i : j + 1]))
+                if words >= min_words and j - i + 1 >= min_sentences or i == j and words >= lone_words or words and j - i + 1 == len(p):
+                    run = (tuple(p[i : j + 1]), j - i + 1 == len(p) and (words < min_words or len(p) < min_sentences) and words < lone_words)
+                    if run in seen:
+                        out.update(range(i, j + 1))
+                    seen.add(run)
+        gone.append(out)
+    return gone
+
+
+def test_every_run_of_sentences_counts(spark):
+    rng = random.Random(3)
+    pool = [" ".join(f"s{k}w{x}" for x in range(rng.choice([1, 4, 9, 12, 15, 26, 39, 40, 55]))) + ". " for k in range(30)]
+    texts = []
+    for _ in range(150):
+        at, n = rng.randrange(30), rng.randint(1, 6)
+        texts.append("".join([f"own {rng.random()} start. "] * rng.randint(0, 1) + pool[at : at + n] + [f"own {rng.random()} end. "] * rng.randint(0, 1)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in spans.without_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(x) for x in every_run(texts)]
+
+
+def test_later_exact_copies_become_empty(spark, sf_dir):
+    lone = [" ".join(f"t{k}w{i}" for i in range(n)) + ". " for k, n in enumerate([12, 12, 40, 26])]
+    made = spark.createDataFrame([(1_000_000 + i, t) for i, t in enumerate(["".join(lone), "".join(lone), "Short one.", "Short one."])], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(made)
+    first, copies = {}, []
+    for r in sorted(docs.where("length(trim(text)) > 0").collect(), key=lambda r: r.doc_id):
+        if first.setdefault(r.text, r.doc_id) != r.doc_id:
+            copies.append(r.doc_id)
+    out = {r.doc_id: r.text for r in spans.without_repeats(docs).collect()}
+    assert len(copies) > 10 and all(out[i] == "" for i in copies)
