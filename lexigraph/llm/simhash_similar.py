@@ -13,7 +13,10 @@ Texts at an anchor are compared by the angle between their counters, which with
 shingles gives the Jaccard similarity with a standard error of 0.02; ``ACCEPT`` leaves room for
 that. Only anchors with two texts or more carry counters on. Anchors with more than ``CHUNK``
 texts, as a large family of copies has, are dealt in chunks; then the chunks' groups are compared
-by their smallest members. Each chunk gives a spanning forest of its links, never all pairs.
+by their smallest members. Anchors that are still more than one group after that have each chunk
+compared with each other chunk: the time, and the rows moved, of such anchors grow with the square of
+their texts, in tasks of two chunks each. Each comparison gives a spanning forest of its links, never
+all pairs.
 Equal texts are one from the start. Groups are connected components of the links; the smallest
 doc_id of each stays.
 
@@ -25,7 +28,7 @@ or dropped together; null ids come last; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,26 +125,42 @@ def similarities(vecs: np.ndarray, sizes: np.ndarray, one: int, others: np.ndarr
     return cos * root / np.maximum(1e-9, sizes[others] + sizes[one] - cos * root)
 
 
-def forest(ids: np.ndarray, vecs: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the texts that are similar enough."""
+def forest(ids: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the parts as all near pairs would; near tells which of others are near one, part the linked part of each text."""
     left, links = np.arange(len(ids)), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        mine = part[left] == part[left[0]]
+        queue, left = list(left[mine]), left[~mine]
         while queue and len(left):
             one = queue.pop()
-            close = similarities(vecs, sizes, one, left) >= least
-            links += [(int(ids[one]), int(ids[x])) for x in left[close]]
-            queue += list(left[close])
-            left = left[~close]
+            close = left[near(one, left)]
+            if len(close):
+                links += [(int(ids[one]), int(ids[x])) for x in close]
+                joined = np.isin(part[left], part[close])
+                queue += list(left[joined])
+                left = left[~joined]
     return links
 
 
-def _links(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """members (anchor, texts, id): links among the texts of each anchor, in chunks."""
-    salt = F.pmod(F.xxhash64("id", "anchor"), F.greatest(F.lit(1), F.ceil(F.col("texts") / CHUNK)).cast("long"))
+def estimate(found: list[bytes], sizes: np.ndarray, least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    vecs = np.stack([np.frombuffer(v, np.int8) for v in found]).astype(np.float32)
+    vecs /= np.maximum(1e-9, np.linalg.norm(vecs, axis=1, keepdims=True))
+    return lambda one, others: similarities(vecs, sizes, one, others) >= least
+
+
+def _chunks():
+    return F.greatest(F.lit(1), F.ceil(F.col("texts") / CHUNK)).cast("long")
+
+
+def _chunk():
+    return F.pmod(F.xxhash64("id", "anchor"), _chunks())
+
+
+def _links(members: DataFrame, nodes: DataFrame, tell: Callable, least: float) -> DataFrame:
+    """members (anchor, salt, id, part): links between the parts of each anchor and salt."""
     groups = (
         members.join(nodes.select("id", "n", "vec"), "id")
-        .groupBy("anchor", salt.alias("salt")).agg(F.collect_list(F.struct("id", "n", "vec")).alias("texts"))
+        .groupBy("anchor", "salt").agg(F.collect_list(F.struct("id", "n", "vec", "part")).alias("texts"))
         .where("size(texts) > 1").select("texts")
     )
 
@@ -150,9 +169,9 @@ def _links(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             links = []
             for group in batch["texts"]:
                 ids = np.array([r["id"] for r in group], np.int64)
-                vecs = np.stack([np.frombuffer(r["vec"], np.int8) for r in group]).astype(np.float32)
-                vecs /= np.maximum(1e-9, np.linalg.norm(vecs, axis=1, keepdims=True))
-                links += forest(ids, vecs, np.array([r["n"] for r in group], np.float64), least)
+                sizes = np.array([r["n"] for r in group], np.float64)
+                part = np.array([r["part"] for r in group], np.int64)
+                links += forest(ids, tell([r["vec"] for r in group], sizes, least), part)
             yield pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
 
     return groups.mapInPandas(run, "u long, v long").distinct()
@@ -164,6 +183,28 @@ def _busy(replicas: DataFrame) -> DataFrame:
     return replicas.join(counts, "anchor")
 
 
+def _joined(members: DataFrame, nodes: DataFrame, tell: Callable, least: float) -> DataFrame:
+    """(node, root) of the components that all near pairs at the anchors of members (anchor, texts, id) make."""
+    apart = lambda m: m.select("anchor", _chunk().alias("salt"), "id", F.col("id").alias("part"))
+    links = stage(_links(apart(members), nodes, tell, least), "links")
+    roots = stage(components(links), "roots")
+    large = members.where(F.col("texts") > CHUNK)
+    if large.isEmpty():
+        return roots
+    # what chunks kept apart: first the smallest members of their groups
+    rooted = lambda: large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id"))
+    heads = rooted().select("anchor", F.col("part").alias("id")).distinct()
+    links = links.unionAll(stage(_links(apart(_busy(stage(heads, "heads"))), nodes, tell, least), "links"))
+    roots = stage(components(links), "roots")
+    # then, at anchors that are not one group yet, every chunk with every other, a group of rows for each two chunks
+    parts = stage(rooted().select("anchor", "texts", "id", "part"), "parts")
+    open_ = stage(parts.groupBy("anchor").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("anchor"), "open")
+    both = parts.join(open_, "anchor").withColumn("c", _chunk()).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), _chunks() - 1))).where("c <> d")
+    pairs = both.select("anchor", F.least("c", "d") * _chunks() + F.greatest("c", "d"), "id", "part").toDF("anchor", "salt", "id", "part")
+    links = links.unionAll(stage(_links(pairs, nodes, tell, least), "links"))
+    return stage(components(links), "roots")
+
+
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, keep_id) of every row; keep_id is the smallest id of its group of near duplicates."""
     least = similarity - MARGIN
@@ -179,13 +220,7 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
 
     replicas = stage(nodes.where("n > 0").select("id", "vec").mapInPandas(run, "anchor long, id long"), "replicas")
     members = stage(_busy(replicas), "members")
-    links = stage(_links(members, nodes, least), "links")
-    roots = stage(components(links), "roots")
-    large = members.where(F.col("texts") > CHUNK)
-    if not large.isEmpty():  # what chunks kept apart: compare the smallest members of their groups
-        heads = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("anchor", F.coalesce("root", "id").alias("id")).distinct()
-        more = _links(_busy(stage(heads, "heads")), nodes, least)
-        roots = stage(components(links.unionAll(more)), "roots")
+    roots = _joined(members, nodes, estimate, least)
     home = nodes.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     home = stage(home.select("key", F.coalesce("root", "id").alias("keep_id")), "homes")
     return rows.select("doc_id", "key").join(home, "key")

@@ -48,6 +48,32 @@ def test_chunks_of_a_large_family(spark, monkeypatch):
     assert kept == [0, *range(500, 530)]
 
 
+def test_star_across_chunks(spark, monkeypatch):
+    """Copies that are near the original only, which is in the middle of the ids."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {100: " ".join(words)}
+    for i in range(60):
+        own = list(words)
+        for k in range(8):  # eight words of 400: a Jaccard similarity of 0.82 with the original, 0.68 or so with each other
+            own[(i * 6 + k * 50 + 3) % 400] = f"own{i}x{k}"
+        texts[i if i < 30 else 100 + i] = " ".join(own)
+    alike = [jaccard(shingles(texts[100]), shingles(t)) for i, t in texts.items() if i != 100]
+    assert 0.8 <= min(alike) and max(alike) < 0.84
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    # one anchor for all, and estimates that are exact
+    monkeypatch.setattr(simhash_similar, "CHUNK", 8)
+    nodes = docs.selectExpr("doc_id AS id", "1 AS n", "cast(text AS binary) AS vec")
+    members = docs.selectExpr("1L AS anchor", f"{len(texts)}L AS texts", "doc_id AS id")
+
+    def exact(found, sizes, least):
+        texts = [t.decode().split() for t in found]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+        return lambda one, others: np.array([len(sets[one] & sets[x]) >= least * len(sets[one] | sets[x]) for x in others], bool)
+
+    roots = {r.node: r.root for r in simhash_similar._joined(members, nodes, exact, 0.8).collect()}
+    assert roots == dict.fromkeys(texts, 0)
+
+
 def test_anchor_recall():
     rng = np.random.default_rng(8)
     both = np.sign(rng.normal(size=(300, 1, 256))) * 0
