@@ -10,13 +10,16 @@ correlates with best. With 6 tables and 8 probes, 96 % of pairs at a similarity
 anchor, and 99.9 % at 0.9 (simulated; the tests measure it).
 
 Texts at an anchor are compared by the angle between their counters, which with the numbers of
-shingles gives the Jaccard similarity with a standard error of 0.02; ``ACCEPT`` leaves room for
-that. Only anchors with two texts or more carry counters on. Anchors with more than ``CHUNK``
+shingles gives the Jaccard similarity with a standard error of 0.02 to 0.03. This is a filter, ``MARGIN``
+below the similarity asked for. Texts that it joins are compared again by the hashes of all their
+shingles, with each other member of their group, and only what these show to be similar is linked.
+Only anchors with two texts or more carry counters on. Anchors with more than ``CHUNK``
 texts, as a large family of copies has, are dealt in chunks; then the chunks' groups are compared
 by their smallest members. Anchors that are still more than one group after that have each chunk
 compared with each other chunk: the time, and the rows moved, of such anchors grow with the square of
 their texts, in tasks of two chunks each. Each comparison gives a spanning forest of its links, never
-all pairs.
+all pairs. In the second comparison a text counts once more for every ``LONG`` shingles, so that chunks
+of long texts are small.
 Equal texts are one from the start. Groups are connected components of the links; the smallest
 doc_id of each stays.
 
@@ -43,13 +46,14 @@ ship(__name__)
 
 WIDTH = 5
 SIMILARITY = 0.8
-MARGIN = 0.03
+MARGIN = 0.08
 COUNTERS = 256
 BLOCK = 64
 TABLES = 6
 PROBES = 8
 NEXT_BEST = 4
 CHUNK = 2_000
+LONG = 500
 SCALE = 450.0
 LAST_ID = (1 << 63) - 1
 
@@ -148,6 +152,38 @@ def estimate(found: list[bytes], sizes: np.ndarray, least: float) -> Callable[[i
     return lambda one, others: similarities(vecs, sizes, one, others) >= least
 
 
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, vec) of texts (id, text): the number of distinct shingles, and their hashes as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
+                found = [np.unique(shingle_hashes(t, width)) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "n": np.array([len(x) for x in found], np.int32), "vec": [x.astype(np.uint64).tobytes() for x in found]})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, n int, vec binary")
+
+
+def exact(found: list[bytes], sizes: np.ndarray, least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    sets = [np.frombuffer(v, np.uint64) for v in found]
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum([len(x) for x in sets])
+    own = [shingle[b - len(x) : b] for x, b in zip(sets, ends)]
+    marked = np.zeros(shingle.max(initial=0) + 1, bool)
+    last: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+
+    def near(one: int, others: np.ndarray) -> np.ndarray:
+        if last[0] is not others:  # the shingles of what is left, one after another
+            last[:] = others, np.concatenate([own[x] for x in others]), np.repeat(np.arange(len(others)), [len(own[x]) for x in others])
+        marked[own[one]] = True
+        shared = np.bincount(last[2][marked[last[1]]], minlength=len(others))
+        marked[own[one]] = False
+        return shared >= least * (sizes[others] + sizes[one] - shared) - 1e-9
+
+    return near
+
+
 def _chunks():
     return F.greatest(F.lit(1), F.ceil(F.col("texts") / CHUNK)).cast("long")
 
@@ -207,7 +243,6 @@ def _joined(members: DataFrame, nodes: DataFrame, tell: Callable, least: float)
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, keep_id) of every row; keep_id is the smallest id of its group of near duplicates."""
-    least = similarity - MARGIN
     rows = stage(vectors(docs, width), "vectors")
     nodes = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n", "vec")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.n", "x.vec"), "nodes")
 
@@ -220,7 +255,15 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY)
 
     replicas = stage(nodes.where("n > 0").select("id", "vec").mapInPandas(run, "anchor long, id long"), "replicas")
     members = stage(_busy(replicas), "members")
-    roots = _joined(members, nodes, estimate, least)
+    roots = _joined(members, nodes, estimate, similarity - MARGIN)
+    # what the estimate joined is compared again by its shingles
+    ids = roots.select(F.col("root").alias("anchor"), F.col("node").alias("id"))
+    load = F.greatest(F.count("*"), F.ceil(F.sum("n") / LONG))
+    sizes = stage(ids.join(nodes.select("id", "n"), "id").groupBy("anchor").agg(load.alias("texts")), "sizes")
+    homes = ids.join(nodes.select("key", "id"), "id")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("key"), "text")
+    sets = stage(shingle_sets(source.join(homes.select("id", "key").distinct(), ["id", "key"]).dropDuplicates(["id", "key"]), width), "sets")
+    roots = _joined(stage(ids.join(sizes, "anchor"), "members"), sets, exact, similarity)
     home = nodes.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
     home = stage(home.select("key", F.coalesce("root", "id").alias("keep_id")), "homes")
     return rows.select("doc_id", "key").join(home, "key")

@@ -74,6 +74,25 @@ def test_star_across_chunks(spark, monkeypatch):
     assert roots == dict.fromkeys(texts, 0)
 
 
+def test_links_are_exact(spark):
+    def pair(i, edits):
+        a = [f"p{i}w{k}" for k in range(304)]
+        b = list(a)
+        for k in range(edits):
+            b[10 + 20 * k] = f"p{i}own{k}"
+        return a, b
+
+    rows, alike = [], []
+    for i in range(240):
+        a, b = pair(i, 6 + i % 3)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        alike.append(jaccard(shingles(rows[-2][1]), shingles(rows[-1][1])))
+    assert {round(x, 2) for x in alike} == {0.82, 0.79, 0.76}
+    kept = {r.doc_id for r in simhash_similar.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i + 1 in kept for i, j in enumerate(alike) if j < 0.8)
+    assert sum(2 * i + 1 in kept for i, j in enumerate(alike) if j >= 0.8) <= 5
+
+
 def test_anchor_recall():
     rng = np.random.default_rng(8)
     both = np.sign(rng.normal(size=(300, 1, 256))) * 0
