@@ -3,7 +3,9 @@
 1. Texts are reduced to arrays of line hashes; equal texts are one, held by the smallest id.
 2. A line of ``MIN_LINE_WORDS`` words or more that several texts share pairs each later text with
    the first that has the line. So a line in n texts gives n - 1 pairs, not n(n-1)/2, and every
-   shared line of a text leads to a pair. A pair is an overlap if it shares a rare line, found
+   shared line of a text leads to a pair. So does a run of lines, the shortest that has enough words
+   forwards or backwards from a line: thus a text meets the first holder of a whole block, also where
+   each line of the block first stood elsewhere, and every line of a block is in such a run. A pair is an overlap if it shares a rare line, found
    in ``RARE_TEXTS`` texts or fewer, or lines of any frequency with as many words together as
    ``MANY_LINES`` lines have at least: a short line of boilerplate alone is no overlap; a long
    paragraph, or a large family of near copies, is one, however often its lines occur.
@@ -38,6 +40,7 @@ RARE_TEXTS = 50
 MANY_LINES = 3
 MIN_BLOCK_WORDS = 8
 LAST_ID = (1 << 63) - 1
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,14 +122,54 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(texts: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES) -> DataFrame:
-    """(early, late) of overlapping texts (doc_id, hashes, words), by their first holders."""
-    lines = texts.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= MIN_LINE_WORDS))).alias("x"))
-    lines = lines.select("doc_id", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and words of the shortest runs of lines, forwards and backwards from each line, that have enough words."""
+    n, at = len(hashes), np.arange(len(hashes))
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.concatenate([at, np.searchsorted(total, total[1:] - least, side="right") - 1])
+    last = np.concatenate([np.searchsorted(total, total[:-1] + least) - 1, at])
+    fits = (first >= 0) & (last < n) & (last > first)
+    first, last = np.divmod(np.unique(first[fits] * (n + 1) + last[fits]), n + 1)
+    # sums of line hashes times powers of an odd number, divided by the power of the run's start
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
+    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes.view(np.uint64)) * power[:-1])])
+    value = (sums[last + 1] - sums[first]) * back[first]
+    found, where = np.unique(_mix(value ^ (last - first).astype(np.uint64)).view(np.int64), return_index=True)
+    return found, (total[last + 1] - total[first])[where]
+
+
+def runs(texts: DataFrame, *least: int) -> DataFrame:
+    """(doc_id, line: a hash, words) of runs of two lines or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [[run_hashes(h, w, x) for x in least] for h, w in zip(batch["hashes"], batch["words"])]
+            sizes = [sum(len(h) for h, _ in f) for f in found]
+            columns = [np.concatenate([np.zeros(0, np.int64), *(x[k] for f in found for x in f)]) for k in range(2)]
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes), "line": columns[0], "words": columns[1].astype(np.int32)})
+
+    return texts.select("doc_id", "hashes", "words").mapInPandas(run, "doc_id long, line long, words int").distinct()
+
+
+def overlaps(texts: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(early, late) of overlapping texts (doc_id, hashes, words), by the first holders of lines and of runs of lines."""
+    lines = texts.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: (x["words"] >= MIN_LINE_WORDS) | (x["words"] >= least)))).alias("x"))
+    lines = lines.select("doc_id", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"), F.lit(True).alias("single"))
+    more = runs(texts, *{least, many * MIN_LINE_WORDS}).withColumn("single", F.lit(False))
+    lines = stage(lines.unionAll(more), "shared")
     firsts = lines.groupBy("line").agg(F.count("*").alias("texts"), F.min("doc_id").alias("early")).where("texts > 1")
     firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot line in the join
     shared = lines.join(firsts, "line").where("doc_id > early")
-    pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(F.sum("words").alias("words"), F.min("texts").alias("rarest"))
+    # lines add up; runs overlap each other, and each counts for itself
+    words = F.greatest(F.sum(F.when(F.col("single"), F.col("words"))), F.max("words"))
+    pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(words.alias("words"), F.min("texts").alias("rarest"))
     return pairs.where((F.col("rarest") <= rare) | (F.col("words") >= many * MIN_LINE_WORDS)).select("early", "late")
 
 
@@ -136,7 +179,7 @@ def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, l
     texts = stage(
         rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("words").alias("words")), "texts"
     )
-    pairs = overlaps(texts, rare, many)
+    pairs = overlaps(texts, rare, many, least)
     early = texts.select(F.col("doc_id").alias("early"), F.col("hashes").alias("a"))
     late = texts.select(F.col("doc_id").alias("late"), F.col("key"), F.col("hashes").alias("b"), "words")
     met = pairs.join(early, "early").join(late, "late").select("late", "key", "a", "b", "words")

@@ -129,3 +129,52 @@ def test_long_lines_of_any_frequency(spark):
     assert kept[0] == texts[0] and kept[200] == texts[200]
     assert all(kept[i] == f"opening of text {i} alone\nending of text {i} alone" for i in range(1, 200))
     assert all(kept[200 + i] == f"title {i} of a family of short texts" for i in range(1, 60))
+
+
+def all_pairs(texts):
+    """Lines that are left of each text when it is aligned with every earlier one."""
+    cut = [t.split("\n") for t in texts]
+    left = []
+    for j, b in enumerate(cut):
+        gone = set()
+        for a in cut[:j]:
+            gone.update(lines.common_blocks(patience(a, b, 0, len(a), 0, len(b)), [len(x.split()) for x in b], lines.MIN_BLOCK_WORDS))
+        left.append([x for i, x in enumerate(b) if i not in gone])
+    return left
+
+
+def test_blocks_of_lines_that_first_stood_elsewhere(spark):
+    one, two = "first line of five words", "second line that has six words"
+    texts = [f"only in a\n{one}\nend of a", f"only in b\n{two}\nend of b", f"c own\n{one}\n{two}\nend of c", f"d own\n{one}\n{two}\nend of d"]
+    short = "\n".join(f"short line {i}" for i in range(4))
+    texts += [f"e own\n{short}\nend of e", f"f own\n{short}\nend of f"]
+    rng = random.Random(5)
+    # each line of the pool stands in a text of its own first, then in blocks
+    pool = [" ".join(f"p{k}w{x}" for x in range(rng.randint(1, 7))) for k in range(24)]
+    texts += [f"holder {k}\n{x}\nheld {k}" for k, x in enumerate(pool)]
+    for k in range(60):
+        at = rng.randrange(20)
+        texts.append("\n".join([f"start {k}", *pool[at : at + rng.randint(2, 5)], f"end {k}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert kept[3] == "d own\nend of d" and kept[5] == "f own\nend of f"
+    assert [kept[i] for i in range(len(texts))] == ["\n".join(x) for x in all_pairs(texts)]
+
+
+def test_families_against_all_pairs(spark):
+    rng = random.Random(2)
+    common = "this very common line stands in many of the documents"
+    texts = []
+    for family in range(4):
+        base = [f"family {family} line {i} with words {rng.random()}" for i in range(12)]
+        for _ in range(20):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(12)] = f"edited line number {rng.random()} has words too"
+            texts.append("\n".join(own))
+    rng.shuffle(texts)
+    more = [common + f"\nand a line of its own with number {i} in it" for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert [kept[i] for i in range(80)] == ["\n".join(x) for x in all_pairs(texts)]
+    assert [kept[80 + i] for i in range(80)] == more
