@@ -25,6 +25,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -250,7 +251,7 @@ def classify(block: Block, inherited: float) -> float:
     """Cost of calling the block content less that of calling it boilerplate."""
     words = block.text.count(" ") + 1
     cost = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKED * min(1.0, block.links / max(1, len(block.text)))
-    cost += PER_SENTENCE * min(3, len(SENTENCE.findall(block.text, 0, 600)))
+    cost += PER_SENTENCE * sum(1 for _ in islice(SENTENCE.finditer(block.text), 3))
     if block.element.tag in HEADINGS:
         cost += HEADING
     elif block.element.tag == "li":

@@ -73,3 +73,10 @@ def test_odd_rows(spark):
     want = [(1, "", 0), (1, "", 0), (2, "", 0), (None, "", 0), (4, rows[4][2], len(rows[4][2])), (5, "a < b & c A d", 13), (6, "", 0)]
     assert got == sorted(want, key=repr)
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_sentences_count_wherever_they_end():
+    block = lambda text: extract.Block(text, 0, extract.Element("p", None, 1, 0.0, False))
+    long = "a list of many parts, " * 40
+    none, three, five = (extract.classify(block(long + end), 0.0) for end in ("one two three four five", "One. Two. Three. four five", "One. Two. Three. Four. Five."))
+    assert len(long) > 600 and three == five == none + 3 * extract.PER_SENTENCE
