@@ -16,27 +16,39 @@ from lexigraph.functions.text import kept_words_column, with_stem
 
 POSTINGS = "term string, doc_id bigint, tf int, dl int, positions array<int>"
 DOC_STATS = "doc_id bigint, dl int"
+TERMS = "term string, df bigint"
+CORPUS_STATS = "n bigint, total_len bigint, avgdl double"
 
 
 @dataclass
 class Index:
+    """Postings and document lengths; a stored index also has its terms and totals, which answer without a scan of either."""
+
     postings: DataFrame
     doc_stats: DataFrame
+    stored_terms: DataFrame | None = None
+    stored_totals: DataFrame | None = None
 
     def corpus_stats(self) -> DataFrame:
         """One row: n, total_len, avgdl."""
+        if self.stored_totals is not None:
+            return self.stored_totals
         return self.doc_stats.agg(
             F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")
         )
 
     def terms(self) -> DataFrame:
+        """(term, df)."""
+        if self.stored_terms is not None:
+            return self.stored_terms
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def get_postings(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term)
 
     def doc_frequency(self, term: str) -> int:
-        return self.get_postings(term).count()
+        found = self.terms().where(F.col("term") == term).first()
+        return found["df"] if found else 0
 
 
 def tokens(documents: DataFrame, body: str = "body") -> DataFrame:

@@ -42,14 +42,14 @@ def bm25_terms(index: Index, queries: Sequence[Sequence[str]], config: BM25Confi
     """Scores of all documents with a query term, for many queries in one plan: query_id, doc_id, score, matched_terms.
 
     The terms are literals in the filter on postings, so it reaches a Parquet scan; only the
-    postings of query terms are read, and their number per term is the document frequency.
+    postings of query terms are read; document frequencies and totals come from the stored tables.
     """
     spark = index.postings.sparkSession
     wanted = sorted({t for q in queries for t in q})
     if not wanted:
         return spark.createDataFrame([], RESULTS)
     hits = index.postings.where(F.col("term").isin(wanted)).select("term", "doc_id", "tf", "dl")
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = index.terms().where(F.col("term").isin(wanted))
     corpus = index.corpus_stats().select("n", "avgdl")
     weights = query_terms(spark, queries).join(frequency, "term").crossJoin(corpus)  # one row for each query term
     tf, dl = F.col("tf"), F.col("dl")

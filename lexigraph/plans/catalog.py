@@ -13,7 +13,7 @@ from lexigraph.operators import boolean, crawl, fuzzy, graph, ranking
 from lexigraph.operators import index as indexes
 from lexigraph.plans.oracles import BATCH, BOOLEAN, CLOSED, DUPLICATE, FUZZY, MULTI, PHRASE2, PHRASE3, SINGLE, SPELL, SUGGEST, oracle_sql
 from lexigraph.sources import files
-from lexigraph.sources.tables import stage
+from lexigraph.sources.tables import file_system, stage
 
 __all__ = ["oracle_sql", "queries"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,18 +43,23 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BUILT: dict[tuple[str, str], indexes.Index] = {}
+_BUILT: dict[tuple, indexes.Index] = {}
 
 
 def stored(index: indexes.Index) -> indexes.Index:
     """The index as tables in the shared folder; postings are sorted by term, so that a term's are few row groups."""
     ordered = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    return indexes.Index(stage(ordered, "postings"), stage(index.doc_stats, "doc-stats"))
+    kept = indexes.Index(stage(ordered, "postings"), stage(index.doc_stats, "doc-stats"))
+    kept.stored_terms = stage(kept.terms().repartitionByRange("term").sortWithinPartitions("term"), "terms")
+    kept.stored_totals = stage(kept.corpus_stats(), "totals")
+    return kept
 
 
 def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
-    """The documents' index, built once a session, as a search engine would keep it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The documents' index, built once for a session and a state of the table, as a search engine would keep it."""
+    target, system = file_system(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    status = system.getFileStatus(target)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
     if key not in _BUILT:
         _BUILT[key] = stored(indexes.build(documents(spark, sf_dir)))
     return _BUILT[key]

@@ -47,14 +47,19 @@ class SearchEngine:
     def load(cls, spark: SparkSession, path: str) -> SearchEngine:
         t = tables.load(spark, path)
         ranks = None if t["pageranks"].isEmpty() else t["pageranks"]
-        return cls(spark, t["documents"], indexes.Index(t["postings"], t["doc_stats"]), ranks, t["edges"])
+        return cls(spark, t["documents"], indexes.Index(t["postings"], t["doc_stats"], t["terms"], t["corpus_stats"]), ranks, t["edges"])
 
     def save(self, path: str) -> int:
-        return tables.save(path, self.index, self.documents, self.edges, self.pageranks)
+        """Write the corpus and go on from what was written. The path may be the one that it was loaded from."""
+        size = tables.save(path, self.index, self.documents, self.edges, self.pageranks)
+        saved = SearchEngine.load(self.spark, path)
+        self.documents, self.index, self.pageranks, self.edges, self._terms = saved.documents, saved.index, saved.pageranks, saved.edges, None
+        return size
 
     def cached(self) -> SearchEngine:
         """Keep the index in executors' memory for a series of queries."""
-        self.index = indexes.Index(self.index.postings.persist(), self.index.doc_stats.persist())
+        i = self.index
+        self.index = indexes.Index(i.postings.persist(), i.doc_stats.persist(), i.terms().persist(), i.corpus_stats().persist())
         return self
 
     @property
@@ -111,6 +116,10 @@ class SearchEngine:
 
     def query(self, text: str, k: int = 10, context: int = 8) -> Answer:
         """One line of input: phrase:, bool:, fuzzy: or spell: and a query, or a plain query, which is corrected if nothing is found."""
+        with tables.stages(self.spark):
+            return self._answer(text, k, context)
+
+    def _answer(self, text: str, k: int, context: int) -> Answer:
         start, text = time.perf_counter(), text.strip()
         mode = next((m for m in MODES if text.startswith(m)), "")
         query, notes, suggestion = text[len(mode) :].strip(), [], None

@@ -3,56 +3,117 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.operators.index import DOC_STATS, POSTINGS, Index
+from lexigraph.operators.index import CORPUS_STATS, DOC_STATS, POSTINGS, TERMS, Index
 
 SCHEMAS = {
     "documents": "doc_id bigint, path string, title string, body string",
     "postings": POSTINGS,
     "doc_stats": DOC_STATS,
+    "terms": TERMS,
+    "corpus_stats": CORPUS_STATS,
     "edges": "src bigint, dst bigint",
     "pageranks": "doc_id bigint, pr double",
 }
+_owners = threading.local()
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path, and the file system that it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where it is unset, as in tests."""
+    """spark.checkpoint.dir. Where it is unset a local session gets a temporary folder of this machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lexigraph.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
         spark.conf.set("lexigraph.shared.dir", folder)
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in this application's part of the shared folder. It is removed with the block of ``stages`` around it, or else when the JVM ends."""
+    folder = f"{shared_folder(spark)}/lexigraph-{spark.sparkContext.applicationId}"
+    target, system = file_system(spark, folder)
+    if not system.exists(target):
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    path = f"{folder}/{kind}-{uuid.uuid4().hex}"
+    if held := getattr(_owners, "held", None):
+        held[-1].append(path)
+    return path
+
+
 def stage(frame: DataFrame, kind: str = "table") -> DataFrame:
-    """Write the rows to a new table in the shared folder and read them from there; the JVM removes it when it ends."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/lexigraph-{kind}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    """Write the rows to a new table in the shared folder and read them from there."""
+    path = scratch_path(frame.sparkSession, kind)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages in the block are removed at its end, so what is read from them must be written or collected inside."""
+    held = _owners.held = getattr(_owners, "held", [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for path in held.pop():
+            target, system = file_system(spark, path)
+            system.delete(target, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions of a corpus, the current one last."""
+    target, system = file_system(spark, f"{path}/versions")
+    return sorted(int(x.getPath().getName()) for x in system.listStatus(target)) if system.exists(target) else []
 
 
 def save(path: str, index: Index, documents: DataFrame, edges: DataFrame | None = None, pageranks: DataFrame | None = None) -> int:
-    """Write a corpus and give its size in bytes. Postings are ranged and sorted by term, so a filter on terms reads few row groups."""
+    """Write a corpus and give its size in bytes. Postings are ranged and sorted by term, so a filter on terms reads few row groups.
+
+    All tables go to a new folder, which one rename makes the next version; a save that fails before
+    it leaves the corpus as it was, also where the frames are read from that corpus. Versions before
+    the last one are removed then: those who have the last one open can still read it.
+    """
+    spark, path = documents.sparkSession, path.rstrip("/")
+    staged = f"{path}/staging/{uuid.uuid4().hex}"
     postings = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    frames = {"documents": documents, "postings": postings, "doc_stats": index.doc_stats, "edges": edges, "pageranks": pageranks}
-    spark = documents.sparkSession
+    postings.write.parquet(f"{staged}/postings")
+    written = Index(spark.read.schema(POSTINGS).parquet(f"{staged}/postings"), index.doc_stats)
+    terms = written.terms().repartitionByRange("term").sortWithinPartitions("term")
+    frames = {"documents": documents, "doc_stats": index.doc_stats, "terms": terms, "corpus_stats": written.corpus_stats(), "edges": edges, "pageranks": pageranks}
     for name, frame in frames.items():
-        if frame is None:
-            frame = spark.createDataFrame([], SCHEMAS[name])
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        frame = spark.createDataFrame([], SCHEMAS[name]) if frame is None else frame
+        frame.write.parquet(f"{staged}/{name}")
+    old = versions(spark, path)
+    target, system = file_system(spark, f"{path}/versions/{old[-1] + 1 if old else 1}")
+    system.mkdirs(target.getParent())
+    if not system.rename(file_system(spark, staged)[0], target):
+        raise RuntimeError(f"another save took {target}")
+    for number in old[:-1]:
+        system.delete(file_system(spark, f"{path}/versions/{number}")[0], True)
+    return system.getContentSummary(target).getLength()
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()}
+    """The tables of the current version."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no corpus at {path}")
+    return {name: spark.read.schema(schema).parquet(f"{path.rstrip('/')}/versions/{found[-1]}/{name}") for name, schema in SCHEMAS.items()}
 
 
 def url_map(documents: DataFrame) -> DataFrame:

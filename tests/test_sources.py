@@ -8,7 +8,7 @@ from lexigraph.functions import codec, web
 from lexigraph.operators import crawl
 from lexigraph.operators import index as indexes
 from lexigraph.plans.engine import SearchEngine, printed
-from lexigraph.sources import files
+from lexigraph.sources import files, tables
 from lexigraph.streaming import ingest
 
 ROBOTS = "User-agent: Bot\nDisallow: /x\nUser-agent: *\nDisallow: /private # c\nDisallow:\nAllow: /private/ok\nUser-agent: other\nDisallow: /y\n"
@@ -133,3 +133,42 @@ def test_stream(spark, tmp_path):
         ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
     index = ingest.read_index(spark, str(tmp_path / "out"))
     assert index.terms().where("term = 'hash'").first().df == 2 and index.doc_stats.count() == 2
+
+
+def test_a_corpus_grows_in_its_own_folder(spark, tmp_path, monkeypatch):
+    """Load, add, save to the same path, again and again; a save that fails leaves what was there."""
+    path = str(tmp_path / "corpus")
+    for n in range(4):
+        folder = tmp_path / f"in{n}"
+        folder.mkdir()
+        (folder / f"f{n}.txt").write_text(f"common word{n}")
+        engine = SearchEngine.load(spark, path) if n else SearchEngine.empty(spark)
+        assert engine.add_folder(str(folder)) == 1
+        assert engine.save(path) > 0
+        assert engine.index.doc_stats.count() == engine.documents.count() == n + 1
+        again = SearchEngine.load(spark, path)
+        assert sorted(r.title for r in again.documents.collect()) == [f"f{i}.txt" for i in range(n + 1)]
+        assert again.index.doc_frequency("common") == n + 1 and again.index.doc_frequency("none") == 0
+    assert tables.versions(spark, path) == [3, 4]
+    broken = again.documents.withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        tables.save(path, again.index, broken)
+    assert SearchEngine.load(spark, path).documents.count() == 4
+    with pytest.raises(FileNotFoundError):
+        tables.load(spark, str(tmp_path / "nothing"))
+
+
+def test_staged_tables_go_with_their_block(spark, monkeypatch):
+    outside = tables.stage(spark.range(3))
+    with tables.stages(spark):
+        inside = tables.stage(spark.range(5))
+        assert inside.count() == 5
+    assert outside.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(inside.inputFiles()[0].rsplit("/", 1)[0])
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    kept = spark.conf.get("lexigraph.shared.dir")
+    spark.conf.unset("lexigraph.shared.dir")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(spark)
+    spark.conf.set("lexigraph.shared.dir", kept)
