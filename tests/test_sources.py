@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -135,7 +137,7 @@ def test_stream(spark, tmp_path):
     assert index.terms().where("term = 'hash'").first().df == 2 and index.doc_stats.count() == 2
 
 
-def test_a_corpus_grows_in_its_own_folder(spark, tmp_path, monkeypatch):
+def test_a_corpus_grows_in_its_own_folder(spark, tmp_path):
     """Load, add, save to the same path, again and again; a save that fails leaves what was there."""
     path = str(tmp_path / "corpus")
     for n in range(4):
@@ -158,7 +160,7 @@ def test_a_corpus_grows_in_its_own_folder(spark, tmp_path, monkeypatch):
         tables.load(spark, str(tmp_path / "nothing"))
 
 
-def test_staged_tables_go_with_their_block(spark, monkeypatch):
+def test_staged_tables_go_with_their_block(spark):
     outside = tables.stage(spark.range(3))
     with tables.stages(spark):
         inside = tables.stage(spark.range(5))
@@ -166,9 +168,6 @@ def test_staged_tables_go_with_their_block(spark, monkeypatch):
     assert outside.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         spark.read.parquet(inside.inputFiles()[0].rsplit("/", 1)[0])
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    kept = spark.conf.get("lexigraph.shared.dir")
-    spark.conf.unset("lexigraph.shared.dir")
+    unset = SimpleNamespace(get=lambda name, default: default)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        tables.shared_folder(spark)
-    spark.conf.set("lexigraph.shared.dir", kept)
+        tables.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
