@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigraph.llm import lines, mixing, packing, simhash_similar, toxicity
-from lexigraph.llm.common import stage, table
+from lexigraph.llm.common import configured, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("source mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", configured(drop_toxic)),
+    ("line dedup", configured(drop_repeated_lines)),
+    ("SimHash near-dedup", configured(drop_near_duplicates)),
+    ("source mixing", configured(mix_sources)),
+    ("packing", configured(pack_sequences)),
 ]
 
 #: The classifier, patience diff, SimHash and the tokenizer are beyond SQL.

@@ -7,15 +7,22 @@ Intermediate tables are written to the folder that the cluster names in
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.sources.tables import scratch_path, stage, stages
+
+__all__ = ["LAST_ID", "WORD", "code_points", "configured", "id_or_last", "need", "packed", "scratch_path", "ship", "stage", "stages", "table", "text_key"]
 #: White space as the operators see it, for Java and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Where rows without an id stand.
+LAST_ID = (1 << 63) - 1
+#: Rows that a Python worker gets at once in the registered queries and the pipeline; texts can be long.
+BATCH_ROWS = 1_000
 
 
 def ship(name: str) -> None:
@@ -26,31 +33,16 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("lexigraph.shared.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
-        spark.conf.set("lexigraph.shared.dir", folder)
-    return folder.rstrip("/")
-
+def configured(run: Callable) -> Callable:
+    """A query or pipeline stage, an application's entry: it sets the session's Arrow batch size where nothing else has."""
 
-def scratch_path(spark: SparkSession, kind: str = "table") -> str:
-    """A new path in the shared folder, which Spark's JVM removes when it ends."""
-    path = f"{shared_folder(spark)}/lexigraph-{kind}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    @wraps(run)
+    def with_batches(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return run(spark, *args)
 
-
-def stage(frame: DataFrame, kind: str = "table") -> DataFrame:
-    """Write the rows to a new table in the shared folder and read them from there."""
-    path = scratch_path(frame.sparkSession, kind)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return with_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +53,21 @@ def code_points(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 
 
-#: Rows that a Python worker gets at once, unless the session says otherwise; texts can be long.
-BATCH_ROWS = 1_000
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text: two among 10^12 texts meet by chance once in 10^14 corpora."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def id_or_last(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name of theirs can clash with the operators'."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def need(frame: DataFrame, *names: str) -> None:
-    """Fail early, and plainly, when a column is missing. Batches for Python are kept small."""
-    if frame.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
-        frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Fail early, and plainly, when a column is missing."""
     if missing := [n for n in names if n not in frame.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")

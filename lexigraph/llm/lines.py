@@ -1,16 +1,16 @@
 """Line dedup by pairwise alignment.
 
 1. Texts are reduced to arrays of line hashes; equal texts are one, held by the smallest id.
-2. A line of ``MIN_LINE_WORDS`` words or more that several texts share pairs each later text with
-   the first that has the line. So a line in n texts gives n - 1 pairs, not n(n-1)/2, and every
-   shared line of a text leads to a pair. So does a run of lines, the shortest that has enough words
-   forwards or backwards from a line: thus a text meets the first holder of a whole block, also where
-   each line of the block first stood elsewhere, and every line of a block is in such a run. A pair is an overlap if it shares a rare line, found
-   in ``RARE_TEXTS`` texts or fewer, or lines of any frequency with as many words together as
-   ``MANY_LINES`` lines have at least: a short line of boilerplate alone is no overlap; a long
-   paragraph, or a large family of near copies, is one, however often its lines occur.
+2. A line of ``MIN_BLOCK_WORDS`` words or more that several texts share pairs each later text with
+   the first that has the line. So does a run of lines, the shortest that has enough words forwards
+   or backwards from a line: thus a text meets the first holder of a whole block, also where each
+   line of the block first stood elsewhere, and every line of a block is in such a run. A line or
+   run in n texts gives n - 1 pairs, not n(n-1)/2. Rare lines need no other rule, and frequent ones
+   no bound: a block counts however many texts have it, in a corpus of any size.
 3. Each overlapping pair is aligned by patience diff over line hashes: lines that are unique on
    both sides, in the longest increasing order, anchor the alignment; the gaps are aligned alike.
+   An alignment keeps one order, so blocks that moved, or that stand more than once, are aligned
+   after it, each by itself.
 4. Runs of aligned lines that have ``MIN_BLOCK_WORDS`` words or more are deleted from the later
    document, the one with the larger id. A copy of an earlier text loses all lines.
 
@@ -31,15 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, need, ship, stage
+from .common import WORD, id_or_last, need, packed, ship, stage, text_key
 
 ship(__name__)
 
-MIN_LINE_WORDS = 5
-RARE_TEXTS = 50
-MANY_LINES = 3
 MIN_BLOCK_WORDS = 8
-LAST_ID = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -108,12 +104,44 @@ def common_blocks(pairs: list[tuple[int, int]], words: list[int], least: int) ->
     return out
 
 
+def moved_blocks(a: list[int], b: list[int], words: list[int], least: int, gone: set[int]) -> set[int]:
+    """Places in b, besides those gone, of runs that stand anywhere in a and have enough words; runs are followed forwards, then backwards."""
+    out: set[int] = set()
+    for step in (1, -1):
+        first: dict[int, int] = {}
+        for i in range(len(a))[::-step]:
+            first[a[i]] = i
+        run, total, before = [], 0, None
+        for j in [*range(len(b))[::step], None]:
+            i = None
+            if j is not None and j not in gone:
+                i = before + step if before is not None and 0 <= before + step < len(a) and a[before + step] == b[j] else first.get(b[j])
+            if run and (i is None or i != before + step):
+                if total >= least:
+                    out.update(run)
+                run, total = [], 0
+            if i is not None:
+                run.append(j)
+                total += words[j]
+            before = i
+    return out
+
+
+def shared_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Places in b of all blocks that it has in common with a."""
+    gone = set(common_blocks(align(a, b), words, least))
+    held = set(a)
+    if any(x in held for j, x in enumerate(b) if j not in gone):
+        gone |= moved_blocks(a, b, words, least, gone)
+    return sorted(gone)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, key, hashes, words): a row for each id and text; null ids are LAST_ID, null texts are left out."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return (
         docs.where("text IS NOT NULL")
-        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), lines.alias("_l"))
+        .select(id_or_last(F.col("doc_id")).alias("doc_id"), text_key(F.col("text")).alias("key"), lines.alias("_l"))
         .select(
             "doc_id", "key",
             F.transform("_l", lambda x: F.xxhash64(x)).alias("hashes"),
@@ -128,58 +156,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and words of the shortest runs of lines, forwards and backwards from each line, that have enough words."""
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the shortest runs of lines, forwards and backwards from each line, that have enough words; runs of one line too."""
     n, at = len(hashes), np.arange(len(hashes))
     total = np.concatenate([[0], np.cumsum(words)])
     first = np.concatenate([at, np.searchsorted(total, total[1:] - least, side="right") - 1])
     last = np.concatenate([np.searchsorted(total, total[:-1] + least) - 1, at])
-    fits = (first >= 0) & (last < n) & (last > first)
+    fits = (first >= 0) & (last < n)
     first, last = np.divmod(np.unique(first[fits] * (n + 1) + last[fits]), n + 1)
     # sums of line hashes times powers of an odd number, divided by the power of the run's start
     power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
     back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes.view(np.uint64)) * power[:-1])])
     value = (sums[last + 1] - sums[first]) * back[first]
-    found, where = np.unique(_mix(value ^ (last - first).astype(np.uint64)).view(np.int64), return_index=True)
-    return found, (total[last + 1] - total[first])[where]
+    return np.unique(_mix(value ^ (last - first).astype(np.uint64)).view(np.int64))
 
 
-def runs(texts: DataFrame, *least: int) -> DataFrame:
-    """(doc_id, line: a hash, words) of runs of two lines or more."""
+def runs(texts: DataFrame, least: int) -> DataFrame:
+    """(doc_id, run): the hashes of each text's runs of lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [[run_hashes(h, w, x) for x in least] for h, w in zip(batch["hashes"], batch["words"])]
-            sizes = [sum(len(h) for h, _ in f) for f in found]
-            columns = [np.concatenate([np.zeros(0, np.int64), *(x[k] for f in found for x in f)]) for k in range(2)]
-            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes), "line": columns[0], "words": columns[1].astype(np.int32)})
-
-    return texts.select("doc_id", "hashes", "words").mapInPandas(run, "doc_id long, line long, words int").distinct()
-
-
-def overlaps(texts: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(early, late) of overlapping texts (doc_id, hashes, words), by the first holders of lines and of runs of lines."""
-    lines = texts.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("hashes", "words"), lambda x: (x["words"] >= MIN_LINE_WORDS) | (x["words"] >= least)))).alias("x"))
-    lines = lines.select("doc_id", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"), F.lit(True).alias("single"))
-    more = runs(texts, *{least, many * MIN_LINE_WORDS}).withColumn("single", F.lit(False))
-    lines = stage(lines.unionAll(more), "shared")
-    firsts = lines.groupBy("line").agg(F.count("*").alias("texts"), F.min("doc_id").alias("early")).where("texts > 1")
-    firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot line in the join
-    shared = lines.join(firsts, "line").where("doc_id > early")
-    # lines add up; runs overlap each other, and each counts for itself
-    words = F.greatest(F.sum(F.when(F.col("single"), F.col("words"))), F.max("words"))
-    pairs = shared.groupBy("early", F.col("doc_id").alias("late")).agg(words.alias("words"), F.min("texts").alias("rarest"))
-    return pairs.where((F.col("rarest") <= rare) | (F.col("words") >= many * MIN_LINE_WORDS)).select("early", "late")
-
-
-def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+            found = [run_hashes(h, w, least) for h, w in zip(batch["hashes"], batch["words"])]
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(h) for h in found]), "run": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    return texts.select("doc_id", "hashes", "words").mapInPandas(run, "doc_id long, run long")
+
+
+def overlaps(texts: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(early, late) of overlapping texts (doc_id, hashes, words): each text with the first holder of each of its runs."""
+    shared = stage(runs(texts, least), "runs")
+    firsts = shared.groupBy("run").agg(F.count("*").alias("texts"), F.min("doc_id").alias("early")).where("texts > 1").select("run", "early")
+    firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot run in the join
+    return shared.join(firsts, "run").where("doc_id > early").select("early", F.col("doc_id").alias("late")).distinct()
+
+
+def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, key, gone: array of booleans by line) of documents that lose lines."""
     rows = stage(line_table(docs), "lines")
     texts = stage(
         rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("words").alias("words")), "texts"
     )
-    pairs = overlaps(texts, rare, many, least)
+    pairs = overlaps(texts, least)
     early = texts.select(F.col("doc_id").alias("early"), F.col("hashes").alias("a"))
     late = texts.select(F.col("doc_id").alias("late"), F.col("key"), F.col("hashes").alias("b"), "words")
     met = pairs.join(early, "early").join(late, "late").select("late", "key", "a", "b", "words")
@@ -188,11 +206,11 @@ def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, l
         for batch in batches:
             found = []
             for a, b, words in zip(batch["a"], batch["b"], batch["words"]):
-                gone = common_blocks(align(a.tolist(), b.tolist()), words.tolist(), least)
+                gone = shared_blocks(a.tolist(), b.tolist(), words.tolist(), least)
                 found.append(gone)
             yield pd.DataFrame({"key": batch["key"], "late": batch["late"], "size": [len(b) for b in batch["b"]], "gone": found})
 
-    marks = met.mapInPandas(run, "key long, late long, size int, gone array<int>").where("size(gone) > 0")
+    marks = met.mapInPandas(run, "key binary, late long, size int, gone array<int>").where("size(gone) > 0")
     marks = marks.groupBy("late", "key", "size").agg(F.collect_list("gone").alias("gone"))
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +223,7 @@ def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, l
                 out.append(flags)
             yield pd.DataFrame({"doc_id": batch["late"], "key": batch["key"], "gone": out})
 
-    own = marks.mapInPandas(mask, "doc_id long, key long, gone array<boolean>")
+    own = marks.mapInPandas(mask, "doc_id long, key binary, gone array<boolean>")
     copies = (
         rows.select("doc_id", "key", F.size("hashes").alias("n")).distinct()
         .join(texts.select("key", F.col("doc_id").alias("home")), "key").where("doc_id > home")
@@ -214,32 +232,35 @@ def deletions(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, l
     return own.unionAll(copies)
 
 
-def _met(docs: DataFrame, *options: int) -> DataFrame:
-    marks = deletions(docs.select("doc_id", "text"), *options).withColumnsRenamed({"doc_id": "_id", "key": "_key", "gone": "_gone"})
-    return docs.join(marks, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+def _met(docs: DataFrame, least: int) -> DataFrame:
+    """(doc: the row, text, gone) of every row of docs."""
+    marks = deletions(docs.select("doc_id", "text"), least).toDF("at", "mark", "gone")
+    rows = docs.select(packed(docs).alias("doc"), "text", id_or_last(F.col("doc_id")).alias("own_at"), text_key(F.col("text")).alias("own_key"))
+    return rows.join(marks, (F.col("own_at") == F.col("at")) & (F.col("own_key") == F.col("mark")), "left").select("doc", "text", "gone")
 
 
 def _kept():
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col("_gone"), i)), "\n")
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col("gone"), i)), "\n")
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE_TEXTS, many: int = MANY_LINES, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """doc_id, text without deleted lines, n_lines (before), n_removed of every row of docs (doc_id, text)."""
     need(docs, "doc_id", "text")
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_gone"), lambda x: x)))
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("gone"), lambda x: x)))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
-    return _met(docs.select("doc_id", "text"), rare, many, least).select("doc_id", _kept().alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return _met(docs.select("doc_id", "text"), least).select("doc.doc_id", _kept().alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """docs with deleted lines gone from text and n_chars set anew; documents that lose all their words this way are dropped."""
     need(docs, "doc_id", "text")
-    rows = _met(docs).withColumn("_new", _kept())
-    empty = F.col("_gone").isNotNull() & (F.regexp_count("_new", F.lit(WORD)) == 0) & (F.regexp_count("text", F.lit(WORD)) > 0)
+    rows = _met(docs, least).withColumn("left", _kept())
+    empty = F.col("gone").isNotNull() & (F.regexp_count("left", F.lit(WORD)) == 0) & (F.regexp_count("text", F.lit(WORD)) > 0)
     rows = rows.where(~F.coalesce(empty, F.lit(False)))
-    changed = {"text": F.col("_new")}
+    doc = F.col("doc").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(changed).select(docs.columns)
+        n_chars = F.when(F.col("gone").isNull(), F.col("doc.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+        doc = doc.withField("n_chars", n_chars)
+    return rows.select(doc.alias("doc")).select("doc.*")

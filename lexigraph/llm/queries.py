@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import extract, imatch, lines, mixing, packing, rollups, simhash, spans, topk, toxicity
-from .common import table
+from .common import configured, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +49,4 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: configured(f) for name, f in globals().items() if name.startswith("op")}
