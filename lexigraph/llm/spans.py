@@ -5,9 +5,9 @@ line ends. From every sentence a span of consecutive sentences runs forwards, an
 backwards, until it has at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; one sentence
 of ``LONE_WORDS`` words or more is a span of its own, and so is every whole text. Any longer run is
 covered by spans inside it, so this removes what comparing every run of sentences would. Spans are
-compared by a 64-bit hash of their words (case and white space aside) over all documents; the first
-of a hash, by doc_id and place, stays, and every sentence that any other span of the hash covers is
-removed with the white space that follows it.
+compared by 96 bits of hashes of their words (case and white space aside) over all documents; the
+first of a hash, by doc_id and place, stays, and every sentence that any other span of the hash
+covers is removed with the white space that follows it.
 
 Per hash, count and first place are partial sums before the shuffle, so a passage in a third of
 all documents is one row a task; the join that finds its other places is an ordinary equi-join,
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, ship, stage
+from .common import id_or_last, need, ship, stage
 
 ship(__name__)
 
@@ -37,8 +37,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONE_WORDS = 40
 BREAK = re.compile(r"(?<=[.!?。！？])\s+|\s*\n\s*")
-LAST_ID = (1 << 63) - 1
-FACTOR = 0x9E3779B97F4A7C15
+FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -55,16 +54,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last sentence of every span."""
-    from xxhash import xxh64_intdigest
+def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, a second hash of 32 bits, first and last sentence of every span."""
+    from xxhash import xxh3_128_digest
 
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     n = len(words)
     none = np.zeros(0, np.int64)
     if not n:
-        return none, none, none
-    own = np.fromiter((xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
+        return none, none, none, none
+    own = np.frombuffer(b"".join(xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words), ">u8").astype(np.uint64).reshape(n, 2)
     total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     # forwards the span of sentence i ends at the first j with enough words and sentences, backwards it starts at the last such j
     at = np.arange(n)
@@ -79,38 +78,40 @@ def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int)
         first, last = np.append(first, 0), np.append(last, n - 1)
     first, last = np.divmod(np.unique(first * n + last), n)
     # sums of sentence hashes times powers of an odd number, divided by the power of the span's start
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
-    inverse = np.uint64(pow(FACTOR, -1, 1 << 64))
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(own) * power[:-1])])
-    value = (sums[last + 1] - sums[first]) * back[first]
-    return _mix(value ^ (last - first).astype(np.uint64)).view(np.int64), first, last
+    out = []
+    for k, factor in enumerate(FACTORS):
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)]))
+        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(factor, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(own[:, k]) * power[:-1])])
+        value = (sums[last + 1] - sums[first]) * back[first]
+        out.append(_mix(value ^ (last - first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1] >> 32, first, last
 
 
 def spans_of(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
-    """(hash, doc_id, key, first, last) for every span; key is a hash of the whole text, null ids are LAST_ID."""
+    """(hash, more, doc_id, key, first, last) for every span; key is a hash that tells texts of one id apart, null ids are LAST_ID."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 found = [span_hashes(t or "", min_sentences, min_words, lone_words) for t in part["text"]]
-                sizes = [len(h) for h, _, _ in found]
+                sizes = [len(x[0]) for x in found]
                 columns = [np.concatenate(x) for x in zip(*found)]
                 yield pd.DataFrame(
-                    {"hash": columns[0], "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "key": np.repeat(part["key"].to_numpy(), sizes), "first": columns[1].astype(np.int32), "last": columns[2].astype(np.int32)}
+                    {"hash": columns[0], "more": columns[1].astype(np.int32), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "key": np.repeat(part["key"].to_numpy(), sizes), "first": columns[2].astype(np.int32), "last": columns[3].astype(np.int32)}
                 )
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return source.mapInPandas(run, "hash long, doc_id long, key long, first int, last int")
+    source = docs.select(id_or_last(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return source.mapInPandas(run, "hash long, more int, doc_id long, key long, first int, last int")
 
 
 def repeats_of(spans: DataFrame) -> DataFrame:
     """(doc_id, key, covered: ranges of sentences) of documents with a span that is not the first of its hash."""
     at = F.struct("doc_id", "key", "first")
-    firsts = spans.groupBy("hash").agg(F.min(at).alias("home"), F.max(at).alias("other")).where("home <> other").select("hash", "home")
+    firsts = spans.groupBy("hash", "more").agg(F.min(at).alias("home"), F.max(at).alias("other")).where("home <> other").select("hash", "more", "home")
     firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot hash in the join
-    later = spans.join(firsts, "hash").where(at > F.col("home"))
+    later = spans.join(firsts, ["hash", "more"]).where(at > F.col("home"))
     return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
 
@@ -131,7 +132,7 @@ def without_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     spans = stage(spans_of(docs, min_sentences, min_words, lone_words), "spans")
     marks = repeats_of(spans).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = source.join(marks, (F.coalesce("doc_id", F.lit(LAST_ID)) == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").select("doc_id", "text", "covered")
+    met = source.join(marks, (id_or_last(F.col("doc_id")) == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").select("doc_id", "text", "covered")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,49 +8,49 @@ from lexigraph.llm import spans
 from lexigraph.llm.common import table
 
 
+def parts_of(text):
+    ends = [m.end() for m in re.finditer(r"(?<=[.!?。！？])\s+|\s*\n\s*", text)]
+    ends = ends if ends and ends[-1] == len(text) else [*ends, len(text)]
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def plain(rows, min_sentences=2, min_words=20, lone_words=40):
-    """Text without repeated sentences by id and text: all spans in one dictionary."""
-    def parts(text):
-        ends = [m.end() for m in re.finditer(r"(?<=[.!?。！？])\s+|\s*\n\s*", text)]
-        ends = ends if ends and ends[-1] == len(text) else [*ends, len(text)]
-        return [text[a:b] for a, b in zip([0, *ends], ends)]
-
-    keyed = {}
-    for r in rows:
-        if r.text:
-            keyed[(float("inf") if r.doc_id is None else r.doc_id, r.text)] = parts(r.text)
-    seen, where = {}, {}
-    for key, p in keyed.items():
+    """Text without repeated sentences by id and text: every run of sentences that is long enough, and whole texts, in the order of their first places.
+
+    keys: ids in order, then a hash of the text, as the operator orders texts of one id.
+    """
+    keyed = {(float("inf") if r.doc_id is None else r.doc_id, r.key, r.text): parts_of(r.text) for r in rows if r.text}
+    seen, whole, gone = {}, set(), {}
+    for key in sorted(keyed):
+        p = [tuple(x.lower().split()) for x in keyed[key]]
+        size = [len(x) for x in p]
+        out = gone[key] = set()
+        if sum(size):
+            if tuple(p) in whole:
+                out.update(range(len(p)))
+            whole.add(tuple(p))
+        # a run is repeated only if all its shorter ones are, so runs grow while they are known
         for i in range(len(p)):
-            j, words = i, len(p[i].split())
-            if words < lone_words:
-                while j < len(p) and (words < min_words or j - i + 1 < min_sentences):
-                    j += 1
-                    words += len(p[j].split()) if j < len(p) else 0
-            if j < len(p):
-                run = tuple(tuple(x.lower().split()) for x in p[i : j + 1])
-                where.setdefault(run, []).append((key, i, j))
-    # documents of one id are ordered by a hash of the text, as the operator does
-    gone = {}
-    for places in where.values():
-        places.sort(key=lambda x: (x[0][0], KEYS[x[0]], x[1]))
-        for key, i, j in places[1:]:
-            gone.setdefault(key, set()).update(range(i, j + 1))
-    out = {}
-    for key, p in keyed.items():
-        g = gone.get(key, set())
-        out[key] = ("".join(x for i, x in enumerate(p) if i not in g).rstrip() if g else key[1], len(g))
-    return out
-
-
-KEYS = {}
+            words = 0
+            for j in range(i, len(p)):
+                words += size[j]
+                if words < min_words or j == i:
+                    if not (i == j and words >= lone_words):
+                        continue
+                elif j - i + 1 < min_sentences:
+                    continue
+                run = tuple(p[i : j + 1])
+                if run in seen and seen[run] < (key, i):
+                    out.update(range(i, j + 1))
+                elif run not in seen:
+                    seen[run] = (key, i)
+                if j - i > 60:
+                    break  # longer runs hold these
+    return {(k[0], k[2]): ("".join(x for i, x in enumerate(keyed[k]) if i not in g).rstrip() if g else k[2], len(g)) for k, g in gone.items()}
 
 
 def check(docs):
-    KEYS.clear()
-    for r in docs.select("doc_id", "text", F.xxhash64("text").alias("k")).collect():
-        KEYS[(float("inf") if r.doc_id is None else r.doc_id, r.text)] = r.k
-    rows = docs.collect()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).collect()
     want = plain(rows)
     expect = sorted(repr((r.doc_id, *(want[(float("inf") if r.doc_id is None else r.doc_id, r.text)] if r.text else (r.text, 0)))) for r in rows)
     got = sorted(repr((r.doc_id, r.text, r.n_removed)) for r in spans.without_repeats(docs).collect())
