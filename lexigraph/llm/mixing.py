@@ -7,10 +7,10 @@ cumulated sums name the bucket in which the budget ends, and only that bucket is
 next bits until it holds a single hash. The rows are then filtered by comparison with the
 threshold; nothing is sorted and no row moves.
 
-Defined results: null texts have size 0; null sources form one source, last in order; a null id
-hashes as the empty string; rows of a source with one id share a hash and are taken alike; an
-empty table gives an empty result. The row at the threshold is taken if that brings the source
-nearer to its target. Extra columns pass through.
+Defined results: null texts have size 0; null sources form one source, last in order; the hash is of
+id and text, so rows without an id, or of one id, are spread like others; rows alike in both share a
+hash and are taken alike; an empty table gives an empty result. The row at the threshold is taken if
+that brings the source nearer to its target. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, need, stage
+from .common import WORD, need, packed, stage
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -34,9 +34,21 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(key: Column) -> Column:
+def hash_of(doc_id: Column, text: Column) -> Column:
     """60 bits of MD5 as a long, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    both = F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def numbered(per: DataFrame) -> DataFrame:
+    """Rows (source, source_size) with their place among all sources, from 0: by code point, nulls last. Each task of a range sort numbers its own."""
+    spot = F.monotonically_increasing_id()  # the task in the upper bits, the row below
+    rows = stage(per.orderBy(F.col("source").asc_nulls_last()).select("source", "source_size", spot.alias("spot")), "mix")
+    tasks = rows.groupBy(F.shiftright("spot", 33).alias("task")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each task of the sort
+    place = F.col("start") + F.col("spot").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), F.shiftright("spot", 33) == F.col("task")).select("source", "source_size", place.alias("place"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
@@ -44,29 +56,30 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ca
 
     Sources by code point, nulls last, get the weights in turn. Giving the excess of capped
     sources to the others by weight, until none is above its cap, has one outcome: a level such
-    that each target is the smaller of the cap and level x weight. Capping in order of cap over
-    weight, the level rises until the first source that stays below its cap, so it is a maximum.
+    that each target is the smaller of the cap and level x weight. It rises from the level without
+    caps to what the sources below their caps have left to share, until no more sources reach theirs.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     table = F.array(*[F.lit(int(w)) for w in weights])
-    rows = (
-        per.withColumn("_w", F.element_at(table, ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int")).cast("long"))
-        .withColumn("_cap", F.col("source_size") * F.lit(int(cap)))
-        .withColumn("_share", F.sum("source_size").over(every) * F.lit(float(budget)))
-        .withColumn("_left", F.col("_share") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-        .withColumn("_free", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-        .withColumn("_level", F.max(F.col("_left") / F.col("_free")).over(every))
-    )
-    target = F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w"))
+    weight = F.element_at(table, (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    rows = stage(numbered(per).select("source", "source_size", weight.alias("w"), (F.col("source_size") * int(cap)).alias("most")), "mix")
+    total, shares = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    level, last = ((total or 0) * float(budget) / shares if shares else 0.0), None
+    while level != last:
+        full = F.col("most") <= F.lit(level) * F.col("w")
+        taken, free = rows.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0))).first()
+        last, level = level, max(level, (total * float(budget) - taken) / free) if free else level
+    target = F.least(F.col("most").cast("double"), F.lit(level) * F.col("w"))
     return rows.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
-def _same_source(a: DataFrame, b: DataFrame) -> Column:
-    return a["source"].eqNullSafe(b["source"])
+def _by_source(rows: DataFrame, small: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows (source, h, ...) with what small (_s, ...) has for their source. A small table under the checked size is broadcast; else hot sources are salted."""
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    if few:
+        return rows.join(F.broadcast(small), same, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_own", F.pmod(F.col("h"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_own") == F.col("_salt")), how).drop("_own", "_salt")
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -79,13 +92,12 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         "mix",
     )
     few = state.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda frame: frame)
     shift = HASH_BITS
     while shift > 0:
         shift -= LEVEL_BITS
         step = 1 << shift
-        open_ = small(state.where("limit IS NULL").select(F.col("source").alias("_s"), "rest", "low"))
-        inside = sized.join(open_, F.col("source").eqNullSafe(F.col("_s")) & (F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(step << LEVEL_BITS)))
+        open_ = state.where("limit IS NULL").select(F.col("source").alias("_s"), "rest", "low")
+        inside = _by_source(sized, open_, few).where((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(step << LEVEL_BITS)))
         # partial sums by source and bucket before the shuffle: a hot source is at most 1024 rows a task
         histogram = inside.groupBy("source", F.shiftright(F.col("h"), shift).alias("bucket")).agg(
             F.sum("size").alias("words"), F.min("h").alias("first"), F.max("h").alias("last"), F.first("rest").alias("rest")
@@ -102,7 +114,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         taken = F.col("at.first") + F.when(left * 2 >= F.col("at.words"), F.lit(1)).otherwise(F.lit(0))
         limit = F.when(F.col("limit").isNotNull(), F.col("limit")).when(F.col("at").isNull(), F.lit(1 << HASH_BITS)).when(single, taken)
         state = stage(
-            state.join(small(ends), F.col("source").eqNullSafe(F.col("_s")), "left").select(
+            state.join(F.broadcast(ends) if few else ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
                 "source", "source_size", "target", "base",
                 F.when(F.col("limit").isNull() & F.col("at").isNotNull(), left).otherwise(F.col("rest")).alias("rest"),
                 F.when(F.col("limit").isNull() & F.col("at").isNotNull(), F.shiftleft(F.col("at.bucket"), shift)).otherwise(F.col("low")).alias("low"),
@@ -115,30 +127,26 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "base", "limit")
 
 
-def with_takes(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Add source_size, target and copies to rows that have source and h. The small table is broadcast under a checked size; else hot sources are salted."""
-    limits = limits.withColumnRenamed("source", "_s")
-    if limits.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(limits), rows["source"].eqNullSafe(F.col("_s")), "left")
-    else:
-        salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, rows["source"].eqNullSafe(F.col("_s")) & (rows["_salt"] == salted["_salt"]), "left").drop("_salt")
-    return joined.withColumn("copies", F.col("base") + (F.col("h") < F.col("limit")).cast("long")).drop("_s", "base", "limit")
+def with_takes(rows: DataFrame, limits: DataFrame, cap: int = CAP) -> DataFrame:
+    """Add source_size, target and copies to rows that have source and h."""
+    few = limits.count() <= BROADCAST_SOURCES
+    joined = _by_source(rows, limits.withColumnRenamed("source", "_s"), few, "left")
+    copies = F.least(F.col("base") + (F.col("h") < F.col("limit")).cast("long"), F.lit(int(cap)).cast("long"))
+    return joined.withColumn("copies", copies).drop("_s", "base", "limit")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken."""
     need(docs, "doc_id", "text", "source")
-    sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "mix")
-    rows = with_takes(sized, thresholds(sized, source_targets(sized, weights, budget, cap)))
+    sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix")
+    rows = with_takes(sized, thresholds(sized, source_targets(sized, weights, budget, cap)), cap)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the same columns."""
     need(docs, "doc_id", "text", "source")
-    keyed = docs.withColumn("h", hash_of(F.col("doc_id")))
-    sized = stage(keyed.select("source", size_of(F.col("text")).alias("size"), "h"), "mix")
-    rows = with_takes(keyed, thresholds(sized, source_targets(sized, weights, budget, cap)))
-    return rows.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    keyed = docs.select(packed(docs).alias("doc"), "source", hash_of(F.col("doc_id"), F.col("text")).alias("h"))
+    sized = stage(keyed.select("source", size_of(F.col("doc.text")).alias("size"), "h"), "mix")
+    rows = with_takes(keyed, thresholds(sized, source_targets(sized, weights, budget, cap)), cap)
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("copies") > 0, F.col("copies")))).alias("n")).select("doc.*")

@@ -11,7 +11,8 @@ from lexigraph.llm.common import table
 
 def plain(rows, weights=(3, 1, 2), budget=1.5, cap=2):
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows]
-    h = [int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) for r in rows]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    h = [int(md5(("" if r.doc_id is None else str(r.doc_id)) + "|" + ("" if r.text is None else md5(r.text)))[:15], 16) for r in rows]
     total = defaultdict(int)
     for r, n in zip(rows, size):
         total[r.source] += n
@@ -86,3 +87,30 @@ def test_documents_come_as_often_as_taken(spark, sf_dir):
     want = {r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r.taken}
     got = {r.doc_id: r["count"] for r in mixing.mixed_documents(docs).groupBy("doc_id").count().collect()}
     assert got == want
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Sources whose rows have no id, or all the same one, come near their targets; empty texts are in the mix at most twice."""
+    rows = [(None, f"row {i} of the first " + "w " * (i % 190), "a") for i in range(200)] + [(7, f"row {i} of the second " + "w " * (i % 90), "b") for i in range(200)]
+    docs = spark.createDataFrame(rows + [(i, "", "b") for i in range(50)], "doc_id long, text string, source string")
+    check(docs)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        t = taken.setdefault(r.source_size, [0, r.target])
+        t[0] += r.taken
+    assert all(abs(n - target) <= 200 for n, target in taken.values())
+    copies = [r["count"] for r in mixing.mixed_documents(docs).where("text = ''").groupBy("doc_id").count().collect()]
+    assert max(copies, default=0) <= 2
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["doc_id", "text", "source", "h", "target", "limit", "base", "source_size", "copies", "size", "n", "doc", "_s", "_own"]
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "ab"[i % 2], *[f"{n}{i}" for n in names[3:]]) for i in range(20)], names)
+    rows = mixing.mixed_documents(docs).collect()
+    assert rows and all(tuple(r)[3:] == tuple(f"{n}{r.doc_id}" for n in names[3:]) for r in rows)
+
+
+def test_many_sources_get_the_weights_in_turn(spark):
+    """Every source is a host of its own; ranks are counted over many tasks."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "concat('host', lpad(id * 7919 % 3000, 5, '0')) AS source").repartition(16)
+    check(docs)
