@@ -4,18 +4,18 @@ from __future__ import annotations
 
 OP2 = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-cells AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+cells AS (SELECT own, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
-  FROM cells q JOIN cells c ON q.i = c.i AND q.vec_id <> c.vec_id
+  SELECT q.own AS q_own, c.own AS c_own, q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM cells q JOIN cells c ON q.i = c.i AND q.own <> c.own
   WHERE q.vec_id % 50 = 0
   GROUP BY ALL),
 ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores)
+  SELECT query_id, row_number() OVER (PARTITION BY q_own ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 

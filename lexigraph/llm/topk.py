@@ -11,18 +11,22 @@ quantisation can hide has a bound, so all rows whose coarse score is within it o
 candidates; their exact integer scores settle the rows. The k best of each block meet in a final
 top k by query.
 
-Every query block is joined with every data block by key, in blocks of a fixed size; the joined
-pair is all that a task holds.
+Every query block meets every data block, in blocks of a fixed size. A data block comes to its task
+once, followed by the query blocks one after another; a pair of blocks is all that the task holds.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor
-do rows without an id; of rows that share an id the smallest vector counts; vectors of different
-lengths are not compared; an empty vector scores 0; scores beyond a long saturate; fewer than k
-other rows give fewer results; an empty table gives an empty result; extra columns are ignored.
+do rows without an id; rows that share an id are rows of their own, each a candidate for the others
+and, if its id is asked for, a query; vectors of different lengths are not compared; an empty vector
+scores 0; vectors with components of over 2^200 are in blocks of their own and are scored one by one;
+scores beyond a long saturate; fewer than k other rows give fewer results; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -38,13 +42,26 @@ SCALE = 256
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 512
 COARSE_BITS = 6
-PARTIAL = "query_id long, vec_id long, score long"
+PARTIAL = "query_id long, own long, vec_id long, score long"
+#: Components above this have no bit slices.
+WILD = 2.0**192
 
 
 def quantised(vectors: np.ndarray) -> np.ndarray:
     return np.floor(np.float64(SCALE) * vectors.astype(np.float64))
 
 
+def whole(x: float) -> int:
+    """floor(SCALE * x), without overflow."""
+    return int(x) * SCALE if abs(x) >= 2**53 else math.floor(SCALE * x)
+
+
+def products(rows: list[list[int]], query: list[int]) -> np.ndarray:
+    """Integer inner products, saturated to a long."""
+    found = [sum(map(mul, row, query)) for row in rows]
+    return np.array([max(1 - 2**63, min(2**63 - 1, s)) for s in found], np.int64)
+
+
 def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products of floats that hold integers; saturated to a long."""
     if rows.size == 0:
@@ -52,8 +69,12 @@ def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     most = np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * max(1, rows.shape[1])
     if most < 2**53:
         return (rows @ query).astype(np.int64)
-    whole = [sum(int(x) * int(y) for x, y in zip(row, query)) for row in rows]
-    return np.array([max(1 - 2**63, min(2**63 - 1, s)) for s in whole], np.int64)
+    return products([[int(x) for x in row] for row in rows], [int(x) for x in query])
+
+
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, ties to the smaller id."""
+    return np.lexsort((ids, -scores))[:k]
 
 
 class BlockIndex:
@@ -141,12 +162,11 @@ class BlockIndex:
                 same = same & ~total[bit]
         return more | same
 
-    def top(self, query: np.ndarray, own: int, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of the k best rows, ties to the smaller id; own is the query's place or -1."""
-        rows = self.valid
-        if own >= 0:
-            rows = rows.copy()
-            rows[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
+    def top(self, query: np.ndarray, own: list[int], k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and exact scores of the k best rows but those at the query's own places, ties to the smaller id."""
+        rows = self.valid.copy()
+        for place in own:
+            rows[place >> 6] &= ~(np.uint64(1) << np.uint64(place & 63))
         size = np.abs(query)
         # weights of 7 bits; what they leave of larger components is in the bound
         unit = 2.0 ** max(0, int(np.ceil(np.log2(size.max(initial=0) + 1))) - 7)
@@ -159,7 +179,20 @@ class BlockIndex:
         near = self.at_least(total, rows, self.kth(total, rows, k) - gap)
         places = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: self.n])
         scores = exact_scores(self.rows[places], query)
-        order = np.lexsort((ids[places], -scores))[:k]
+        order = best(ids[places], scores, k)
+        return places[order], scores[order]
+
+
+class WildBlock:
+    """Rows with components too large for bit slices."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = [[whole(x) for x in row] for row in rows.tolist()]
+
+    def top(self, query: list[int], own: list[int], k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places = np.setdiff1d(np.arange(len(self.rows)), own)
+        scores = products([self.rows[i] for i in places], query)
+        order = best(ids[places], scores, k)
         return places[order], scores[order]
 
 
@@ -169,84 +202,106 @@ def _cells(data: bytes, rows: int, dims: int) -> np.ndarray:
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding, own) of rows that take part; own numbers the rows, once they are staged."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
-        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        .withColumn("dims", F.size("embedding"))
+        .withColumn("own", F.monotonically_increasing_id())
     )
 
 
+BLOCKS = "dims int, wild boolean, block long, ids binary, own binary, cells binary"
+
+
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(dims, block, ids, cells): rows packed by task into blocks of size rows or fewer, as bytes."""
+    """BLOCKS: rows packed by task into blocks of size rows or fewer, as bytes. Wild blocks keep their components as they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list, list]] = {}
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
 
-        def full(dims):
+        def full(kind):
             nonlocal made
-            ids, cells = held.pop(dims)
+            ids, own, cells = held.pop(kind)
             made += 1
-            whole = np.array(cells, "<f8").reshape(len(ids), dims)
-            exact = np.abs(whole).max(initial=0) < 2**24
-            return {"dims": dims, "block": (task << 32) + made, "ids": np.array(ids, "<i8").tobytes(), "cells": whole.astype("<f4" if exact else "<f8").tobytes()}
+            values = np.array(cells, "<f8").reshape(len(ids), kind[0])
+            exact = not kind[1] and np.abs(values).max(initial=0) < 2**24
+            return [*kind, (task << 32) + made, np.array(ids, "<i8").tobytes(), np.array(own, "<i8").tobytes(), values.astype("<f4" if exact else "<f8").tobytes()]
 
         for batch in batches:
             out = []
-            for vec_id, vector in zip(batch["vec_id"], batch["embedding"]):
-                ids, cells = held.setdefault(len(vector), ([], []))
-                ids.append(vec_id)
-                cells.append(quantised(np.asarray(vector, np.float64)))
-                if len(ids) == size:
-                    out.append(full(len(vector)))
-            yield pd.DataFrame(out, columns=["dims", "block", "ids", "cells"])
-        yield pd.DataFrame([full(d) for d in list(held)], columns=["dims", "block", "ids", "cells"])
+            for vec_id, vector, own in zip(batch["vec_id"], batch["embedding"], batch["own"]):
+                vector = np.asarray(vector, np.float64)
+                wild = bool(np.abs(vector).max(initial=0) > WILD)
+                kind = (len(vector), wild)
+                block = held.setdefault(kind, ([], [], []))
+                for part, x in zip(block, (vec_id, own, vector if wild else quantised(vector))):
+                    part.append(x)
+                if len(block[0]) == size:
+                    out.append(full(kind))
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([full(kind) for kind in list(held)], columns=names)
 
-    return rows.select("vec_id", "embedding").mapInPandas(run, "dims int, block long, ids binary, cells binary")
+    return rows.select("vec_id", "embedding", "own").mapInPandas(run, BLOCKS)
 
 
 def _repack(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of nearly the full size: rows go to as many tasks as there are full blocks."""
     wanted = max(1, -(-rows.count() // size))
-    return stage(_blocks(rows.repartition(wanted, F.xxhash64("vec_id")), size), "blocks")
+    return stage(_blocks(rows.repartition(wanted, F.xxhash64("vec_id", "own")), size), "blocks")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score. Both tables have vec_id, embedding; a query's own id is no candidate."""
-    need(vectors, "vec_id", "embedding")
-    need(queries, "vec_id", "embedding")
-    data = _repack(stage(_clean(vectors), "vectors"), BLOCK_ROWS)
-    asked = _repack(stage(_clean(queries), "asked"), QUERY_ROWS)
-    right = asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    # block numbers are paired first; a data block then moves once, query blocks once for each data block
-    pairs = data.select("dims", "block").join(right.select("dims", "q_block"), "dims").drop("dims")
-    met = pairs.join(right.drop("dims"), "q_block").join(data, "block").select("block", "dims", "ids", "cells", "q_ids", "q_cells")
+def _best(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score for tables (vec_id, embedding, own); a candidate with the query's own is left out."""
+    data, right = _repack(rows, BLOCK_ROWS), _repack(asked, QUERY_ROWS)
+    # block numbers are paired first; then a data block moves once, query blocks once for each data block
+    pairs = data.select("dims", F.col("block").alias("home")).join(right.select("dims", "block"), "dims")
+    first = data.select(F.col("block").alias("home"), F.lit(0).alias("turn"), "dims", "wild", "ids", "own", "cells")
+    after = pairs.select("home", "block").join(right, "block").select("home", F.lit(1).alias("turn"), "dims", "wild", "ids", "own", "cells")
+    met = first.unionAll(after).repartition("home").sortWithinPartitions("home", "turn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, index, ids, place = None, None, None, {}
+        index, ids, place = None, None, {}
         for batch in batches:
-            for pair in batch.itertuples():
-                if pair.block != block:
-                    block, ids = pair.block, np.frombuffer(pair.ids, "<i8")
-                    index = BlockIndex(_cells(pair.cells, len(ids), pair.dims))
-                    place = {x: i for i, x in enumerate(ids.tolist())}
-                q_ids = np.frombuffer(pair.q_ids, "<i8")
+            for row in batch.itertuples():
+                row_ids, row_own = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.own, "<i8")
+                cells = _cells(row.cells, len(row_ids), row.dims)
+                if not row.turn:
+                    ids, place = row_ids, {}
+                    for i, x in enumerate(row_own.tolist()):
+                        place.setdefault(x, []).append(i)
+                    index = WildBlock(cells) if row.wild else BlockIndex(cells)
+                    continue
+                block = index
+                if row.wild and not isinstance(block, WildBlock):  # a wild query meets plain rows
+                    block = WildBlock(block.rows / SCALE)
                 found = []
-                for q, query in zip(q_ids.tolist(), _cells(pair.q_cells, len(q_ids), pair.dims)):
-                    at, scores = index.top(query, place.get(q, -1), k, ids)
-                    found.append(pd.DataFrame({"query_id": np.full(len(at), q, np.int64), "vec_id": ids[at], "score": scores}))
+                for q, own, query in zip(row_ids.tolist(), row_own.tolist(), cells):
+                    if isinstance(block, WildBlock):
+                        query = [whole(x) if row.wild else int(x) for x in query.tolist()]
+                    at, scores = block.top(query, place.get(own, []), k, ids)
+                    found.append(pd.DataFrame({"query_id": np.full(len(at), q, np.int64), "own": np.full(len(at), own, np.int64), "vec_id": ids[at], "score": scores}))
                 if found:
                     yield pd.concat(found)
 
     partial = met.mapInPandas(run, PARTIAL)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.col("score").desc(), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score. Both tables have vec_id, embedding; rows of a query's own id are no candidates."""
+    need(vectors, "vec_id", "embedding")
+    need(queries, "vec_id", "embedding")
+    return _best(*[stage(_clean(x).withColumn("own", F.col("vec_id")), "vectors") for x in (vectors, queries)], k)
+
+
 def neighbours(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
-    """The stated query set: rows whose vec_id is divisible by ``every``, against all rows."""
-    return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
+    """The stated query set: rows whose vec_id is divisible by ``every``, against all rows but themselves."""
+    need(vectors, "vec_id", "embedding")
+    rows = stage(_clean(vectors), "vectors")
+    return _best(rows, rows.where(F.col("vec_id") % every == 0), k)

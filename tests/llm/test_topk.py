@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,21 +11,22 @@ from lexigraph.llm.common import table
 SCHEMA = "vec_id long, embedding array<double>, score string, rank string"
 
 
+def whole(x):
+    """floor(256 * x) of a finite double, exactly."""
+    return math.floor(256 * Fraction(x))
+
+
 def plain(rows, queries, k=5):
-    fine = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        fine[i] = min(v, fine.get(i, v))
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in fine.items()}
+    fine = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(set(queries) & set(ints)):
-        scored = []
-        for i, v in ints.items():
-            if i != q and len(v) == len(ints[q]):
-                s = sum(x * y for x, y in zip(ints[q], v))
-                scored.append((-max(1 - 2**63, min(2**63 - 1, s)), i))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
+    for at, (q, own) in enumerate(fine):
+        if q in queries:
+            scored = []
+            for place, (i, v) in enumerate(fine):
+                if place != at and len(v) == len(own):
+                    s = sum(x * y for x, y in zip(own, v))
+                    scored.append((-max(1 - 2**63, min(2**63 - 1, s)), i))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 
 
@@ -45,6 +47,7 @@ def test_odd_rows(spark):
     rows += [(400, None), (401, [1.0, None] + [0.0] * 5), (402, [math.nan] * 7), (403, [math.inf] * 7), (None, [1.0] * 7)]
     rows += [(450, [1.0, 2.0]), (451, [2.0, -1.0]), (500, []), (550, []), (600, [1e9, -3.0, 4.0]), (601, [7e8, 2.0, -1e-3]), (602, [1e17] * 3), (603, [-1e17] * 3)]
     rows += [(50, [rng.gauss(0, 1) for _ in range(7)]), rows[0], rows[0]]  # ids that repeat
+    rows += [(700, [1e306, -1e306, 3.0]), (701, [1e306, 1e306, -7.5]), (702, [-1.7e308, 5e-324, 0.25]), (750, [2.0, 1e150, -1e150])]
     frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
     asked = [i for i, _ in rows if i is not None and i % 50 == 0]
     assert got(topk.neighbours(frame)) == plain(rows, asked)
@@ -72,5 +75,5 @@ def test_slices_against_sums(scale):
         exact = (rows @ query).astype(np.int64)
         exact[n] = -(2**62)
         best = np.lexsort((ids, -exact))[:5]
-        at, scores = index.top(query, n, 5, ids)
+        at, scores = index.top(query, [n], 5, ids)
         assert at.tolist() == best.tolist() and scores.tolist() == exact[best].tolist()
