@@ -6,7 +6,12 @@ deletes -1 and -n, revisions 0 and new - old. Changes are summed by key where th
 anything is shuffled, so a source with a third of all rows is one row a task. The sums go to a
 staging folder and are moved into place under the batch's id by one rename; a batch whose id is
 there already is not read again, so a retried or replayed commit changes nothing. Compaction
-writes the totals so far, with the ids they hold, as a new snapshot; ids of a snapshot stay known.
+writes the totals so far as a new snapshot, with the ids that are new in it; ids of all snapshots
+stay known, as tables that are joined, never collected. Folders that a compaction folds are removed
+by the next one, so whoever reads totals meanwhile can finish.
+
+The registered query counts each text by white-space words and by a real tokenizer, a vocabulary
+file of the tokenizers library whose path is a parameter.
 
 Defined results: changes without a number of tokens, or revisions without an old number, count as
 0 tokens there; null sources, languages and tokenizers are keys of their own; an unknown kind of
@@ -17,19 +22,21 @@ a commit; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, need, scratch_path, ship, stage
+from .packing import default_vocabulary, encoder_for
 
 ship(__name__)
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
-#: Tokenizer versions that are plain expressions; others come as counts.
-WORDS_V1, ALNUM_V1 = "words-v1", "alnum-v1"
-ALNUM = r"[0-9A-Za-z]+|[^\x00-\x7F]+"
+WORDS_V1 = "words-v1"
 
 
 def estimate(text: Column) -> Column:
@@ -37,25 +44,22 @@ def estimate(text: Column) -> Column:
     return F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4).cast("long")
 
 
-def counted(text: Column, tokenizer: str) -> Column:
-    pattern = {WORDS_V1: WORD, ALNUM_V1: ALNUM}[tokenizer]
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
-
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-def vocabulary_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, tokens) by a vocabulary file of the tokenizers library."""
-    import pandas as pd
 
-    from .packing import encoder_for
+def vocabulary_count(text: Column, vocabulary: str | None = None) -> Column:
+    """Tokens of a text by a vocabulary file, without special tokens."""
+    path = vocabulary or default_vocabulary()
 
-    def run(batches):
-        encoder = encoder_for(vocabulary)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "tokens": [len(b) // 4 for b in encoder.encode(list(part["text"]))]})
+    @F.pandas_udf("long")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = encoder_for(path if Path(path).exists() else default_vocabulary())
+        for part in texts:
+            held = part.tolist()
+            yield pd.Series([len(ids) // 4 for at in range(0, len(held), 256) for ids in encoder.encode(held[at : at + 256])], dtype="int64")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, tokens long")
+    return run(text)
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -97,11 +101,11 @@ class RollupStore:
     def _snapshot(self) -> str | None:
         return max(self._names("snapshots"), key=lambda n: int(n.split("-")[1]), default=None)
 
-    def _held(self, snapshot: str | None) -> set[str]:
-        if snapshot is None:
-            return set()
-        rows = self.spark.read.schema("id string").parquet(f"{self.path}/snapshots/{snapshot}/ids").collect()
-        return {r["id"] for r in rows}
+    def _held(self, snapshot: str | None) -> DataFrame:
+        """(id) of the batches that a snapshot holds: those of its own folder and of all before it."""
+        last = int(snapshot.split("-")[1]) if snapshot else -1
+        paths = [f"{self.path}/snapshots/{n}/ids" for n in self._names("snapshots") if int(n.split("-")[1]) <= last]
+        return self.spark.read.schema("id string").parquet(*paths) if paths else self.spark.createDataFrame([], "id string")
 
     def _publish(self, staged: str, place: str) -> bool:
         """Move a finished folder to its place, unless another one is there."""
@@ -117,22 +121,26 @@ class RollupStore:
             return False
         return True
 
-    def committed(self) -> set[str]:
-        return self._held(self._snapshot()) | {bytes.fromhex(n[6:]).decode() for n in self._names("batches")}
+    def known(self, batch_id: str) -> bool:
+        """Whether a batch is committed."""
+        if self.fs.exists(self._path(f"{self.path}/batches/{_folder(batch_id)}")):
+            return True
+        return not self._held(self._snapshot()).where(F.col("id") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch once. False, and no effect, if its id is known."""
-        if batch_id in self.committed():
+        if self.known(batch_id):
             return False
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         signed(changes).write.parquet(staged)
-        return self._publish(staged, f"batches/batch-{batch_id.encode().hex()}")
+        return self._publish(staged, f"batches/{_folder(batch_id)}")
 
-    def _parts(self) -> tuple[str | None, set[str], list[str]]:
-        snapshot = self._snapshot()
-        held = self._held(snapshot)
-        fresh = [n for n in self._names("batches") if bytes.fromhex(n[6:]).decode() not in held]
-        return snapshot, held, fresh
+    def _parts(self) -> tuple[str | None, list[str], list[str]]:
+        """The snapshot; folders of batches that are not in it, and of those that are (the last compaction's)."""
+        snapshot, names = self._snapshot(), self._names("batches")
+        ids = self.spark.createDataFrame([(_id(n), n) for n in names], "id string, name string")
+        old = {r["name"] for r in ids.join(self._held(snapshot), "id", "left_semi").collect()}  # names of this listing
+        return snapshot, [n for n in names if n not in old], sorted(old)
 
     def _sum(self, snapshot: str | None, fresh: list[str]) -> DataFrame:
         paths = [f"{self.path}/batches/{n}" for n in fresh]
@@ -143,46 +151,54 @@ class RollupStore:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches."""
-        snapshot, _, fresh = self._parts()
+        snapshot, fresh, _ = self._parts()
         return self._sum(snapshot, fresh)
 
     def compact(self) -> bool:
-        """Fold all batches into a new snapshot; their folders go, and their ids stay known."""
-        snapshot, held, fresh = self._parts()
+        """Fold all batches into a new snapshot. What the last compaction folded goes now; ids stay known."""
+        snapshot, fresh, folded = self._parts()
         if not fresh:
             return False
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         self._sum(snapshot, fresh).write.parquet(f"{staged}/totals")
-        ids = sorted(held | {bytes.fromhex(n[6:]).decode() for n in fresh})
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{staged}/ids")
+        self.spark.createDataFrame([(_id(n),) for n in fresh], "id string").coalesce(1).write.parquet(f"{staged}/ids")
         number = int(snapshot.split("-")[1]) + 1 if snapshot else 0
         if not self._publish(staged, f"snapshots/snapshot-{number}"):
             return False
-        for name in fresh:
-            self.fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+        for gone in [f"batches/{n}" for n in folded] + [f"snapshots/snapshot-{number - 2}/totals"]:
+            self.fs.delete(self._path(f"{self.path}/{gone}"), True)
         return True
 
 
-def document_rollups(docs: DataFrame, path: str | None = None) -> DataFrame:
+def _folder(batch_id: str) -> str:
+    return f"batch-{batch_id.encode().hex()}"
+
+
+def _id(folder: str) -> str:
+    return bytes.fromhex(folder[6:]).decode()
+
+
+def document_rollups(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Totals of a table's life, kept in a store.
 
     Three commits: every row is inserted with an estimate for each tokenizer version; the
     tokenizers' counts revise all estimates; rows whose text an earlier row has (by doc_id, null
-    last) are deleted. The second commit is then replayed, and the batches are compacted.
+    last) are deleted. The second commit is then replayed, and the batches are compacted. Versions
+    are white-space words and the vocabulary, by its file's name.
     """
     need(docs, "doc_id", "text", "source", "lang")
     spark = docs.sparkSession
     store = RollupStore(spark, path or scratch_path(spark, "rollups"))
-    versions = (WORDS_V1, ALNUM_V1)
+    vocabulary = vocabulary or default_vocabulary()
+    versions = {WORDS_V1: "words", Path(vocabulary).stem: "pieces"}
     rows = stage(
         docs.select(
-            "doc_id", "source", "lang", F.monotonically_increasing_id().alias("spot"),
-            F.coalesce(F.sha2("text", 256), F.lit("")).alias("content"), estimate(F.col("text")).alias("guess"),
-            *[counted(F.col("text"), v).alias(v) for v in versions],
+            "doc_id", "source", "lang", F.monotonically_increasing_id().alias("spot"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("content"),
+            estimate(F.col("text")).alias("guess"), word_count(F.col("text")).alias("words"), vocabulary_count(F.col("text"), vocabulary).alias("pieces"),
         ), "counts",
     )
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"`{v}`").alias("count")) for v in versions]))
-    counts = rows.select("doc_id", "source", "lang", "content", "guess", each.alias("x")).select("doc_id", "source", "lang", "content", "guess", "x.*")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).alias("count")) for v, c in versions.items()]))
+    counts = rows.select("source", "lang", "guess", each.alias("x")).select("source", "lang", "guess", "x.*")
     store.commit("load", counts.select(F.lit("insert").alias("op"), *KEYS, F.col("guess").alias("tokens")))
     revised = counts.select(F.lit("revise").alias("op"), *KEYS, F.col("count").alias("tokens"), F.col("guess").alias("old_tokens"))
     store.commit("count", revised)
@@ -190,7 +206,7 @@ def document_rollups(docs: DataFrame, path: str | None = None) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang", "spot")
     firsts = rows.groupBy("content").agg(F.min(order).alias("first"))
     copies = rows.join(firsts.select("first"), (F.col("spot") == F.col("first.spot")), "left_anti")
-    gone = copies.select("doc_id", "source", "lang", each.alias("x")).select(F.lit("delete").alias("op"), "source", "lang", "x.tokenizer", F.col("x.count").alias("tokens"))
+    gone = copies.select("source", "lang", each.alias("x")).select(F.lit("delete").alias("op"), "source", "lang", "x.tokenizer", F.col("x.count").alias("tokens"))
     store.commit("copies", gone)
     store.commit("count", revised)
     store.compact()

@@ -1,7 +1,9 @@
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from data import no_documents, odd_documents
 from lexigraph.llm import packing, rollups
@@ -25,14 +27,26 @@ def test_batches_count_once(spark):
     want = {("a", "en", "t1"): (1, 12), (None, None, "t1"): (1, 4)}
     assert totals(store) == want
     assert store.compact() and not store.compact()
-    assert totals(store) == want and store.committed() == {"one", "b/2"}
+    assert totals(store) == want and store.known("one") and store.known("b/2") and not store.known("two")
     assert not store.commit("b/2", second) and totals(store) == want
     assert store.commit("three", first) and store.compact()
     assert totals(store)[("a", "en", "t1")] == (3, 27)
     assert store.commit("empty", first.limit(0))
     with pytest.raises(Exception, match="unknown change"):
         store.commit("bad", spark.createDataFrame([("drop", "a", "en", "t1", 1, None, 1)], CHANGES))
-    assert "bad" not in store.committed()
+    assert not store.known("bad")
+
+
+def test_readers_finish_what_they_started(spark):
+    store = rollups.RollupStore(spark, scratch_path(spark))
+    row = spark.createDataFrame([("insert", "a", "en", "t1", 10, None, 1)], CHANGES)
+    for n in range(4):
+        assert store.commit(f"batch {n}", row)
+        before = store.totals()
+        assert store.compact()
+        assert [(r.docs, r.tokens) for r in before.collect()] == [(n + 1, 10 * (n + 1))]
+        assert all(store.known(f"batch {i}") and not store.commit(f"batch {i}", row) for i in range(n + 1))
+    assert totals(store) == {("a", "en", "t1"): (4, 40)}
 
 
 def test_difference_turns_one_state_into_the_other(spark):
@@ -59,8 +73,17 @@ def test_odd_rows(spark):
     assert rollups.document_rollups(no_documents(spark)).collect() == []
 
 
-def test_counts_by_vocabulary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").limit(20)
-    got = {r.doc_id: r.tokens for r in rollups.vocabulary_counts(docs, packing.default_vocabulary()).collect()}
-    encoder = packing.WordEncoder(packing.default_vocabulary())
-    assert got == {r.doc_id: len(encoder.whole(r.text)) // 4 for r in docs.collect()}
+def test_documents(spark, sf_dir):
+    """Against counts of the tokenizers library, text by text."""
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    want, seen = defaultdict(lambda: (0, 0)), set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        if r.text not in seen:
+            seen.add(r.text)
+            counts = {"words-v1": len(re.findall(r"[^\x20\x09-\x0D]+", r.text)), "word_bpe_49k": len(tokenizer.encode(r.text, add_special_tokens=False).ids)}
+            for name, n in counts.items():
+                before = want[(r.source, r.lang, name)]
+                want[(r.source, r.lang, name)] = (before[0] + 1, before[1] + n)
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in rollups.document_rollups(docs).collect()}
+    assert got == dict(want) and len(got) > 2
