@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-1. A lexicon is mined from labelled rows: words and word beginnings that toxic rows have far more
-   often than clean ones. Its strongest entries, and patterns over all of them, are the voters;
-   a voter says toxic, clean or nothing for a document.
+1. A lexicon is mined from labelled rows: all words and word beginnings that toxic rows have far more
+   often than clean ones. Those in ``VOTER_SHARE`` of toxic rows or more, and patterns over all
+   entries, are the voters; a voter says toxic, clean or nothing for a document.
 2. The label model is a latent two-class mixture, fitted by expectation maximisation without
    labels as targets: how often each voter says what in either class (accuracy and coverage), and
    how votes go together within a class (correlation). A voter's evidence is divided by the
@@ -32,14 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, ship, stage
+from .common import need, packed, ship, stage
 
 ship(__name__)
 
 MAX_TOXIC = 8_000
 MAX_CLEAN = 16_000
-MAX_ENTRIES = 4_000
-MAX_VOTERS = 200
+VOTER_SHARE = 0.02
 BEGINNINGS = (4, 5, 6)
 MIN_TOXIC_ROWS = 3
 MIN_LOG_ODDS = 2.0
@@ -127,8 +126,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(stage(picked, "labelled")), "doc_id")  # bounded: MAX_TOXIC + MAX_CLEAN rows of 12 bytes
 
 
-def mine(sample: DataFrame) -> tuple[list[int], pd.DataFrame]:
-    """The lexicon (ids, strongest first) and, per row of the sample, its entries by place and its counts."""
+def mine(sample: DataFrame) -> tuple[list[int], int, pd.DataFrame]:
+    """The lexicon (ids, the most frequent in toxic rows first), how many of them vote, and, per row of the sample, its entries by place and its counts."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
@@ -140,13 +139,14 @@ def mine(sample: DataFrame) -> tuple[list[int], pd.DataFrame]:
     rows = stage(sample.select("toxic", "text").mapInPandas(words, "toxic int, text string, entries array<long>"), "words")
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
-        return [], pd.DataFrame()
+        return [], 0, pd.DataFrame()
     seen = rows.select("toxic", F.explode("entries").alias("entry")).groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.1) / size[1]) - F.log((F.col("good") + 0.5) / size[0])
     least = min(MIN_TOXIC_ROWS, max(1, size[1] // 10))
     best = seen.where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    best = best.orderBy((F.col("bad") * F.col("odds")).desc(), "entry").limit(MAX_ENTRIES)
-    lexicon = [r["entry"] for r in best.select("entry").collect()]  # bounded: MAX_ENTRIES
+    found = best.orderBy(F.col("bad").desc(), "entry").select("entry", "bad").collect()  # entries of the bounded sample
+    lexicon = [r["entry"] for r in found]
+    voters = sum(r["bad"] >= VOTER_SHARE * size[1] for r in found)
     place = {x: i for i, x in enumerate(lexicon)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,12 +156,12 @@ def mine(sample: DataFrame) -> tuple[list[int], pd.DataFrame]:
             yield pd.DataFrame({"toxic": batch["toxic"], "entries": [sorted(e) for e, _ in read], "counts": [list(map(float, c)) for _, c in read]})
 
     found = rows.select("toxic", "text").mapInPandas(hits, "toxic int, entries array<int>, counts array<double>")
-    return lexicon, found.toPandas()  # bounded: the labelled sample
+    return lexicon, voters, found.toPandas()  # bounded: the labelled sample
 
 
-def votes_of(rows: pd.DataFrame, size: int) -> np.ndarray:
-    """Votes of rows by voters: 1 toxic, -1 clean, 0 nothing."""
-    n, lexical = len(rows), min(size, MAX_VOTERS)
+def votes_of(rows: pd.DataFrame, lexical: int) -> np.ndarray:
+    """Votes of rows by voters, the first entries of the lexicon and the patterns: 1 toxic, -1 clean, 0 nothing."""
+    n = len(rows)
     counts = np.array(rows["counts"].tolist()).reshape(n, len(COUNTS))
     votes = np.zeros((n, lexical + 8), np.int8)
     for i, entries in enumerate(rows["entries"]):
@@ -236,10 +236,10 @@ def fit_linear(rows: pd.DataFrame, size: int, post: np.ndarray, rounds: int = 40
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    lexicon, rows = mine(labelled_sample(docs, labels))
+    lexicon, voters, rows = mine(labelled_sample(docs, labels))
     if not len(rows):
         return Model()
-    post = label_model(votes_of(rows, len(lexicon)), rows["toxic"].to_numpy())
+    post = label_model(votes_of(rows, voters), rows["toxic"].to_numpy())
     model = fit_linear(rows, len(lexicon), post)
     model.entries = {x: i for i, x in enumerate(lexicon)}
     return model
@@ -270,5 +270,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with the same columns."""
     need(docs, "doc_id", "text")
-    rows = score(docs.withColumnsRenamed({"score": "_score"}), fit(docs, labels))
-    return rows.where(F.col("score") < PREDICT_AT).drop("score").withColumnsRenamed({"_score": "score"}).select(docs.columns)
+    rows = score(docs.select(packed(docs).alias("doc"), "text"), fit(docs, labels))
+    return rows.where(F.col("score") < PREDICT_AT).select("doc.*")
