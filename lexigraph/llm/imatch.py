@@ -3,12 +3,13 @@
 The lexicon is the band of terms whose inverse document frequency lies between two bounds: terms
 in ``RARE`` to ``COMMON`` of all documents, counted over the whole table. A document cannot have
 more terms than it has, so the band has at most (distinct terms per document) / RARE terms at any
-size of the table; that is the proven bound of what is sent to the tasks, and it is checked.
+size of the table: a million where documents have 300 terms. The tasks get these terms as a sorted
+array of 64-bit hashes, 8 bytes a term.
 
 Each of ``SUBSETS`` random lexicons orders the terms by a pseudo-random number; its subset at level
 l keeps terms whose number is in the lowest 2^-l. A text with n terms of the band is hashed at the
 levels around log2(n), where a subset keeps about one of its terms or two: its distinct terms are
-sorted and those in the subset hashed. So a fingerprint says how many terms, to a factor of two,
+sorted (by their hashes) and those in the subset hashed. So a fingerprint says how many terms, to a factor of two,
 then has one hash for each level and subset, or dashes if the text has no term there. The
 likeness of two fingerprints is the share of equal hashes among those that either has, at levels
 that both have; texts without terms of the band are fingerprinted by all their terms instead and
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, ship
+from .common import need, ship, stage
 
 ship(__name__)
 
@@ -40,10 +41,12 @@ RARE = 3e-4
 COMMON = 0.02
 SUBSETS = 16
 LEVELS = 3
-#: Terms of the band that may be sent to tasks: the bound for 300 distinct terms a document, which holds at any corpus size.
-MOST_TERMS = 1_000_000
 TERM = re.compile(r"\w+")
 FLUSH_TERMS = 400_000
+#: Text in a part of the ordered table, and parts at most; a part streams through its task, so neither bounds what a part may hold.
+PART_BYTES = 64 << 20
+MOST_PARTS = 100_000
+SEED = 42
 NULL_ID = -(1 << 63)
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -73,21 +76,18 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> list[str]:
-    """The terms of the band, sorted; its size does not grow with the table."""
-    total = docs.count()
+def lexicon(docs: DataFrame, total: int, rare: float = RARE, common: float = COMMON) -> np.ndarray:
+    """Hashes of the band's terms, sorted."""
     band = document_frequencies(docs).where((F.col("df") >= rare * total) & (F.col("df") <= max(1.0, common * total)))
-    found = [r["term"] for r in band.select("term").limit(MOST_TERMS + 1).collect()]
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"the band has over {MOST_TERMS} terms; raise the share of documents that its rarest terms have")
-    return sorted(found)
+    return np.unique(band.select(F.xxhash64("term").alias("h")).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _numbers(terms: list[str]) -> np.ndarray:
-    """A 64-bit hash of each term."""
+def numbers_of(terms: set[str]) -> np.ndarray:
+    """The terms' 64-bit hashes, sorted: XXH64 with the seed that Spark takes."""
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
+    found = np.fromiter((xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for t in terms), np.uint64, len(terms))
+    return np.unique(found)
 
 
 def _draws(numbers: np.ndarray) -> np.ndarray:
@@ -100,25 +100,22 @@ def _draws(numbers: np.ndarray) -> np.ndarray:
 
 
 class Printer:
-    """Fingerprints of texts by one lexicon."""
+    """Fingerprints of texts by one lexicon, a sorted array of hashes."""
 
-    def __init__(self, band: list[str]):
-        self.band = set(band)
-        self.place = {t: i for i, t in enumerate(band)}
-        self.numbers = _numbers(band)
-        self.draws = _draws(self.numbers)
+    def __init__(self, band: np.ndarray):
+        self.band = band
 
     def fingerprint(self, text: str) -> str:
-        words = terms_of(text)
-        if not words:
+        numbers = numbers_of(terms_of(text))
+        if not len(numbers):
             return "none"
-        own = sorted(map(self.place.__getitem__, self.band & words))
-        if own:
-            kind, numbers, draws = "i", self.numbers[own], self.draws[own]
-        else:
-            numbers = _numbers(sorted(words))
-            kind, draws = "a", _draws(numbers)
-        return f"{kind}{len(numbers).bit_length() - 1:02d}:" + hashes_of(numbers, draws)
+        kind = "a"
+        if len(self.band):
+            at = np.minimum(np.searchsorted(self.band, numbers), len(self.band) - 1)
+            own = numbers[self.band[at] == numbers]
+            if len(own):
+                kind, numbers = "i", own
+        return f"{kind}{len(numbers).bit_length() - 1:02d}:" + hashes_of(numbers, _draws(numbers))
 
 
 def hashes_of(numbers: np.ndarray, draws: np.ndarray) -> str:
@@ -163,54 +160,80 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _bounds(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int]]:
-    """Cuts of doc_id into parts of about equal size, and the largest id of each part that has rows."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", shares, 10_000)).first()[0] or [])) if shares else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    most = {r["part"]: r["id"] for r in ids.groupBy(part.alias("part")).agg(F.max("id").alias("id")).collect()}
-    return cuts, most
+class Parts:
+    """Ranges of rows in ascending order of id, then descending order of tie (a hash). An id with several parts' rows is split by its ties."""
 
+    def __init__(self, cuts: list[int]):
+        heavy = {c: n for c, n in Counter(cuts).items() if n > 1}  # a cut that comes n times: one id has the rows of n - 1 parts or more
+        self.edges = np.array(sorted({*cuts, *(c + 1 for c in heavy if c < (1 << 63) - 1)}), np.int64)
+        size = np.ones(len(self.edges) + 1, np.int64)
+        for c, n in heavy.items():
+            size[np.searchsorted(self.edges, c, side="right")] = n
+        self.size, self.start = size, np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.count = int(size.sum())
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, edge, doc_id, packed text) with each part's rows in descending order of id.
+    def of(self, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        bucket = np.searchsorted(self.edges, ids, side="right")
+        n = self.size[bucket]
+        below = ((ties.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64) * n >> 32
+        return (self.start[bucket] + n - 1 - below).astype(np.int32)
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("tie"), *more)
+
+
+def _parts(keys: DataFrame, wanted: int) -> tuple[Parts, dict[int, tuple[int, int]]]:
+    """Parts of about equal numbers of rows, and the first row (id, tie) of each part that has rows, in descending order of id."""
+    shares = [i / wanted for i in range(1, wanted)]
+    cuts = (keys.agg(F.percentile_approx("id", shares, max(10_000, 4 * wanted))).first()[0] or []) if shares else []
+    parts = Parts(cuts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["part"] = parts.of(batch["id"].to_numpy(np.int64), batch["tie"].to_numpy(np.int64))
+            yield batch.sort_values(["id", "tie"], ascending=[False, True]).drop_duplicates("part")
+
+    firsts = keys.mapInPandas(run, "id long, tie long, part int").groupBy("part").agg(F.max_by(F.struct("id", "tie"), F.struct("id", -F.col("tie").cast("decimal(20,0)"))).alias("first"))
+    return parts, {r["part"]: tuple(r["first"]) for r in firsts.collect()}  # a row for each part
+
+
+def in_order(docs: DataFrame, wanted: int) -> DataFrame:
+    """(part, edge, id, tie, packed text) with each part's rows in descending order of id, then by tie.
 
     A part ends with an edge row: the first row of the next part, which its last row needs.
-    Texts are compressed before they move.
+    Texts are compressed before they move, each part to a task of its own.
     """
-    cuts, most = _bounds(docs, parts)
-    filled = sorted(most)
-    # a part's largest id is also wanted by the next part above; the largest of all by the lowest part
-    wanted = {most[p]: (filled[n + 1] if n + 1 < len(filled) else filled[0]) for n, p in enumerate(filled)}
+    parts, firsts = _parts(stage(_keyed(docs), "order"), wanted)
+    filled = sorted(firsts)
+    # a part's first row is also wanted by the next part above; the first of all by the lowest part
+    wanting = {firsts[p]: (filled[n + 1] if n + 1 < len(filled) else filled[0]) for n, p in enumerate(filled)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        edges = np.array(cuts, np.int64)
         for batch in batches:
-            ids = batch["id"].to_numpy(np.int64)
-            part = np.searchsorted(edges, ids, side="right").astype(np.int32)
+            ids, ties = batch["id"].to_numpy(np.int64), batch["tie"].to_numpy(np.int64)
             packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            frame = pd.DataFrame({"part": part, "edge": np.zeros(len(ids), np.int32), "id": ids, "tie": batch["tie"], "packed": packed})
-            again = frame[[i in wanted for i in ids.tolist()]].copy()
-            again["edge"] = np.int32(1)
-            again["part"] = np.array([wanted[i] for i in again["id"].tolist()], np.int32)
+            frame = pd.DataFrame({"part": parts.of(ids, ties), "edge": np.zeros(len(ids), np.int32), "id": ids, "tie": ties, "packed": packed})
+            at = [(n, wanting[k]) for n, k in enumerate(zip(ids.tolist(), ties.tolist())) if k in wanting]
+            again = frame.iloc[[n for n, _ in at]].copy()
+            again["edge"], again["part"] = np.int32(1), np.array([p for _, p in at], np.int32)
             yield pd.concat([frame, again])
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text")
-    rows = source.mapInPandas(run, "part int, edge int, id long, tie long, packed binary")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "edge", F.col("id").desc(), "tie")
+    rows = _keyed(docs, "text").mapInPandas(run, "part int, edge int, id long, tie long, packed binary")
+    return rows.repartitionById(max(1, parts.count), F.col("part")).sortWithinPartitions("part", "edge", F.col("id").desc(), "tie")
 
 
-def fingerprints(docs: DataFrame, band: list[str] | None = None, parts: int | None = None) -> DataFrame:
-    """Every row of docs (doc_id, text) with its own and its edited text's fingerprint; see OUT."""
+def fingerprints(docs: DataFrame, band: np.ndarray | None = None, parts: int | None = None) -> DataFrame:
+    """Every row of docs (doc_id, text) with its own and its edited text's fingerprint; see OUT. band: sorted hashes, see ``numbers_of``."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    terms = lexicon(docs) if band is None else sorted(set(band))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    terms = lexicon(docs, total) if band is None else band
+    parts = parts or min(MOST_PARTS, max(4 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
     shared = spark.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
