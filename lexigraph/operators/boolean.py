@@ -1,12 +1,14 @@
 """Boolean retrieval: a small query language compiled to one column over term flags.
 
-Grammar: OR binds weaker than AND, AND (written or by adjacency) weaker than NOT; operators in any
-case; ``-word`` is NOT word; parentheses group. Letters, numbers, ``_`` and ``-`` make words; any
-other character separates them.
+Letters, numbers, ``_`` and ``-`` make words; any other character separates them. Operators, in any
+case, bind by the table ``BINDS``; operands side by side are joined by AND. NOT, or a minus before
+a word, takes the one operand after it; parentheses group.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,177 +18,114 @@ from lexigraph.functions.text import stem_word, tokenize_text
 from lexigraph.operators.index import Index
 from lexigraph.operators.ranking import BM25Config, best_first, bm25_terms, search
 
-
-@dataclass(frozen=True)
-class Term:
-    word: str
-
-    def __str__(self) -> str:
-        return self.word
+#: Operators between two operands, and how tightly they bind.
+BINDS = {"OR": 1, "AND": 2}
+PART = re.compile(r"[()]|(-?)([\w-]+)")
 
 
 @dataclass(frozen=True)
-class And:
-    left: Expr
-    right: Expr
+class Expr:
+    """A word (no parts), a negation (one part) or a conjunction or disjunction (two)."""
 
-    def __str__(self) -> str:
-        return f"({self.left} AND {self.right})"
-
-
-@dataclass(frozen=True)
-class Or:
-    left: Expr
-    right: Expr
+    head: str
+    parts: tuple[Expr, ...] = ()
 
     def __str__(self) -> str:
-        return f"({self.left} OR {self.right})"
-
-
-@dataclass(frozen=True)
-class Not:
-    child: Expr
-
-    def __str__(self) -> str:
-        return f"NOT {self.child}"
-
-
-Expr = Term | And | Or | Not
-AND, OR, NOT, OPEN, CLOSE = "AND", "OR", "NOT", "(", ")"
-
-
-def lex(query: str) -> list[tuple[str, str]]:
-    """(kind, word) of the query's parts; kind is WORD or one of the operators and parentheses."""
-    out: list[tuple[str, str]] = []
-    at = 0
-    while at < len(query):
-        c = query[at]
-        if c in "()":
-            out.append((c, c))
-            at += 1
-            continue
-        negated = c == "-"
-        if negated:
-            at += 1
-        end = at
-        while end < len(query) and (query[end].isalnum() or query[end] in "_-"):
-            end += 1
-        word = query[at:end]
-        if not word:  # white space, a lone minus, or a character that separates
-            at += 0 if negated else 1
-            continue
-        at = end
-        if negated:
-            out += [(NOT, "-"), ("WORD", word)]
-        elif word.upper() in (AND, OR, NOT):
-            out.append((word.upper(), word))
-        else:
-            out.append(("WORD", word))
-    return out
-
-
-class _Failed(Exception):
-    pass
+        if not self.parts:
+            return self.head
+        if len(self.parts) == 1:
+            return f"{self.head} {self.parts[0]}"
+        return "(" + f" {self.head} ".join(map(str, self.parts)) + ")"
+
+    def words(self, positive_only: bool = False) -> Iterator[str]:
+        """In order, with repeats; without those below a NOT if asked."""
+        if not self.parts:
+            yield self.head
+        elif not (positive_only and self.head == "NOT"):
+            for part in self.parts:
+                yield from part.words(positive_only)
+
+    def fold(self, word, combine: dict):
+        """What the expression comes to, when words stand for word(...) and operators for functions."""
+        return combine[self.head](*(p.fold(word, combine) for p in self.parts)) if self.parts else word(self.head)
+
+
+def _parts(query: str) -> Iterator[str | Expr]:
+    """Operators and parentheses as strings, words as expressions. A minus alone says nothing."""
+    for m in PART.finditer(query):
+        minus, word = m[1], m[2]
+        if word is None:
+            yield m[0]
+        elif minus:
+            yield "NOT"
+            yield Expr(stem_word(word.lower()))
+        elif word.upper() in (*BINDS, "NOT"):
+            yield word.upper()
+        elif word != "-":
+            yield Expr(stem_word(word.lower()))
 
 
 def parse(query: str) -> Expr | None:
-    """The expression, or None if it cannot be read. Words are stemmed, and neither stop words nor short ones are left out."""
-    parts = lex(query)
-    at = 0
-
-    def kind() -> str | None:
-        return parts[at][0] if at < len(parts) else None
-
-    def either() -> Expr:
-        nonlocal at
-        left = both()
-        while kind() == OR:
-            at += 1
-            left = Or(left, both())
-        return left
-
-    def both() -> Expr:
-        nonlocal at
-        left = negation()
-        while kind() in (AND, "WORD", NOT, OPEN):
-            if kind() == AND:
-                at += 1
-            left = And(left, negation())
-        return left
-
-    def negation() -> Expr:
-        nonlocal at
-        if kind() == NOT:
-            at += 1
-            return Not(atom())
-        return atom()
-
-    def atom() -> Expr:
-        nonlocal at
-        if kind() == OPEN:
-            at += 1
-            inner = either()
-            if kind() == CLOSE:  # a missing one is let pass
-                at += 1
+    """The expression, or None if it cannot be read. Words are stemmed, and neither stop words nor short ones are left out.
+
+    Precedence climbing. A closing parenthesis may be missing; what follows one too many is not read.
+    """
+    left = list(_parts(query))[::-1]
+
+    def operand(may_negate: bool = True) -> Expr:
+        part = left.pop() if left else None
+        if isinstance(part, Expr):
+            return part
+        if part == "(":
+            inner = climb(1)
+            if left and left[-1] == ")":
+                left.pop()
             return inner
-        if kind() == "WORD":
-            at += 1
-            return Term(stem_word(parts[at - 1][1].lower()))
-        raise _Failed
+        if part == "NOT" and may_negate:
+            return Expr("NOT", (operand(False),))
+        raise SyntaxError(query)
+
+    def climb(least: int) -> Expr:
+        found = operand()
+        while left and left[-1] != ")":
+            said = left[-1] if left[-1] in BINDS else "AND"
+            if BINDS[said] < least:
+                break
+            if left[-1] == said:
+                left.pop()
+            found = Expr(said, (found, climb(BINDS[said] + 1)))
+        return found
 
     try:
-        return either() if parts else None
-    except _Failed:
+        return climb(1)
+    except SyntaxError:
         return None
 
 
-def terms_of(expr: Expr, positive_only: bool = False) -> list[str]:
-    """Words in order, with repeats; without those below a NOT if asked."""
-    if isinstance(expr, Term):
-        return [expr.word]
-    if isinstance(expr, Not):
-        return [] if positive_only else terms_of(expr.child)
-    return terms_of(expr.left, positive_only) + terms_of(expr.right, positive_only)
-
-
-def to_column(expr: Expr, flag: dict[str, Column]) -> Column:
-    if isinstance(expr, Term):
-        return flag[expr.word]
-    if isinstance(expr, Not):
-        return ~to_column(expr.child, flag)
-    left, right = to_column(expr.left, flag), to_column(expr.right, flag)
-    return left & right if isinstance(expr, And) else left | right
+COLUMNS = {"AND": Column.__and__, "OR": Column.__or__, "NOT": Column.__invert__}
+TRUTH = {"AND": lambda a, b: a and b, "OR": lambda a, b: a or b, "NOT": lambda a: not a}
 
 
 def matching(index: Index, expr: Expr) -> DataFrame:
     """doc_id of documents that satisfy the expression: one scan of its terms' postings, one flag a term."""
-    words = sorted(set(terms_of(expr)))
+    words = sorted(set(expr.words()))
     hits = index.postings.where(F.col("term").isin(words))
     flags = hits.groupBy("doc_id").agg(*[F.max(F.col("term") == w).alias(f"f{i}") for i, w in enumerate(words)])
     flag = {w: F.coalesce(F.col(f"f{i}"), F.lit(False)) for i, w in enumerate(words)}
-    if not _needs_all(expr):  # without hits the expression is false, so other documents need not be looked at
-        return flags.where(to_column(expr, flag)).select("doc_id")
-    return index.doc_stats.select("doc_id").join(flags, "doc_id", "left").where(to_column(expr, flag)).select("doc_id")
-
-
-def _needs_all(expr: Expr) -> bool:
-    """Whether a document without any of the terms satisfies the expression."""
-    if isinstance(expr, Term):
-        return False
-    if isinstance(expr, Not):
-        return not _needs_all(expr.child)
-    a, b = _needs_all(expr.left), _needs_all(expr.right)
-    return a and b if isinstance(expr, And) else a or b
+    if expr.fold(lambda w: False, TRUTH):  # documents without any of the words match, too
+        flags = index.doc_stats.select("doc_id").join(flags, "doc_id", "left")
+    return flags.where(expr.fold(flag.__getitem__, COLUMNS)).select("doc_id")
 
 
 def matching_by_sets(index: Index, expr: Expr) -> DataFrame:
     """The same documents by set operations, as the expression is written."""
-    if isinstance(expr, Term):
-        return index.get_postings(expr.word).select("doc_id")
-    if isinstance(expr, Not):
-        return index.doc_stats.select("doc_id").join(matching_by_sets(index, expr.child), "doc_id", "left_anti")
-    left, right = matching_by_sets(index, expr.left), matching_by_sets(index, expr.right)
-    return left.join(right, "doc_id", "left_semi") if isinstance(expr, And) else left.unionAll(right).distinct()
+    every = index.doc_stats.select("doc_id")
+    sets = {
+        "AND": lambda a, b: a.join(b, "doc_id", "left_semi"),
+        "OR": lambda a, b: a.unionAll(b).distinct(),
+        "NOT": lambda a: every.join(a, "doc_id", "left_anti"),
+    }
+    return expr.fold(lambda w: index.get_postings(w).select("doc_id"), sets)
 
 
 @dataclass
@@ -205,7 +144,7 @@ def boolean_search(index: Index, query: str, k: int = 50, config: BM25Config = B
     if expr is None:
         return BooleanResult(search(index, "", k, config), None, None)
     matches = matching(index, expr)
-    scoring = tokenize_text(" ".join(terms_of(expr, positive_only=True)))
+    scoring = tokenize_text(" ".join(expr.words(positive_only=True)))
     rows = bm25_terms(index, [scoring], config).select("doc_id", "score", "matched_terms")
     if candidate_factor is not None:
         rows = rows.orderBy(*best_first()).limit(k * candidate_factor)

@@ -9,10 +9,7 @@ from lexigraph.sources.files import EXTENSIONS
 SINGLE = "license"
 MULTI = "attion thanedble license"
 DUPLICATE = "ention ention license"
-BATCH = (
-    "function", "data structure", "performance", "algorithm", "memory", "search", "compile", "type system", "async runtime",
-    "consensus protocol", "hash function encryption", "gradient descent", SINGLE, MULTI, "ention thatin", "erth",
-)
+BATCH = (SINGLE, MULTI, DUPLICATE, "ention thatin", "erth", "attion", "thanedble anea", "here attion erth", "no such words", "erheit", "ciónbo", "license license attion")
 PHRASE2 = "attion thanedble"
 PHRASE3 = "attion thanedble anea"
 BOOLEAN = {

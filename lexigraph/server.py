@@ -7,42 +7,46 @@ from urllib.parse import quote_plus
 
 from lexigraph.functions.web import escape, query_parameter
 
-STYLE = "body{font-family:sans-serif;margin:2em;max-width:50em}.url,.score{color:#666;font-size:small}.result{margin:1.2em 0}"
+LOOK = "body{max-width:48rem;margin:2rem auto;font:16px/1.5 Georgia,serif}li{margin:1rem 0}small{color:#555}"
 
 
-def page(body: str, title: str = "Search") -> str:
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>{STYLE}</style></head><body>{body}</body></html>'
+def page(content: str, heading: str = "lexigraph") -> str:
+    return f'<!doctype html>\n<html lang="en"><meta charset="utf-8"><title>{escape(heading)}</title><style>{LOOK}</style>\n<main>{content}</main></html>'
 
 
-def form(query: str = "") -> str:
-    return f'<form action="/" method="get"><input name="q" type="text" value="{escape(query)}" autofocus><button>Search</button></form>'
+def ask(text: str = "") -> str:
+    return f'<form><label>Find <input name="q" size="50" value="{escape(text)}"></label> <button>Go</button></form>'
 
 
-def home_page() -> str:
-    return page(f"<h1>Search</h1>{form()}")
+def start_page() -> str:
+    return page(f"{ask()}<p>Words, or <code>phrase:</code>, <code>bool:</code>, <code>fuzzy:</code> and <code>spell:</code> before them.</p>")
 
 
-def results_page(answer, text: str) -> str:
-    parts = [form(text), f'<div class="meta">{len(answer.rows)} results ({answer.seconds:.3f} seconds)</div>', *(f"<div>{escape(n)}</div>" for n in answer.notes)]
+def entry(row) -> str:
+    """One hit as an item of the list: title (a link if it is on the web), text, place and score."""
+    title = escape(row.title or row.path or "untitled")
+    if (row.path or "").startswith(("http://", "https://")):
+        title = f'<a href="{escape(row.path)}">{title}</a>'
+    return f'<li value="{row.rank}"><article><h2>{title}</h2><p>{escape(row.snippet)}</p><small>{escape(row.path or "")} · {row.score:.3f}</small></article></li>'
+
+
+def answer_page(answer, text: str) -> str:
+    hint = ""
     if answer.suggestion:
-        said = "Showing results for" if answer.mode == "spell-corrected" else "Did you mean"
-        parts.append(f'<div class="suggest">{said} <a href="/?q={quote_plus(answer.suggestion)}"><b>{escape(answer.suggestion)}</b></a></div>')
-    if not answer.rows:
-        parts.append('<div class="empty">No results found.</div>')
-    for r in answer.rows:
-        path, title = r.path or "", escape(r.title or "")
-        linked = f'<a class="title" href="{escape(path)}" rel="noopener">{title}</a>' if path.startswith(("http://", "https://")) else f'<span class="title">{title}</span>'
-        parts.append(f'<div class="result"><div class="url">{escape(path)}</div>{linked}<div class="snippet">{escape(r.snippet)}</div><div class="score">score {r.score:.3f}</div></div>')
-    return page("".join(parts), text)
+        done = answer.mode == "spell-corrected"
+        hint = f'<p>{"These are hits for" if done else "Perhaps you want"} <a href="?q={quote_plus(answer.suggestion)}">{escape(answer.suggestion)}</a>.</p>'
+    notes = "".join(f"<li>{escape(n)}</li>" for n in answer.notes)
+    hits = f"<ol>{''.join(map(entry, answer.rows))}</ol>" if answer.rows else "<p>Nothing matches.</p>"
+    return page(f"{ask(text)}{hint}<ul>{notes}</ul>{hits}<footer><small>{len(answer.rows)} hits, {answer.mode}, {answer.seconds:.2f} s</small></footer>", text)
 
 
 def respond(engine, target: str) -> tuple[int, str]:
     """Status and page of a GET request."""
     path, _, query = target.partition("?")
     if path != "/":
-        return 404, page("Not found")
+        return 404, page("<p>There is no such page.</p>")
     text = query_parameter(query).strip()
-    return (200, results_page(engine.web_query(text), text)) if text else (200, home_page())
+    return 200, answer_page(engine.web_query(text), text) if text else start_page()
 
 
 def serve(engine, port: int = 8080) -> None:
