@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigraph.llm import lines, mixing, packing, simhash_similar, toxicity
-from lexigraph.llm.common import configured, stage, table
+from lexigraph.llm.common import configured, scratch_path, stages, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that a stage writes on its way are removed when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for _, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), "stage")
+        path = scratch_path(spark, "stage")
+        with stages(spark):
+            result = function(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs

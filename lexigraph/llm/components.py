@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating stars.
 
 Each round rewrites the links so that every node points to smaller nodes; the rounds end when
-the links no longer change. All state is in tables of the shared folder; nothing is collected.
+the links no longer change. All state is in tables of the shared folder; nothing is collected. Each
+node's smallest neighbour is a table, too: so the links join it straight from their shuffle, and Spark
+may split a node with very many links.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ def _both(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = _both(links)
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """links: u > v. Every u, and its other smaller neighbours, point to the smallest of these."""
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    low = stage(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     others = links.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -44,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == seen:
             break
         seen = now
-        state = stage(_small_star(_large_star(state)), "links")
+        state = stage(_small_star(stage(_large_star(state), "links")), "links")
     else:
         raise RuntimeError("the components did not settle")
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
