@@ -59,10 +59,19 @@ def list_length(positions: Column) -> Column:
     return encoded_length(F.size(positions)) + F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
 
+#: Bits of a document's id below its stretch; a term's list is cut there, so that no task sorts a whole one.
+STRETCH_BITS = 20
+
+
 def id_gaps(postings: DataFrame) -> DataFrame:
     """(term, doc_id, gap): each document's distance from the term's one before."""
-    before = F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id"))
-    return postings.select("term", "doc_id", (F.col("doc_id") - F.coalesce(before, F.lit(0))).alias("gap"))
+    rows = postings.select("term", "doc_id", F.shiftright("doc_id", STRETCH_BITS).alias("stretch"))
+    before = F.lag("doc_id").over(Window.partitionBy("term", "stretch").orderBy("doc_id"))
+    # the first of a stretch follows the last of the term's stretch before
+    ends = rows.groupBy("term", "stretch").agg(F.max("doc_id").alias("end"))
+    ends = ends.select("term", "stretch", F.lag("end").over(Window.partitionBy("term").orderBy("stretch")).alias("end")).where("end IS NOT NULL")
+    met = rows.withColumn("before", before).join(ends, ["term", "stretch"], "left")
+    return met.select("term", "doc_id", (F.col("doc_id") - F.coalesce("before", "end", F.lit(0))).alias("gap"))
 
 
 def compression_stats(postings: DataFrame) -> DataFrame:
@@ -77,3 +86,31 @@ def compression_stats(postings: DataFrame) -> DataFrame:
     compressed = (F.col("position_bytes") + F.col("id_bytes")).cast("long")
     ratio = F.when(F.col("original_bytes") > 0, compressed / F.col("original_bytes")).otherwise(1.0)
     return both.select("original_bytes", compressed.alias("compressed_bytes"), ratio.alias("ratio"), ((1 - ratio) * 100).alias("savings_percent"))
+
+
+def _hex(byte: Column) -> Column:
+    return F.lpad(F.hex(byte), 2, "0")
+
+
+def encoded_hex(value: Column) -> Column:
+    """A number's code as hexadecimal digits."""
+    bits = lambda k: F.shiftright(value, 7 * k).bitwiseAND(0x7F)
+    last = encoded_length(value) - 1
+    return F.concat(*[F.when(last > k, _hex(bits(k) + 0x80)).when(last == k, _hex(bits(k))).otherwise("") for k in range(5)])
+
+
+def compressed(ids: Column) -> Column:
+    """The bytes of ``compress`` for an ascending array, without Python."""
+    gaps = F.transform(ids, lambda x, i: encoded_hex((x - F.when(i > 0, F.get(ids, i - 1)).otherwise(0)).cast("long")))
+    return F.unhex(F.concat(encoded_hex(F.size(ids).cast("long")), F.array_join(gaps, "")))
+
+
+def decompressed(data: Column) -> Column:
+    """The array of longs whose bytes these are, without Python."""
+    text = F.hex(data)
+    codes = F.regexp_extract_all(text, F.lit(r"((?:[89A-F].)*[0-7].)"), 1)
+    digits = lambda c: F.transform(F.sequence(F.lit(1), F.length(c), F.lit(2)), lambda i: F.conv(F.substring(c, i, F.lit(2)), 16, 10).cast("long").bitwiseAND(0x7F))
+    value = lambda c: F.aggregate(F.reverse(digits(c)), F.lit(0).cast("long"), lambda a, x: a * 128 + x)
+    gaps = F.transform(F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), value)
+    sums = F.aggregate(gaps, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.element_at(a, -1), F.lit(0).cast("long")))))
+    return F.when(F.size(gaps) > 0, sums).otherwise(F.array().cast("array<bigint>"))

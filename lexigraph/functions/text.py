@@ -172,3 +172,22 @@ def with_stem(frame: DataFrame, word: str = "word", out: str = "term") -> DataFr
     # Exploding a single value ends the optimizer's view of a stem's origin. It would else copy filters
     # and join keys on stems down through the steps, each of which has the one before in many places.
     return frame.withColumn(out, F.explode(F.array(stem))).drop("_w", "_cut", "_s")
+
+
+DELETIONS = "variant bigint, term string"
+MOST_DELETED = 2
+
+
+def deletions(rows: DataFrame, column: str) -> DataFrame:
+    """rows once for each hash ("variant") of what is left of a word when up to MOST_DELETED characters are deleted.
+
+    Words within that many edits, swaps of neighbours among them, have a variant in common.
+    """
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    some = lambda w: F.when(F.length(w) > 0, less(w)).otherwise(F.array().cast("array<string>"))
+    known = layer = F.array(F.col(column))
+    for _ in range(MOST_DELETED):
+        layer = F.array_distinct(F.flatten(F.transform(layer, some)))
+        known = F.array_union(known, layer)
+    held = rows.withColumn("_known", known)
+    return held.withColumn("variant", F.explode(F.array_distinct(F.transform("_known", lambda w: F.xxhash64(w))))).drop("_known").select("variant", *rows.columns)

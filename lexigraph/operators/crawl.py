@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions.web import host_of, is_allowed, normalize_url, parse_robots, read_page, url_host, url_path
 from lexigraph.operators.graph import resolve_links
-from lexigraph.sources.tables import stage
+from lexigraph.sources.tables import numbered, stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FETCHED = "url string, ok boolean, content_type string, body string"
@@ -56,23 +56,25 @@ def table_fetcher(pages: DataFrame) -> Fetcher:
 
 
 def http_fetcher(config: CrawlConfig = CrawlConfig()) -> Fetcher:
-    """Pages from the network. A host's pages are fetched in one task, with a pause between requests."""
+    """Pages from the network. A host's pages are fetched in one task, with a pause before every request, the first of a round too."""
 
     def fetch(frontier: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import http.client
             import urllib.request
 
             last: dict[str, float] = {}
+            began = time.monotonic()
             for batch in batches:
                 rows = []
                 for url in batch["url"]:
                     host = host_of(url) or ""
-                    time.sleep(max(0.0, last.get(host, 0.0) + config.delay_ms / 1000 - time.monotonic()))
+                    time.sleep(max(0.0, last.get(host, began) + config.delay_ms / 1000 - time.monotonic()))
                     try:
                         request = urllib.request.Request(url, headers={"User-Agent": config.user_agent})
                         with urllib.request.urlopen(request, timeout=config.timeout_secs) as answer:
                             rows.append((url, True, answer.headers.get("Content-Type", ""), answer.read().decode(answer.headers.get_content_charset() or "utf-8")))
-                    except (OSError, ValueError, LookupError):
+                    except (OSError, ValueError, LookupError, http.client.HTTPException):
                         rows.append((url, False, None, None))
                     last[host] = time.monotonic()
                 yield pd.DataFrame(rows, columns=["url", "ok", "content_type", "body"])
@@ -88,15 +90,18 @@ def robots_table(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(h, parse_robots(t)) for h, t in texts.items()], "host string, disallowed array<string>")
 
 
-def fetch_robots(hosts: DataFrame, fetcher: Fetcher) -> DataFrame:
-    """(host, disallowed) for hosts (scheme, host); a file that cannot be had closes nothing."""
-    asked = hosts.select(F.concat_ws("", "scheme", F.lit("://"), "host", F.lit("/robots.txt")).alias("url"))
+def fetch_robots(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """(host, disallowed) for the hosts of urls (url); a file that cannot be had closes nothing."""
+    site = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    sites = urls.where(site != "").groupBy(url_host(F.col("url")).alias("host")).agg(F.min(site).alias("site"))
+    asked = stage(sites.select("host", F.concat("site", F.lit("/robots.txt")).alias("url")), "robots")
 
     @F.pandas_udf("array<string>")
     def parsed(bodies: pd.Series) -> pd.Series:
         return pd.Series([parse_robots(b or "") for b in bodies], dtype=object)
 
-    return fetcher(asked).select(url_host(F.col("url")).alias("host"), parsed(F.coalesce("body", F.lit(""))).alias("disallowed"))
+    found = fetcher(asked.select("url")).where("ok").select("url", parsed("body").alias("disallowed"))
+    return asked.join(found, "url", "left").select("host", F.coalesce("disallowed", F.array().cast("array<string>")).alias("disallowed"))
 
 
 def _read(pages: DataFrame) -> DataFrame:
@@ -109,17 +114,23 @@ def _read(pages: DataFrame) -> DataFrame:
 
 
 def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None, known: DataFrame | None = None, first_id: int = 0) -> CrawlResult:
-    """Pages reachable from the seeds. known (url, doc_id): pages that are read for their links but not indexed again."""
+    """Pages reachable from the seeds. known (url, doc_id): pages that are read for their links but not indexed again.
+
+    robots (host, disallowed): rules that are known; None: each host's file is fetched in the round in which the host is first met.
+    """
     start = list(dict.fromkeys(u for u in map(normalize_url, seeds) if u))
     hosts = sorted({h for h in map(host_of, start) if h})
     known = spark.createDataFrame([], "url string, doc_id bigint") if known is None else known.select("url", "doc_id")
-    robots = robots_table(spark, {}) if robots is None else robots
+    rules = robots_table(spark, {}) if robots is None else robots
     frontier = spark.createDataFrame([(u, [i]) for i, u in enumerate(start)], "url string, path array<int>")
     visited = frontier.select("url")
     found, metrics = None, dict.fromkeys(("fetched", "indexed", "skipped", "bytes"), 0)
     for depth in range(config.max_depth + 1):
-        rows = frontier.withColumn("host", url_host(F.col("url"))).join(robots, "host", "left")
+        rows = frontier.withColumn("host", url_host(F.col("url")))
         scope = F.col("host").isin(hosts) if config.same_domain_only else F.lit(True)
+        if robots is None:
+            rules = stage(rules.unionAll(fetch_robots(rows.where(scope).join(rules, "host", "left_anti"), fetcher)), "robots")
+        rows = rows.join(rules, "host", "left")
         rows = stage(rows.withColumn("open", scope & is_allowed(url_path(F.col("url")), F.col("disallowed"))).select("url", "path", "open"), "frontier")
         got = stage(rows.join(fetcher(rows.where("open")), "url", "left"), "fetched")
         kind = F.lower(F.coalesce("content_type", F.lit("")))
@@ -148,11 +159,11 @@ def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: C
         if frontier.isEmpty():
             break
         visited = stage(visited.unionAll(frontier.select("url")), "visited")
-    new = found.where("new").orderBy("depth", "path").limit(config.max_pages)  # bounded by the quota
-    order = {r["url"]: first_id + i for i, r in enumerate(new.select("url").collect())}
-    ids = spark.createDataFrame(list(order.items()), "url string, doc_id bigint")
-    documents = new.join(F.broadcast(ids), "url").select("doc_id", F.col("url").alias("path"), "title", F.col("text").alias("body"))
-    links = new.join(F.broadcast(ids), "url").select(F.col("doc_id").alias("src"), F.explode("links").alias("url"))
+    new = stage(numbered(found.where("new"), "depth", "path").where(F.col("place") < config.max_pages), "new")
+    ids = new.select("url", (F.col("place") + first_id).alias("doc_id"))
+    doc_id = (F.col("place") + first_id).alias("doc_id")
+    documents = new.select(doc_id, F.col("url").alias("path"), "title", F.col("text").alias("body"))
+    links = new.select(doc_id.alias("src"), F.explode("links").alias("url"))
     edges = resolve_links(links, known.unionAll(ids))
     return CrawlResult(documents, links, edges, metrics)
 

@@ -1,9 +1,11 @@
 """Fuzzy matching and spelling over the index's vocabulary.
 
 Distances are optimal string alignment: insertions, deletions, substitutions and swaps of
-neighbours, no part edited twice. A swap is two edits for Levenshtein, so terms within d have a
-Levenshtein distance of at most 2d; Spark's own bounded ``levenshtein`` filters by that, and only
-what is left is measured exactly, in Arrow batches.
+neighbours, no part edited twice. Two words within two edits have in common what is left of either
+when up to two characters are deleted. A stored index has these variants of all its terms as a
+table sorted by hash, so a word's neighbours are found by equality; a vocabulary alone is scanned
+with Spark's bounded ``levenshtein``, at twice the distance, as a swap is two edits for it. Only what
+is left is measured exactly, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigraph.functions.text import stem_word, tokenize_text
+from lexigraph.functions.text import MOST_DELETED, deletions, stem_word, tokenize_text
 from lexigraph.operators.index import Index
 from lexigraph.operators.ranking import BM25Config, search
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_DISTANCE = 2
+#: A list of words up to this long is broadcast; the bound is checked when the list is made.
+MAX_WORDS = 100_000
 
 
 def osa(a: str, b: str) -> int:
@@ -49,21 +53,28 @@ def osa_column(a: str, b: str):
     return measured(F.col(a), F.col(b))
 
 
-def near_terms(vocabulary: DataFrame, words: Sequence[str], most: int = MAX_DISTANCE, byte_prune: bool = False) -> DataFrame:
-    """(word, term, dist) for terms of the vocabulary (term) within most of a word; the words are few and broadcast.
+def near_terms(vocabulary: DataFrame | Index, words: Sequence[str], most: int = MAX_DISTANCE, byte_prune: bool = False) -> DataFrame:
+    """(word, term, dist) for terms of a vocabulary (term) or index within most of a word; the words are few and broadcast.
 
     byte_prune: leave out pairs whose lengths in bytes differ by more than most.
     """
-    spark = vocabulary.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string"))
+    stored = vocabulary.stored_deletions if isinstance(vocabulary, Index) else None
+    terms = vocabulary.terms() if isinstance(vocabulary, Index) else vocabulary
+    words = list(dict.fromkeys(words))
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"over {MAX_WORDS} words in one lookup")
+    asked = terms.sparkSession.createDataFrame([(w,) for w in words], "word string")
     near = F.abs(F.length("word") - F.length("term")) <= most
     if byte_prune:
         near = near & (F.abs(F.octet_length("word") - F.octet_length("term")) <= most)
-    pairs = vocabulary.select("term").join(asked, near & (F.levenshtein("word", "term", 2 * most) >= 0))
+    if stored is not None and most <= MOST_DELETED:
+        pairs = stored.join(F.broadcast(deletions(asked, "word")), "variant").where(near).select("word", "term").distinct()
+    else:
+        pairs = terms.select("term").join(F.broadcast(asked), near & (F.levenshtein("word", "term", 2 * most) >= 0))
     return pairs.withColumn("dist", osa_column("word", "term")).where(F.col("dist") <= most).select("word", "term", "dist")
 
 
-def fuzzy_terms(vocabulary: DataFrame, words: Sequence[str], most: int = MAX_DISTANCE) -> DataFrame:
+def fuzzy_terms(vocabulary: DataFrame | Index, words: Sequence[str], most: int = MAX_DISTANCE) -> DataFrame:
     """(word, term, dist): for each word, stemmed once more, the other terms within most."""
     stems = {}
     for w in words:
@@ -85,10 +96,9 @@ def fuzzy_search(index: Index, query: str, k: int = 50, most: int = MAX_DISTANCE
     terms = tokenize_text(query)
     if not terms:
         return FuzzyResult(search(index, "", k, config), [], [])
-    vocabulary = index.terms()
-    known = {r["term"] for r in vocabulary.where(F.col("term").isin(terms)).select("term").collect()}
+    known = {r["term"] for r in index.terms().where(F.col("term").isin(terms)).select("term").collect()}
     near: dict[str, list[tuple[int, str]]] = {}
-    for r in fuzzy_terms(vocabulary, terms, most).collect():
+    for r in fuzzy_terms(index, terms, most).collect():
         near.setdefault(r["word"], []).append((r["dist"], r["term"]))
     expanded: list[str] = []
     corrections = []
@@ -102,24 +112,25 @@ def fuzzy_search(index: Index, query: str, k: int = 50, most: int = MAX_DISTANCE
     return FuzzyResult(search(index, " ".join(expanded), k, config), corrections, expanded)
 
 
-def suggest(vocabulary: DataFrame, words: Sequence[str], most: int = MAX_DISTANCE, n: int = 5) -> DataFrame:
+def suggest(vocabulary: DataFrame | Index, words: Sequence[str], most: int = MAX_DISTANCE, n: int = 5) -> DataFrame:
     """(word, rank, term, dist): the n nearest other terms of each word, ties by term."""
     near = near_terms(vocabulary, words, most).where("dist > 0")
     rank = F.row_number().over(Window.partitionBy("word").orderBy("dist", "term"))
     return near.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "rank", "term", "dist")
 
 
-def suggest_term(vocabulary: DataFrame, word: str, most: int = MAX_DISTANCE) -> DataFrame:
+def suggest_term(vocabulary: DataFrame | Index, word: str, most: int = MAX_DISTANCE) -> DataFrame:
     return suggest(vocabulary, [stem_word(word.lower())], most)
 
 
-def correct_query(vocabulary: DataFrame, query: str) -> str | None:
+def correct_query(vocabulary: DataFrame | Index, query: str) -> str | None:
     """The query with words that are not in the vocabulary replaced by the nearest term; None if no word was."""
     words = [w for w in query.split() if len(w.encode()) > 1]
     stems = [stem_word(w.lower()) for w in words]
     if not words:
         return None
-    known = {r["term"] for r in vocabulary.where(F.col("term").isin(stems)).select("term").collect()}
+    terms = vocabulary.terms() if isinstance(vocabulary, Index) else vocabulary
+    known = {r["term"] for r in terms.where(F.col("term").isin(stems)).select("term").collect()}
     missing = [s for s in dict.fromkeys(stems) if s not in known]
     best = {r["word"]: r["term"] for r in suggest(vocabulary, missing, MAX_DISTANCE, 1).collect()} if missing else {}
     if not best:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.sources.tables import stage
 
 DAMPING = 0.85
 ITERATIONS = 30
+HUB_LINKS = 1_000_000
+PER_JOB = 2
 
 
 def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,29 +34,30 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     """(doc_id, pr) of nodes (id) under edges (src, dst), by a fixed number of iterations.
 
     A node gives pr / out_degree along each of its links; what it gives to itself is lost. Nodes
-    without links give to all. The links, joined with out-degrees, stay cached in partitions by
-    source, so an iteration moves ranks and partial sums but no links. Each iteration is one job:
-    it writes its ranks to the shared folder, which cuts lineage, and its write observes the one
-    number that the driver needs, the rank of nodes without links.
+    without links give to all. Links stay cached in partitions by source, those of a hub in several
+    (``HUB_LINKS`` each), so an iteration moves ranks and partial sums but no links. A job is
+    ``PER_JOB`` iterations; the rank of nodes without links is a broadcast row of the plan. It writes
+    its ranks to the shared folder, which cuts lineage.
     """
     spark = nodes.sparkSession
-    degrees = out_degree(nodes, edges)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = in_links(nodes, edges).join(degrees, F.col("src") == F.col("id")).select("src", "dst", "out_degree").repartition(parts, "src").persist()
-    degrees = degrees.repartition(parts, "id").persist()
+    degrees = out_degree(nodes, edges).repartition(parts, "id").persist()
+    slices = F.ceil(F.col("out_degree") / HUB_LINKS).cast("int")
+    links = in_links(nodes, edges).join(degrees, F.col("src") == F.col("id"))
+    links = links.select("src", "dst", F.pmod(F.xxhash64("dst"), slices).cast("int").alias("slice")).repartition(parts, "src", "slice").persist()
     try:
-        n, without = degrees.agg(F.count("*"), F.count_if(F.col("out_degree") == 0)).first()
+        n = degrees.count()
         if n == 0:
             return spark.createDataFrame([], "doc_id bigint, pr double")
-        ranks, loose = degrees.select("id", F.lit(1.0 / n).alias("pr")), without / n
-        for _ in range(iterations):
-            given = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") / F.col("out_degree")).alias("got"))
-            fixed = (1 - damping) / n + damping * loose / n
-            after = degrees.join(given, "id", "left").select("id", "out_degree", (F.lit(fixed) + damping * F.coalesce("got", F.lit(0.0))).alias("pr"))
-            seen = Observation()
-            after = after.observe(seen, F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pr"))), F.lit(0.0)).alias("loose"))
-            ranks = stage(after.select("id", "pr"), "ranks")
-            loose = seen.get["loose"]
+        ranks = degrees.select("id", "out_degree", F.lit(1.0 / n).alias("pr"))
+        for turn in range(1, iterations + 1):
+            loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pr"))), F.lit(0.0)).alias("loose"))
+            gives = ranks.where("out_degree > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), (F.col("pr") / F.col("out_degree")).alias("share"))
+            given = links.join(gives, ["src", "slice"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+            pr = (1 - damping) / n + damping * (F.col("loose") / n + F.coalesce("got", F.lit(0.0)))
+            ranks = degrees.join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out_degree", pr.alias("pr"))  # a single row
+            if turn == iterations or turn % PER_JOB == 0:
+                ranks = stage(ranks, "ranks")
         return ranks.select(F.col("id").alias("doc_id"), "pr")
     finally:
         links.unpersist()

@@ -22,12 +22,13 @@ CORPUS_STATS = "n bigint, total_len bigint, avgdl double"
 
 @dataclass
 class Index:
-    """Postings and document lengths; a stored index also has its terms and totals, which answer without a scan of either."""
+    """Postings and document lengths; a stored index also has its terms, totals and deletion neighbourhoods, which answer without a scan of either."""
 
     postings: DataFrame
     doc_stats: DataFrame
     stored_terms: DataFrame | None = None
     stored_totals: DataFrame | None = None
+    stored_deletions: DataFrame | None = None
 
     def corpus_stats(self) -> DataFrame:
         """One row: n, total_len, avgdl."""

@@ -13,7 +13,7 @@ from lexigraph.operators import boolean, crawl, fuzzy, graph, ranking
 from lexigraph.operators import index as indexes
 from lexigraph.plans.oracles import BATCH, BOOLEAN, CLOSED, DUPLICATE, FUZZY, MULTI, PHRASE2, PHRASE3, SINGLE, SPELL, SUGGEST, oracle_sql
 from lexigraph.sources import files
-from lexigraph.sources.tables import file_system, stage
+from lexigraph.sources.tables import by_variant, file_system, stage
 
 __all__ = ["oracle_sql", "queries"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,7 @@ def stored(index: indexes.Index) -> indexes.Index:
     kept = indexes.Index(stage(ordered, "postings"), stage(index.doc_stats, "doc-stats"))
     kept.stored_terms = stage(kept.terms().repartitionByRange("term").sortWithinPartitions("term"), "terms")
     kept.stored_totals = stage(kept.corpus_stats(), "totals")
+    kept.stored_deletions = stage(by_variant(kept.terms()), "deletions")
     return kept
 
 
@@ -175,7 +176,7 @@ def levenshtein_terms(spark, d):
 
 
 def fuzzy_expand(spark, d):
-    return fuzzy.fuzzy_terms(index(spark, d).terms(), FUZZY)
+    return fuzzy.fuzzy_terms(index(spark, d), FUZZY)
 
 
 def fuzzy_search(spark, d):
@@ -183,16 +184,12 @@ def fuzzy_search(spark, d):
 
 
 def spell_suggest(spark, d):
-    return fuzzy.suggest(index(spark, d).terms(), SUGGEST, 2, 5)
+    return fuzzy.suggest(index(spark, d), SUGGEST, 2, 5)
 
 
 def spell_correct(spark, d):
-    terms = index(spark, d).terms().persist()
-    try:
-        rows = [(q, fuzzy.correct_query(terms, q)) for q in SPELL]
-    finally:
-        terms.unpersist()
-    return spark.createDataFrame(rows, "query string, corrected string")
+    own = index(spark, d)
+    return spark.createDataFrame([(q, fuzzy.correct_query(own, q)) for q in SPELL], "query string, corrected string")
 
 
 def pagerank(spark, d):

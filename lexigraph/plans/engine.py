@@ -37,7 +37,6 @@ class SearchEngine:
     def __init__(self, spark: SparkSession, documents: DataFrame, index: indexes.Index | None = None, pageranks: DataFrame | None = None, edges: DataFrame | None = None, config: ranking.BM25Config = ranking.BM25Config()):
         self.spark, self.documents, self.pageranks, self.edges, self.config = spark, documents, pageranks, edges, config
         self.index = index or indexes.build(documents)
-        self._terms: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> SearchEngine:
@@ -47,27 +46,21 @@ class SearchEngine:
     def load(cls, spark: SparkSession, path: str) -> SearchEngine:
         t = tables.load(spark, path)
         ranks = None if t["pageranks"].isEmpty() else t["pageranks"]
-        return cls(spark, t["documents"], indexes.Index(t["postings"], t["doc_stats"], t["terms"], t["corpus_stats"]), ranks, t["edges"])
+        return cls(spark, t["documents"], indexes.Index(t["postings"], t["doc_stats"], t["terms"], t["corpus_stats"], t["deletions"]), ranks, t["edges"])
 
     def save(self, path: str) -> int:
         """Write the corpus and go on from what was written. The path may be the one that it was loaded from."""
         size = tables.save(path, self.index, self.documents, self.edges, self.pageranks)
         saved = SearchEngine.load(self.spark, path)
-        self.documents, self.index, self.pageranks, self.edges, self._terms = saved.documents, saved.index, saved.pageranks, saved.edges, None
+        self.documents, self.index, self.pageranks, self.edges = saved.documents, saved.index, saved.pageranks, saved.edges
         return size
 
     def cached(self) -> SearchEngine:
         """Keep the index in executors' memory for a series of queries."""
         i = self.index
-        self.index = indexes.Index(i.postings.persist(), i.doc_stats.persist(), i.terms().persist(), i.corpus_stats().persist())
+        self.index = indexes.Index(i.postings.persist(), i.doc_stats.persist(), i.terms().persist(), i.corpus_stats().persist(), i.stored_deletions)
         return self
 
-    @property
-    def terms(self) -> DataFrame:
-        if self._terms is None:
-            self._terms = self.index.terms().persist()
-        return self._terms
-
     def next_id(self) -> int:
         return self.documents.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0] + 1
 
@@ -76,7 +69,6 @@ class SearchEngine:
         fresh = documents.join(self.documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", "path", "title", "body")
         self.index = indexes.merge(self.index, indexes.build(fresh))
         self.documents = self.documents.unionByName(fresh)
-        self._terms = None
 
     def add_folder(self, folder: str) -> int:
         found = files.read_folder(self.spark, folder, self.next_id())
@@ -137,12 +129,12 @@ class SearchEngine:
                 notes.append("Fuzzy expansions: " + ", ".join(f"{a} -> {b} (dist {d})" for a, b, d in found.corrections))
             name, rows = "fuzzy", self._best(found.results, query, k, context)
         elif mode == "spell:":
-            suggestion = fuzzy.correct_query(self.terms, query)
+            suggestion = fuzzy.correct_query(self.index, query)
             notes.append(fuzzy.correction_text(suggestion) if suggestion else "No corrections needed.")
             name, rows = ("spell-corrected" if suggestion else "bm25"), self._ranked(suggestion or query, k, context)
         else:
             name, rows = "bm25", self._ranked(query, k, context)
-            if not rows and (suggestion := fuzzy.correct_query(self.terms, query)):
+            if not rows and (suggestion := fuzzy.correct_query(self.index, query)):
                 notes.append(fuzzy.correction_text(suggestion))
                 name, rows = "spell-corrected", self._ranked(suggestion, k, context)
         return Answer(name, query, rows, notes, suggestion, time.perf_counter() - start)
@@ -151,7 +143,7 @@ class SearchEngine:
         """A query as the page asks it: any mode, and always with a suggestion where there is one."""
         answer = self.query(text, k, context)
         if answer.suggestion is None and not text.startswith(MODES):
-            answer.suggestion = fuzzy.correct_query(self.terms, text)
+            answer.suggestion = fuzzy.correct_query(self.index, text)
         if answer.suggestion == text:
             answer.suggestion = None
         return answer

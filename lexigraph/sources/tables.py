@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigraph.functions.text import DELETIONS, deletions
 from lexigraph.operators.index import CORPUS_STATS, DOC_STATS, POSTINGS, TERMS, Index
 
 SCHEMAS = {
@@ -19,6 +20,7 @@ SCHEMAS = {
     "doc_stats": DOC_STATS,
     "terms": TERMS,
     "corpus_stats": CORPUS_STATS,
+    "deletions": DELETIONS,
     "edges": "src bigint, dst bigint",
     "pageranks": "doc_id bigint, pr double",
 }
@@ -75,12 +77,28 @@ def stages(spark: SparkSession) -> Iterator[None]:
             system.delete(target, True)
 
 
+def numbered(rows: DataFrame, *order, name: str = "place") -> DataFrame:
+    """rows with their place in an order, from 0. A range sort spreads them over tasks, each task numbers its own, and the tasks' sizes are added up."""
+    spot = F.monotonically_increasing_id()  # the task in the upper bits, the row below
+    held = stage(rows.orderBy(*order).withColumn("_spot", spot), "numbered")
+    tasks = held.groupBy(F.shiftright("_spot", 33).alias("_task")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tasks.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each task of the sort
+    place = F.col("_start") + F.col("_spot").bitwiseAND((1 << 33) - 1)
+    return held.join(F.broadcast(starts), F.shiftright("_spot", 33) == F.col("_task")).withColumn(name, place).drop("_spot", "_task", "_n", "_start")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions of a corpus, the current one last."""
     target, system = file_system(spark, f"{path}/versions")
     return sorted(int(x.getPath().getName()) for x in system.listStatus(target)) if system.exists(target) else []
 
 
+def by_variant(terms: DataFrame) -> DataFrame:
+    """The deletion neighbourhoods of terms, ranged and sorted so that a lookup reads few row groups."""
+    return deletions(terms, "term").repartitionByRange("variant").sortWithinPartitions("variant")
+
+
 def save(path: str, index: Index, documents: DataFrame, edges: DataFrame | None = None, pageranks: DataFrame | None = None) -> int:
     """Write a corpus and give its size in bytes. Postings are ranged and sorted by term, so a filter on terms reads few row groups.
 
@@ -94,7 +112,7 @@ def save(path: str, index: Index, documents: DataFrame, edges: DataFrame | None
     postings.write.parquet(f"{staged}/postings")
     written = Index(spark.read.schema(POSTINGS).parquet(f"{staged}/postings"), index.doc_stats)
     terms = written.terms().repartitionByRange("term").sortWithinPartitions("term")
-    frames = {"documents": documents, "doc_stats": index.doc_stats, "terms": terms, "corpus_stats": written.corpus_stats(), "edges": edges, "pageranks": pageranks}
+    frames = {"documents": documents, "doc_stats": index.doc_stats, "terms": terms, "corpus_stats": written.corpus_stats(), "deletions": by_variant(written.terms()), "edges": edges, "pageranks": pageranks}
     for name, frame in frames.items():
         frame = spark.createDataFrame([], SCHEMAS[name]) if frame is None else frame
         frame.write.parquet(f"{staged}/{name}")

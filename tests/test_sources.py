@@ -1,3 +1,5 @@
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from types import SimpleNamespace
 
 import pytest
@@ -95,6 +97,46 @@ def test_crawl(spark):
     assert sorted(map(tuple, more.edges.collect())) == [(8, 7), (8, 10)]
 
 
+def test_crawl_reads_robots_of_every_host(spark):
+    """Without given rules each host's own file is fetched; what cannot be had closes nothing."""
+    site = SITE | {"http://h/robots.txt": ROBOTS, "http://other/z": "<title>Z</title>other words", "http://other/robots.txt": "User-agent: *\nDisallow: /z"}
+    fetch = crawl.table_fetcher(spark.createDataFrame(list(site.items()), "url string, html string"))
+    result = crawl.crawl(spark, ["http://h/"], fetch, crawl.CrawlConfig(same_domain_only=False))
+    assert sorted(r.path for r in result.documents.collect()) == ["http://h/", "http://h/a", "http://h/b", "http://h/c"]
+    assert result.metrics["skipped"] == 2  # the private page and the other host's
+    del site["http://other/robots.txt"]
+    fetch = crawl.table_fetcher(spark.createDataFrame(list(site.items()), "url string, html string"))
+    wider = crawl.crawl(spark, ["http://h/"], fetch, crawl.CrawlConfig(same_domain_only=False))
+    assert [(r.doc_id, r.path) for r in wider.documents.orderBy("doc_id").collect()] == list(enumerate(["http://h/", "http://h/a", "http://h/b", "http://other/z", "http://h/c"]))
+
+
+class _Broken(BaseHTTPRequestHandler):
+    """Answers that are cut short, or are no answers."""
+
+    def do_GET(self):
+        if self.path == "/good":
+            self.wfile.write(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 17\r\n\r\n<p>fine words</p>")
+        elif self.path == "/short":
+            self.wfile.write(b"HTTP/1.1 200 OK\r\nContent-Length: 1000\r\n\r\nshort")
+        else:
+            self.wfile.write(b"nonsense\r\n\r\n")
+
+    def log_message(self, *args):
+        pass
+
+
+def test_broken_answers_do_not_end_a_crawl(spark):
+    server_ = HTTPServer(("127.0.0.1", 0), _Broken)
+    threading.Thread(target=server_.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server_.server_port}"
+    try:
+        fetch = crawl.http_fetcher(crawl.CrawlConfig(delay_ms=1, timeout_secs=5))
+        rows = fetch(spark.createDataFrame([(f"{base}/{p}",) for p in ("good", "short", "odd", "a b")], "url string")).collect()
+    finally:
+        server_.shutdown()
+    assert {r.url.rsplit("/", 1)[1]: r.ok for r in rows} == {"good": True, "short": False, "odd": False, "a b": False}
+
+
 def test_engine_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("hash.txt", "hash table hash"), ("map.txt", "hash map"), ("tree.txt", "binary tree of consensus")):
