@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import sys
-
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, quote, urljoin, urlsplit, urlunsplit
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,6 +104,26 @@ def parse_robots(text: str) -> list[str]:
     return closed
 
 
+def robots_rules(text: Column) -> Column:
+    """``parse_robots`` of a column."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([parse_robots(t or "") for t in texts], dtype=object)
+
+    return run(text)
+
+
+def normalized(url: Column) -> Column:
+    """``normalize_url`` of a column."""
+
+    @F.pandas_udf("string")
+    def run(urls: pd.Series) -> pd.Series:
+        return pd.Series([normalize_url(u) if u else None for u in urls], dtype=object)
+
+    return run(url)
+
+
 def is_allowed(path: Column, closed: Column) -> Column:
     return ~F.exists(F.coalesce(closed, F.array().cast("array<string>")), lambda p: F.startswith(path, p))
 

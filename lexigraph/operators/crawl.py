@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.functions.web import host_of, is_allowed, normalize_url, parse_robots, read_page, url_host, url_path
+from lexigraph.functions.web import host_of, is_allowed, normalize_url, parse_robots, read_page, robots_rules, url_host, url_path
 from lexigraph.operators.graph import resolve_links
 from lexigraph.sources.tables import numbered, stage
 
@@ -95,16 +95,13 @@ def fetch_robots(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
     site = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     sites = urls.where(site != "").groupBy(url_host(F.col("url")).alias("host")).agg(F.min(site).alias("site"))
     asked = stage(sites.select("host", F.concat("site", F.lit("/robots.txt")).alias("url")), "robots")
-
-    @F.pandas_udf("array<string>")
-    def parsed(bodies: pd.Series) -> pd.Series:
-        return pd.Series([parse_robots(b or "") for b in bodies], dtype=object)
-
-    found = fetcher(asked.select("url")).where("ok").select("url", parsed("body").alias("disallowed"))
+    found = fetcher(asked.select("url")).where("ok").select("url", robots_rules(F.col("body")).alias("disallowed"))
     return asked.join(found, "url", "left").select("host", F.coalesce("disallowed", F.array().cast("array<string>")).alias("disallowed"))
 
 
-def _read(pages: DataFrame) -> DataFrame:
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(url, title, text, links) of pages (url, body)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [read_page(b, u) for u, b in zip(batch["url"], batch["body"])]
@@ -136,7 +133,7 @@ def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: C
         kind = F.lower(F.coalesce("content_type", F.lit("")))
         readable = F.coalesce("ok", F.lit(False)) & (kind.contains("text/html") | kind.contains("text/plain")) & F.col("body").isNotNull()
         pages = got.where(readable).select("url", "path", F.octet_length("body").alias("bytes"), "body")
-        pages = stage(pages.drop("body").join(_read(pages), "url").join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
+        pages = stage(pages.drop("body").join(parsed_pages(pages), "url").join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
         fresh = F.col("old").isNull() & (F.trim("text") != "")
         left = config.max_pages - metrics["indexed"]
         last = pages.where(fresh).orderBy("path").select("path").limit(left).agg(F.count("*").alias("n"), F.max("path").alias("path")).first()

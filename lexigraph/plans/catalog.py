@@ -11,9 +11,10 @@ from lexigraph.functions import codec, web
 from lexigraph.functions.text import kept_words_column, with_stem, words_column
 from lexigraph.operators import boolean, crawl, fuzzy, graph, ranking
 from lexigraph.operators import index as indexes
+from lexigraph.plans.engine import SearchEngine
 from lexigraph.plans.oracles import BATCH, BOOLEAN, CLOSED, DUPLICATE, FUZZY, MULTI, PHRASE2, PHRASE3, SINGLE, SPELL, SUGGEST, oracle_sql
 from lexigraph.sources import files
-from lexigraph.sources.tables import by_variant, file_system, stage
+from lexigraph.sources.tables import by_variant, file_system, scratch_path, stage
 
 __all__ = ["oracle_sql", "queries"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +68,11 @@ def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
 
 
 def listed(array: str, name: str) -> Column:
-    return F.array_join(F.col(array).cast("array<string>"), " ").alias(name)
+    return listed_of(F.col(array), name)
+
+
+def listed_of(array: Column, name: str) -> Column:
+    return F.array_join(array.cast("array<string>"), " ").alias(name)
 
 
 def scored(rows: DataFrame, *more: str) -> DataFrame:
@@ -327,17 +332,64 @@ def incremental_skip(spark, d):
 
 
 def crawl_archive(spark, d):
-    """A crawl of the pages table, whose links lead to pages by position: from the first page of each site outward."""
+    """A crawl of the pages table, in which every page also links to the next of its site: from the first page of each site, up to half as many pages as there are."""
+    site = web.url_host(F.col("url"))
     pages = read(spark, d, "pages").select(web.without_fragment(F.col("url")).alias("url"), "page_id", "html")
-    place = F.row_number().over(Window.partitionBy(web.url_host(F.col("url"))).orderBy("page_id"))
-    onward = F.lead("url").over(Window.partitionBy(web.url_host(F.col("url"))).orderBy("page_id"))
-    linked = pages.withColumn("place", place).withColumn("onward", onward)
-    linked = linked.withColumn("html", F.concat(F.col("html"), F.coalesce(F.concat(F.lit('<a href="'), F.replace("onward", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')), F.lit(""))))
-    seeds = [r["url"] for r in linked.where("place = 1").orderBy("page_id").limit(20).select("url").collect()]
-    result = crawl.crawl(spark, seeds, crawl.table_fetcher(linked), crawl.CrawlConfig(max_pages=50, max_depth=3))
+    order = Window.partitionBy(site).orderBy("page_id")
+    linked = pages.withColumn("first", F.row_number().over(order) == 1).withColumn("onward", F.lead("url").over(order))
+    linked = stage(linked.withColumn("html", F.concat(F.col("html"), F.coalesce(F.concat(F.lit('<a href="'), F.replace("onward", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')), F.lit("")))), "archive")
+    seeds = [r["url"] for r in linked.where("first").orderBy("page_id").select("url").collect()]  # a crawl's seeds are a list of the caller's
+    result = crawl.crawl(spark, seeds, crawl.table_fetcher(linked), crawl.CrawlConfig(max_pages=max(1, linked.count() // 2), max_depth=3))
     return result.documents.select("doc_id", "path", "title", F.length("body").alias("n_chars"))
 
 
+def page_parse(spark, d):
+    """Title and text of pages by the parser, which knows all character references and kinds of quotes."""
+    rows = crawl.parsed_pages(read(spark, d, "pages").select("url", F.col("html").alias("body")))
+    return read(spark, d, "pages").select("page_id", "url").join(rows, "url").select("page_id", "title", "text", F.size("links").alias("n_links"))
+
+
+def url_canonical(spark, d):
+    """Normal forms of URLs that were written with capitals, the default port, dot segments and a fragment."""
+    cut = F.regexp_replace("url", "#.*$", "")
+    site = F.regexp_extract(cut, r"^(https?)://([^/?]+)", 2)
+    port = F.when(F.startswith(cut, F.lit("https")), ":443").otherwise(":80")
+    rest = F.expr("substring(regexp_replace(url, '#.*$', ''), length(regexp_extract(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)', 1)) + 1)")
+    odd = F.concat(F.upper(F.regexp_extract(cut, "^(https?)", 1)), F.lit("://"), F.upper(site), port, F.lit("/a/./b/../.."), rest, F.lit("#part"))
+    return read(spark, d, "pages").select("page_id", web.normalized(odd).alias("url"))
+
+
+def robots_parsed(spark, d):
+    """Rules of robots files that close one page's path to all agents and another agent's to one."""
+    path = web.url_path(F.col("url"))
+    text = F.concat(F.lit("User-Agent: Other\nDisallow: /only\n# note\nuser-agent: *\ndisallow : "), path, F.lit(" # this page\nDisallow:\nAllow: /x\nDisallow: /second\nUser-agent: Last\nDisallow: /last"))
+    return read(spark, d, "pages").select("page_id", F.array_join(web.robots_rules(text), " ").alias("closed"))
+
+
+def vbyte_bytes(spark, d):
+    return index(spark, d).postings.select("term", "doc_id", F.hex(codec.compressed(F.col("positions"))).alias("code"))
+
+
+def vbyte_round_trip(spark, d):
+    ids = codec.decompressed(codec.compressed(F.col("positions")))
+    return index(spark, d).postings.select("term", "doc_id", listed_of(ids, "positions"))
+
+
+def corpus_round_trip(spark, d):
+    """Terms of a corpus that was saved twice to one place, the second time as loaded from it, and loaded again."""
+    path = scratch_path(spark, "corpus")
+    engine = SearchEngine(spark, documents(spark, d), index(spark, d))
+    engine.save(path)
+    again = SearchEngine.load(spark, path)
+    again.save(path)
+    return SearchEngine.load(spark, path).index.terms()
+
+
+def spell_display(spark, d):
+    rows = fuzzy.suggest(index(spark, d), SUGGEST, 2, 5)
+    return rows.select("word", "rank", F.concat("term", F.lit(" (edit distance: "), "dist", F.lit(")")).alias("shown"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -347,6 +399,7 @@ QUERIES: dict[str, Query] = {
         pagerank, pagerank_summary, out_degree, in_links, dangling, rerank_title_path, rerank_pagerank,
         html_title, html_text, html_links, link_resolve, url_normalize, domain_scope, bfs_depth, visited_anti, robots_allowed,
         vbyte_len, delta_gaps, compression_stats, snippets, format_bytes, ext_filter, corpus_merge, incremental_skip, crawl_archive,
+        page_parse, url_canonical, robots_parsed, vbyte_bytes, vbyte_round_trip, corpus_round_trip, spell_display,
     )
 }
 

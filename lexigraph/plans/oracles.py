@@ -205,6 +205,8 @@ targets AS (SELECT page_id, place, href, CASE WHEN regexp_matches(h, '^https?://
               WHEN regexp_matches(h, '^/([^/]|$)') THEN regexp_replace(regexp_extract(url, '^(https?://[^/?#]+)', 1) || h, '#.*$', '') END AS target FROM decoded)"""
 
 VBYTE = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
+CODE = """CASE WHEN {x} < 128 THEN format('{{:02X}}', {x}) WHEN {x} < 16384 THEN format('{{:02X}}{{:02X}}', ({x}) % 128 + 128, ({x}) // 128)
+  ELSE format('{{:02X}}{{:02X}}{{:02X}}', ({x}) % 128 + 128, ({x}) // 128 % 128 + 128, ({x}) // 16384) END"""
 GAPS = "gaps AS (SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM postings)"
 PLACES = f"""places AS (SELECT term, doc_id, unnest(positions) AS pos FROM postings),
 steps AS (SELECT term, doc_id, pos - coalesce(lag(pos) OVER (PARTITION BY term, doc_id ORDER BY pos), 0) AS gap FROM places),
@@ -333,6 +335,25 @@ SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""",
         "visited_anti": f"""WITH {GRAPH}, seeds AS (SELECT DISTINCT dst FROM edges WHERE src IN (1, 2))
 SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT dst FROM seeds) AND dst NOT IN (SELECT dst FROM seeds)""",
         "robots_allowed": f"SELECT page_id, {PATH} AS path, NOT ({' OR '.join(f'starts_with({PATH}, {c!r})' for c in CLOSED)}) AS allowed FROM pages",
+        "page_parse": f"""WITH {LINKS}, counts AS (SELECT page_id, count(target) AS n FROM targets GROUP BY page_id)
+SELECT doc_id AS page_id, title, body AS text, coalesce(n, 0)::INT AS n_links FROM ({PAGE_DOCS}) LEFT JOIN counts ON page_id = doc_id""",
+        "url_canonical": "SELECT page_id, string_split(url, '#')[1] AS url FROM pages",
+        "robots_parsed": f"SELECT page_id, {PATH} || ' /second' AS closed FROM pages",
+        "crawl_archive": f"""WITH RECURSIVE p AS (SELECT page_id, string_split(url, '#')[1] AS url, {HOST} AS host FROM pages),
+placed AS (SELECT *, row_number() OVER site AS place, min(page_id) OVER (PARTITION BY host) AS start, lead(page_id) OVER site AS onward FROM p WINDOW site AS (PARTITION BY host ORDER BY page_id)),
+walk(page_id, start, depth) AS (SELECT page_id, start, 0 FROM placed WHERE place = 1
+  UNION ALL SELECT onward, w.start, depth + 1 FROM walk w JOIN placed USING (page_id) WHERE onward IS NOT NULL AND depth < 3),
+ranked AS (SELECT page_id, row_number() OVER (ORDER BY depth, start) - 1 AS doc_id FROM walk)
+SELECT r.doc_id, url AS path, title, (len(body) + CASE WHEN onward IS NULL THEN 0 ELSE len('next ') END)::INT AS n_chars
+FROM ranked r JOIN placed USING (page_id) JOIN ({PAGE_DOCS}) d ON d.doc_id = page_id WHERE r.doc_id < (SELECT greatest(1, count(*) // 2) FROM pages)""",
+        "corpus_round_trip": f"WITH {WORDS} SELECT term, df FROM terms",
+        "spell_display": f"""WITH {WORDS}, {_near(SUGGEST, False)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, term)::INT AS rank FROM near WHERE dist BETWEEN 1 AND 2)
+SELECT word, rank, term || ' (edit distance: ' || dist || ')' AS shown FROM ranked WHERE rank <= 5""",
+        "vbyte_bytes": f"""WITH {WORDS}, at_ AS (SELECT term, doc_id, unnest(positions)::BIGINT AS pos FROM postings),
+gaps_ AS (SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY term, doc_id ORDER BY pos), 0) AS gap FROM at_)
+SELECT term, doc_id, {CODE.format(x='count(*)')} || string_agg({CODE.format(x='gap')}, '' ORDER BY pos) AS code FROM gaps_ GROUP BY term, doc_id""",
+        "vbyte_round_trip": f"WITH {WORDS} SELECT term, doc_id, array_to_string(positions, ' ') AS positions FROM postings",
         "vbyte_len": f"WITH {WORDS}, {PLACES} SELECT term, doc_id, bytes FROM coded",
         "delta_gaps": f"WITH {WORDS}, {GAPS} SELECT term, doc_id, gap FROM gaps",
         "compression_stats": f"""WITH {WORDS}, {GAPS}, {PLACES},

@@ -1,9 +1,10 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 
-from lexigraph.functions.text import tokenize_text
+from lexigraph.functions.text import deletions, tokenize_text
 from lexigraph.operators import boolean, fuzzy, graph, ranking
 from lexigraph.operators import index as indexes
 
@@ -152,3 +153,31 @@ def test_pagerank_goldens(spark, edges, want):
 
 def test_pagerank_of_nothing(spark):
     assert graph.pagerank(spark.createDataFrame([], "id bigint"), spark.createDataFrame([], "src bigint, dst bigint")).collect() == []
+
+
+def test_neighbours_by_equality_are_those_of_a_scan(spark):
+    rng = random.Random(6)
+    terms = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(400)} | {"x", "ca", "abc"}
+    vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
+    stored = indexes.Index(None, None, vocabulary, None, deletions(vocabulary, "term"))
+    words = rng.sample(sorted(terms), 40) + ["", "ac", "zzz", "bca"]
+    for most, prune in ((2, False), (1, True)):
+        found = [sorted(map(tuple, fuzzy.near_terms(v, words, most, prune).collect())) for v in (vocabulary, stored)]
+        assert found[0] == found[1] and len(found[0]) > 40
+        if not prune:
+            assert found[0] == sorted((w, t, fuzzy.osa(w, t)) for w in set(words) for t in terms if fuzzy.osa(w, t) <= most)
+
+
+def test_pagerank_with_split_hubs(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = {(0, i) for i in range(1, 40)} | {(rng.randrange(40), rng.randrange(50)) for _ in range(120)}
+    nodes = spark.createDataFrame([(i,) for i in range(50)], "id bigint")
+    frame = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
+    out = Counter(a for a, _ in edges)
+    pr = dict.fromkeys(range(50), 1 / 50)
+    for _ in range(7):
+        loose = sum(p for i, p in pr.items() if not out[i])
+        pr = {i: 0.15 / 50 + 0.85 * (loose / 50 + sum(pr[a] / out[a] for a, b in edges if b == i and a != b)) for i in pr}
+    monkeypatch.setattr(graph, "HUB_LINKS", 5)
+    got = {r.doc_id: r.pr for r in graph.pagerank(nodes, frame, iterations=7).collect()}
+    assert got == {i: pytest.approx(p) for i, p in pr.items()}

@@ -213,3 +213,25 @@ def test_staged_tables_go_with_their_block(spark):
     unset = SimpleNamespace(get=lambda name, default: default)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_codes_as_columns(spark):
+    lists = [[], [0], [127], [128, 129, 16384, 2**21, 2**28, 2**32 - 1], list(range(0, 5000, 3))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<bigint>")
+    code = codec.compressed(F.col("ids"))
+    for r in rows.select("ids", code.alias("code"), codec.decompressed(code).alias("back")).collect():
+        assert bytes(r.code) == codec.compress(r.ids) and r.back == r.ids
+
+
+def test_gaps_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(codec, "STRETCH_BITS", 3)
+    ids = [0, 1, 7, 8, 9, 40, 41, 100]
+    rows = spark.createDataFrame([(t, i) for t in "ab" for i in ids], "term string, doc_id bigint")
+    got = sorted(map(tuple, codec.id_gaps(rows).collect()))
+    assert got == [(t, b, b - a) for t in "ab" for a, b in zip([0, *ids], ids)]
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(1000).withColumn("x", (F.col("id") * 7919) % 1009).repartition(7)
+    got = [(r.place, r.x) for r in tables.numbered(rows, "x").orderBy("place").collect()]
+    assert [p for p, _ in got] == list(range(1000)) and got == sorted(got, key=lambda g: g[1])
