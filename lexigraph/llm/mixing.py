@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraph.sources.tables import numbered
+
 from .common import WORD, need, packed, stage
 
 WEIGHTS = (3, 1, 2)
@@ -40,17 +42,6 @@ def hash_of(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def numbered(per: DataFrame) -> DataFrame:
-    """Rows (source, source_size) with their place among all sources, from 0: by code point, nulls last. Each task of a range sort numbers its own."""
-    spot = F.monotonically_increasing_id()  # the task in the upper bits, the row below
-    rows = stage(per.orderBy(F.col("source").asc_nulls_last()).select("source", "source_size", spot.alias("spot")), "mix")
-    tasks = rows.groupBy(F.shiftright("spot", 33).alias("task")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each task of the sort
-    place = F.col("start") + F.col("spot").bitwiseAND((1 << 33) - 1)
-    return rows.join(F.broadcast(starts), F.shiftright("spot", 33) == F.col("task")).select("source", "source_size", place.alias("place"))
-
-
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """One row per source: source, source_size, target.
 
@@ -62,7 +53,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ca
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = F.array(*[F.lit(int(w)) for w in weights])
     weight = F.element_at(table, (F.col("place") % len(weights) + 1).cast("int")).cast("long")
-    rows = stage(numbered(per).select("source", "source_size", weight.alias("w"), (F.col("source_size") * int(cap)).alias("most")), "mix")
+    placed = numbered(per, F.col("source").asc_nulls_last())
+    rows = stage(placed.select("source", "source_size", weight.alias("w"), (F.col("source_size") * int(cap)).alias("most")), "mix")
     total, shares = rows.agg(F.sum("source_size"), F.sum("w")).first()
     level, last = ((total or 0) * float(budget) / shares if shares else 0.0), None
     while level != last:
