@@ -245,7 +245,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
             end = html.find(">", closing.end()) if closing else -1
             at = end + 1 if end >= 0 else size
         elif not m[3].endswith("/") or tag not in ("svg", "iframe", "math"):
-            if len(stack) < MOST_DEPTH or e.silent:
+            if len(stack) < MOST_DEPTH or e.silent and not parent.silent:
                 stack.append(e)
                 opened[tag] = opened.get(tag, 0) + 1
     flush()
