@@ -37,7 +37,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 32
 END_ID = 2
 MERGE_TASKS = 64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 #: Words by line: lower-case Latin letters that no normalisation changes, then punctuation; two empty groups for other words.
 PLAIN = re.compile(r"^(?:([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
