@@ -88,7 +88,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("block", "content", "depth", "holds", "links", "number", "parent", "signs", "silent", "tag")
+    __slots__ = ("block", "content", "depth", "holds", "links", "number", "parent", "signs", "silent", "tag", "within")
 
     def __init__(self, tag: str, parent: Element | None, number: int, signs: int, silent: bool):
         self.tag, self.parent, self.number, self.signs = tag, parent, number, signs
@@ -97,6 +97,7 @@ class Element:
         self.links = (parent.links if parent else 0) + (tag == "a")
         self.block = parent.block if parent and tag in INLINE else self  # the nearest element that breaks lines
         self.content = tag in CONTAINERS and not signs & BAD or parent is not None and parent.content
+        self.within = self.content or signs == SIGN["wording"] or parent is not None and parent.within  # what is called content, too
         self.holds = False  # has the page's content container below it
 
 
@@ -233,7 +234,7 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        signs, silent = own_signs(tag, m[3], parent.content)
+        signs, silent = own_signs(tag, m[3], parent.within)
         e = Element(tag, parent, len(elements), signs, silent)
         elements.append(e)
         if tag in CONTAINERS and not signs & BAD:
@@ -306,23 +307,26 @@ def features(blocks: list[Block], elements: list[Element]) -> np.ndarray:
 
 #: Kinds of smoothness edges. Neighbours on the page: of one kind below one parent, below one parent, near in the tree, or none of these.
 #: Blocks with others between them: next of their kind below one parent, next below one parent, next below one grandparent.
-EDGES = ("twins", "siblings", "near", "order", "next twin", "next child", "next grandchild")
+#: And neighbours of which one stands below something that is no content by its signs, and the other does not.
+EDGES = ("twins", "siblings", "near", "order", "next twin", "next child", "next grandchild", "border")
 NEAR = 4
 SHARES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, int]]:
+def smoothness(blocks: list[Block], elements: list[Element]) -> list[tuple[int, int, int]]:
     """(block, block, kind) of neighbours on the page, and of blocks next to each other under one container."""
+    signs = context(blocks, elements)
+    bad = [signs[b.element.number] & BAD for b in blocks]
     edges: dict[tuple[int, int], int] = {}
     last: dict[tuple, int] = {}
     for i, block in enumerate(blocks):
         e = block.element
         if i:
-            edges[i - 1, i] = closeness(blocks[i - 1].element, e)
+            edges[i - 1, i] = closeness(blocks[i - 1].element, e) if bad[i - 1] == bad[i] else EDGES.index("border")
         parent = e.parent
         for above, more, kind in ((parent, (e.tag, e.signs), 4), (parent, (), 5), (parent.parent if parent else None, (), 6)):
             if above is not None and above.tag not in ("html", "body"):
-                key = (above.number, kind, *more)
+                key = (above.number, kind, bad[i], *more)
                 if key in last:
                     edges.setdefault((last[key], i), kind)
                 last[key] = i
@@ -356,8 +360,8 @@ class Potentials:
         """Cost of calling each block content less that of calling it boilerplate."""
         return (-(features(blocks, elements) @ np.array(self.weights))).tolist()
 
-    def smooth(self, blocks: list[Block]) -> list[tuple[int, int, float]]:
-        return [(a, b, self.edges[kind]) for a, b, kind in smoothness(blocks)]
+    def smooth(self, blocks: list[Block], elements: list[Element]) -> list[tuple[int, int, float]]:
+        return [(a, b, self.edges[kind]) for a, b, kind in smoothness(blocks, elements)]
 
 
 def train(pages: list[tuple[list[Block], list[Element], np.ndarray]], ridge: float = 1.0, rounds: int = 30) -> Potentials:
@@ -375,8 +379,8 @@ def train(pages: list[tuple[list[Block], list[Element], np.ndarray]], ridge: flo
         if np.abs(step).max() < 1e-6:
             break
     seen = np.ones((len(EDGES), 2))
-    for blocks, _, labels in pages:
-        for a, b, kind in smoothness(blocks):
+    for blocks, elements, labels in pages:
+        for a, b, kind in smoothness(blocks, elements):
             seen[kind, int(labels[a] == labels[b])] += 1
     return Potentials(tuple(theta.tolist()), tuple(np.maximum(0.0, np.log(seen[:, 1] / seen[:, 0])).tolist()))
 
@@ -389,7 +393,7 @@ def trained() -> Potentials:
 
     def wrong(share: float) -> int:
         tried = Potentials(fitted.weights, tuple(share * w for w in fitted.edges))
-        return sum(int((np.array(minimum_cut(tried.costs(b, e), tried.smooth(b))) != labels).any()) for b, e, labels in others)
+        return sum(int((np.array(minimum_cut(tried.costs(b, e), tried.smooth(b, e))) != labels).any()) for b, e, labels in others)
 
     share = min(SHARES, key=wrong)
     return Potentials(fitted.weights, tuple(share * w for w in fitted.edges))
@@ -508,7 +512,7 @@ def main_text(html: str | None, potentials: Potentials | None = None) -> str:
     if not blocks:
         return ""
     potentials = potentials or trained()
-    side = minimum_cut(potentials.costs(blocks, elements), potentials.smooth(blocks))
+    side = minimum_cut(potentials.costs(blocks, elements), potentials.smooth(blocks, elements))
     return "\n".join(b.text for b, content in zip(blocks, side) if content)
 
 

@@ -91,7 +91,8 @@ class Maker:
         return self.region("nav", self.rng.choice((" | ", " ", "<br>")).join(links))
 
     def header(self) -> str:
-        parts = [f"<{self.rng.choice(('h1', 'div', 'p', 'h2'))}>{self.words(self.rng.randint(1, 4))}</div>"]
+        tag, name = self.rng.choice(("h1", "div", "p", "h2", "h2")), self.words(self.rng.randint(1, 4))
+        parts = [f"<{tag}>{name if self.rng.random() < 0.6 else self.prose(self.some(1, 8))}</{tag}>"]
         if self.rng.random() < 0.5:
             parts.append(self.nav())
         if self.rng.random() < 0.3:

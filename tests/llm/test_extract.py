@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 import time
-from html import unescape
+from html import escape, unescape
 
 import pytest
 
@@ -109,7 +109,7 @@ def test_flow_settles_what_the_classifier_gets_wrong(spark, monkeypatch):
     for blocks, elements, labels in made:
         costs = potentials.costs(blocks, elements)
         own = [c < 0 for c in costs]
-        side = extract.minimum_cut(costs, potentials.smooth(blocks))
+        side = extract.minimum_cut(costs, potentials.smooth(blocks, elements))
         alone += sum(x != y for x, y in zip(own, labels))
         cut += sum(x != y for x, y in zip(side, labels))
         flipped += sum(x != y for x, y in zip(own, side))
@@ -137,3 +137,42 @@ def test_formulas_heads_and_quotes():
     assert text("<head><meta x><div>two</div>") == ["two"]
     assert text('<p title="a > b">one</p><p title=a">two</p><p title="three') == ["one", "two", '<p title="three']
     assert text("<p>a < b and c > d") == ["a < b and c > d"]
+
+
+def other_page(rng, words):
+    """A page of a layout drawn from lists that the training pages do not come from, and its article."""
+    some = lambda n: (lambda k: " ".join(words[k : k + n]))(rng.randrange(len(words) - n))
+    put = lambda forms, *x: rng.choice(forms).replace("@", "{}").format(*map(escape, x))
+    title, paragraphs = some(rng.randint(3, 10)), [some(rng.choice([1, 2, 4, 8, 15, 30, 60, 120])) for _ in range(rng.randint(2, 14))]
+    parts = [f"<h1>{escape(title)}</h1>"] + [f"<p>{escape(p)}</p>" if rng.random() < 0.85 else f"<h2>{escape(p)}</h2>" for p in paragraphs]
+    links = "".join(f'<li><a href="/{i}">{escape(some(rng.randint(1, 3)))}</a></li>' for i in range(rng.randint(3, 8)))
+    ads = ['<div class="ad">@</div>', '<div class="advert"><p>@</p></div>', '<aside class="sponsored"><p>@</p></aside>', '<div id="ad-top"><p>@</p></div>']
+    comments = f'<div class="{rng.choice(["comments", "comment-list", "reader-comments"])}"><h3>{escape(some(1))}</h3>'
+    comments += "".join(f'<div class="comment"><b>{escape(some(1))}</b><p>{escape(some(rng.choice([2, 10, 40, 80])))}</p></div>' for _ in range(rng.randint(1, 5))) + "</div>"
+    if rng.random() < 0.4:
+        parts.insert(rng.randint(2, len(parts)), put(ads, some(rng.randint(4, 40))))
+    inside = rng.random() < 0.4
+    core = rng.choice(["<article>@</article>", "<main><article>@</article></main>", "<main>@</main>", '<div class="content">@</div>', '<div id="article">@</div>', '<div class="post-body">@</div>', '<section class="story">@</section>'])
+    core = core.replace("@", "".join(parts) + (comments if inside else "")) + ("" if inside or rng.random() < 0.4 else comments)
+    side = put(['<aside><h3>@</h3><ul><li><a href="/s">@</a></li></ul></aside>', '<div class="sidebar"><h3>@</h3><p>@</p></div>', '<div id="sidebar"><h4>@</h4><ul><li><a href=/x>@</a></ul></div>'], some(2), some(rng.randint(3, 25)))
+    above = [
+        put(['<div class="cookie-notice"><p>@</p><button>OK</button></div>', '<div id="cookie-banner">@</div>', '<div role="alert"><p>@</p></div>', '<div class="notice">@</div>'], some(rng.randint(6, 30))),
+        put(["<header><h2>@</h2></header>", '<div id="header"><p>@</p></div>', '<div class="site-header"><span>@</span></div>'], some(3)),
+        rng.choice(["<nav><ul>@</ul></nav>", '<div class="menu"><ul>@</ul></div>', '<ul id="nav">@</ul>', '<div role="navigation">@</div>']).replace("@", links),
+        put(ads, some(rng.randint(4, 40))), side,
+    ]
+    below = [
+        side, put(['<form action="/s"><label>@</label><input><button>Go</button></form>', '<form class="newsletter"><p>@</p><input></form>', '<div class="signup"><form><p>@</p></form></div>'], some(rng.randint(2, 20))),
+        put(ads, some(rng.randint(4, 40))), put(["<footer>&copy; 2020 @</footer>", '<div id="footer"><p>@</p></div>', "<footer><p>@</p><ul><li><a href=/i>x</a></ul></footer>"], some(rng.randint(3, 25))),
+    ]
+    page = "".join(x for x in above if rng.random() < 0.5) + core + "".join(x for x in below if rng.random() < 0.6)
+    return f"<!DOCTYPE html><html><head><title>{escape(title)}</title></head><body>{page}</body></html>", "\n".join([title, *paragraphs])
+
+
+def test_layouts_that_were_not_trained_on(spark):
+    rng, right = random.Random(5), 0
+    words = " ".join(r.text for r in table(spark, "/root/testdata/sf0.01", "documents").limit(200).collect()).split()
+    for _ in range(400):
+        page, want = other_page(rng, words)
+        right += extract.main_text(page) == want
+    assert right >= 392
