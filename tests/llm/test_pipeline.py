@@ -1,7 +1,16 @@
+import ast
+import math
+import zlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import test_lines
+import test_mixing
+import test_toxicity
 from data import no_documents, odd_documents
 from lexigraph.llm import lines, mixing, packing, simhash_similar, toxicity
 from lexigraph.llm.common import stage, table
@@ -137,3 +146,69 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert function(spark, no_documents(spark), sf_dir).collect() == []
     kept = simhash_similar.without_near_duplicates(odd_documents(spark)).collect()
     assert sorted(repr(r.doc_id) for r in kept) == sorted(map(repr, [0, 2, 3, 4, None, 5, 7, 8]))
+
+
+def plain_pipeline(spark, sf_dir):
+    """{doc_id: (text, copies)} of the documents that reach packing, stage by stage from plain versions."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))  # its plain reading is compared in test_toxicity
+    rows = [r for r in docs.collect() if test_toxicity.plain(model, r.text) < toxicity.PREDICT_AT]
+    source = {r.doc_id: r.source for r in rows}
+    before = {r.doc_id: r.text for r in rows}
+    texts = {}
+    for doc_id, text, _, _ in map(ast.literal_eval, test_lines.plain(rows)):
+        if text.split() or not before[doc_id].split():
+            texts[doc_id] = text
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if texts[a] == texts[b] or sets[a] and jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    kept = [i for i in ids if find(i) == i]
+    left = [Row(doc_id=i, text=texts[i], source=source[i]) for i in kept]
+    size, h, total, target = test_mixing.plain(left)
+    out = {}
+    for s in total:
+        own = sorted((h[n], size[n], r) for n, r in enumerate(left) if r.source == s)
+        base = math.floor(target[s] / total[s]) if total[s] else 0
+        rest, cum = target[s] - base * total[s], 0
+        for _, n, r in own:
+            extra = cum + n <= rest or cum <= rest and 2 * (rest - cum) >= n
+            cum += n
+            if copies := min(2, base + extra):
+                out[r.doc_id] = (r.text, copies)
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, sf_dir):
+    want = plain_pipeline(spark, sf_dir)
+    encoder = packing.WordEncoder(packing.default_vocabulary())
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in pipeline.run(spark, sf_dir).collect():
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == want.keys()
+    for doc_id, (text, copies) in want.items():
+        ids = np.frombuffer(encoder.whole(text), "<u4").tolist() + [packing.END_ID]
+        times = [0] * len(ids)
+        for r in pieces[doc_id]:
+            part = np.array(ids[r.start : r.start + r.length], "<u4")
+            assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(part.tobytes()))
+            for i in range(r.start, r.start + r.length):
+                times[i] += 1
+        assert times == [copies] * len(ids)
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096

@@ -63,22 +63,24 @@ def test_odd_rows(spark):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
+def plain(model, text):
+    """A text's score under a fitted model, by a plain reading."""
+    words = re.findall(r"\w+", text.lower())
+    ids = {w: [zlib.crc32(f"w{w}".encode())] + [zlib.crc32(f"b{w[:n]}".encode()) for n in (4, 5, 6) if len(w) > n] for w in set(words)}
+    known = {x for found in ids.values() for x in found if x in model.entries}
+    hits, n = sum(any(x in model.entries for x in found) for found in ids.values()), max(1, len(words))
+    upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "À" <= c <= "Þ" and c != "×" for c in text)
+    inputs = [float(hits > 0), math.log(1 + hits), min(1.0, 20 * hits / n), min(1.0, upper / max(1, len(text)) + text.count("!") / n)]
+    z = model.bias + sum(model.weights[model.entries[x]] for x in known) + sum(a * b for a, b in zip(model.counts, inputs))
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+
 def test_scores_are_the_fitted_model_on_whole_texts(spark, sf_dir):
     """Every score, and every decision of the pipeline's stage, by a plain reading of the text under the fitted weights."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels)
 
-    def plain(text):
-        words = re.findall(r"\w+", text.lower())
-        ids = {w: [zlib.crc32(f"w{w}".encode())] + [zlib.crc32(f"b{w[:n]}".encode()) for n in (4, 5, 6) if len(w) > n] for w in set(words)}
-        known = {x for found in ids.values() for x in found if x in model.entries}
-        hits, n = sum(any(x in model.entries for x in found) for found in ids.values()), max(1, len(words))
-        upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "À" <= c <= "Þ" and c != "×" for c in text)
-        inputs = [float(hits > 0), math.log(1 + hits), min(1.0, 20 * hits / n), min(1.0, upper / max(1, len(text)) + text.count("!") / n)]
-        z = model.bias + sum(model.weights[model.entries[x]] for x in known) + sum(a * b for a, b in zip(model.counts, inputs))
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
-
-    want = {r.doc_id: plain(r.text) for r in docs.collect()}
+    want = {r.doc_id: plain(model, r.text) for r in docs.collect()}
     got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
     kept = {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
