@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.text import MOST_DELETED, deletions, stem_word, tokenize_text
@@ -53,6 +53,21 @@ def osa_column(a: str, b: str):
     return measured(F.col(a), F.col(b))
 
 
+def _few(spark: SparkSession, words: Sequence[str]) -> DataFrame:
+    """(word) of a list whose length is checked."""
+    words = list(dict.fromkeys(words))
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"over {MAX_WORDS} words in one lookup")
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
+def levenshtein_terms(vocabulary: DataFrame, words: Sequence[str], most: int = MAX_DISTANCE) -> DataFrame:
+    """(word, term, dist) within a plain Levenshtein distance, all in the engine; the words are few and broadcast."""
+    asked = F.broadcast(_few(vocabulary.sparkSession, words))
+    dist = F.levenshtein("word", "term", most)
+    return vocabulary.select("term").join(asked, (F.abs(F.length("word") - F.length("term")) <= most) & (dist >= 0)).select("word", "term", dist.alias("dist"))
+
+
 def near_terms(vocabulary: DataFrame | Index, words: Sequence[str], most: int = MAX_DISTANCE, byte_prune: bool = False) -> DataFrame:
     """(word, term, dist) for terms of a vocabulary (term) or index within most of a word; the words are few and broadcast.
 
@@ -60,10 +75,7 @@ def near_terms(vocabulary: DataFrame | Index, words: Sequence[str], most: int =
     """
     stored = vocabulary.stored_deletions if isinstance(vocabulary, Index) else None
     terms = vocabulary.terms() if isinstance(vocabulary, Index) else vocabulary
-    words = list(dict.fromkeys(words))
-    if len(words) > MAX_WORDS:
-        raise ValueError(f"over {MAX_WORDS} words in one lookup")
-    asked = terms.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    asked = _few(terms.sparkSession, words)
     near = F.abs(F.length("word") - F.length("term")) <= most
     if byte_prune:
         near = near & (F.abs(F.octet_length("word") - F.octet_length("term")) <= most)

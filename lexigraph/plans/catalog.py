@@ -174,10 +174,7 @@ def bool_ranked(spark, d):
 
 
 def levenshtein_terms(spark, d):
-    terms = index(spark, d).terms().select("term")
-    words = F.broadcast(spark.createDataFrame([(w,) for w in FUZZY], "word string"))
-    dist = F.levenshtein("word", "term", 2)
-    return terms.join(words, (F.abs(F.length("word") - F.length("term")) <= 2) & (dist >= 0)).select("word", "term", dist.alias("dist"))
+    return fuzzy.levenshtein_terms(index(spark, d).terms(), FUZZY)
 
 
 def fuzzy_expand(spark, d):
@@ -349,6 +346,12 @@ def page_parse(spark, d):
     return read(spark, d, "pages").select("page_id", "url").join(rows, "url").select("page_id", "title", "text", F.size("links").alias("n_links"))
 
 
+def page_links(spark, d):
+    """Targets of pages' links by the parser, resolved and in normal form."""
+    rows = crawl.parsed_pages(read(spark, d, "pages").select("url", F.col("html").alias("body")))
+    return read(spark, d, "pages").select("page_id", "url").join(rows, "url").select("page_id", F.posexplode("links").alias("place", "target"))
+
+
 def url_canonical(spark, d):
     """Normal forms of URLs that were written with capitals, the default port, dot segments and a fragment."""
     cut = F.regexp_replace("url", "#.*$", "")
@@ -399,7 +402,7 @@ QUERIES: dict[str, Query] = {
         pagerank, pagerank_summary, out_degree, in_links, dangling, rerank_title_path, rerank_pagerank,
         html_title, html_text, html_links, link_resolve, url_normalize, domain_scope, bfs_depth, visited_anti, robots_allowed,
         vbyte_len, delta_gaps, compression_stats, snippets, format_bytes, ext_filter, corpus_merge, incremental_skip, crawl_archive,
-        page_parse, url_canonical, robots_parsed, vbyte_bytes, vbyte_round_trip, corpus_round_trip, spell_display,
+        page_parse, page_links, url_canonical, robots_parsed, vbyte_bytes, vbyte_round_trip, corpus_round_trip, spell_display,
     )
 }
 

@@ -216,6 +216,13 @@ PATH = r"regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 HOST = r"lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 
 
+def _kept(x: str, chars: str) -> str:
+    """x, which is percent-encoded, with these characters as they are."""
+    for c in chars:
+        x = f"replace({x}, '%{ord(c):02X}', {chr(39) * 4 if c == chr(39) else repr(c)})"
+    return x
+
+
 def _spell() -> str:
     rows = []
     for q, query in enumerate(SPELL):
@@ -337,6 +344,8 @@ SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT dst FROM seeds) AND ds
         "robots_allowed": f"SELECT page_id, {PATH} AS path, NOT ({' OR '.join(f'starts_with({PATH}, {c!r})' for c in CLOSED)}) AS allowed FROM pages",
         "page_parse": f"""WITH {LINKS}, counts AS (SELECT page_id, count(target) AS n FROM targets GROUP BY page_id)
 SELECT doc_id AS page_id, title, body AS text, coalesce(n, 0)::INT AS n_links FROM ({PAGE_DOCS}) LEFT JOIN counts ON page_id = doc_id""",
+        "page_links": f"""WITH {LINKS}, found AS (SELECT page_id, place, url_encode(target) AS t FROM targets WHERE target IS NOT NULL)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS place, {_kept('t', ":/?#,|=&'()*+;!$@[]^")} AS target FROM found""",
         "url_canonical": "SELECT page_id, string_split(url, '#')[1] AS url FROM pages",
         "robots_parsed": f"SELECT page_id, {PATH} || ' /second' AS closed FROM pages",
         "crawl_archive": f"""WITH RECURSIVE p AS (SELECT page_id, string_split(url, '#')[1] AS url, {HOST} AS host FROM pages),
