@@ -185,9 +185,8 @@ def deletions(rows: DataFrame, column: str) -> DataFrame:
     """
     less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     some = lambda w: F.when(F.length(w) > 0, less(w)).otherwise(F.array().cast("array<string>"))
-    known = layer = F.array(F.col(column))
-    for _ in range(MOST_DELETED):
-        layer = F.array_distinct(F.flatten(F.transform(layer, some)))
-        known = F.array_union(known, layer)
-    held = rows.withColumn("_known", known)
-    return held.withColumn("variant", F.explode(F.array_distinct(F.transform("_known", lambda w: F.xxhash64(w))))).drop("_known").select("variant", *rows.columns)
+    held = rows.withColumn("_0", F.array(F.col(column)))
+    for n in range(MOST_DELETED):
+        held = held.withColumn(f"_{n + 1}", F.array_distinct(F.flatten(F.transform(f"_{n}", some))))
+    known = F.concat(*[f"_{n}" for n in range(MOST_DELETED + 1)])
+    return held.select(F.explode(F.array_distinct(F.transform(known, lambda w: F.xxhash64(w)))).alias("variant"), *rows.columns)

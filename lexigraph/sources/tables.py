@@ -95,8 +95,15 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def by_variant(terms: DataFrame) -> DataFrame:
-    """The deletion neighbourhoods of terms, ranged and sorted so that a lookup reads few row groups."""
-    return deletions(terms, "term").repartitionByRange("variant").sortWithinPartitions("variant")
+    """The deletion neighbourhoods of terms, in ranges of variants and sorted, so that a lookup reads few row groups.
+
+    Variants are hashes, so equal ranges of them are parts of equal size, without a sample. Terms, a
+    small table that grows to some forty times as many rows, are dealt to as many tasks first.
+    """
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright((F.shiftright("variant", 32) + (1 << 31)) * parts, 32).cast("int")
+    rows = deletions(terms.repartition(parts, "term"), "term")
+    return rows.repartitionById(parts, part).sortWithinPartitions("variant")
 
 
 def save(path: str, index: Index, documents: DataFrame, edges: DataFrame | None = None, pageranks: DataFrame | None = None) -> int:
