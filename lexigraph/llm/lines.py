@@ -127,9 +127,10 @@ def moved_blocks(a: list[int], b: list[int], words: list[int], least: int, gone:
     return out
 
 
-def shared_blocks(a: list[int], b: list[int], words: list[int], least: int, held: set[int]) -> list[int]:
-    """Places in b of all blocks that it has in common with a, whose lines are held."""
+def shared_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Places in b of all blocks that it has in common with a."""
     gone = set(common_blocks(align(a, b), words, least))
+    held = set(a)
     if any(x in held for j, x in enumerate(b) if j not in gone):
         gone |= moved_blocks(a, b, words, least, gone)
     return sorted(gone)
@@ -199,18 +200,14 @@ def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     pairs = overlaps(texts, least)
     early = texts.select(F.col("doc_id").alias("early"), F.col("hashes").alias("a"))
     late = texts.select(F.col("doc_id").alias("late"), F.col("key"), F.col("hashes").alias("b"), "words")
-    # later texts move to the first holder, of which a hot run may need one and the same for very many
-    met = pairs.join(late, "late").join(early, "early").select("early", "late", "key", "a", "b", "words")
+    met = pairs.join(early, "early").join(late, "late").select("late", "key", "a", "b", "words")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, before, held = None, [], set()
         for batch in batches:
             found = []
-            for at, a, b, words in zip(batch["early"], batch["a"], batch["b"], batch["words"]):
-                if at != last:
-                    last, before = at, a.tolist()
-                    held = set(before)
-                found.append(shared_blocks(before, b.tolist(), words.tolist(), least, held))
+            for a, b, words in zip(batch["a"], batch["b"], batch["words"]):
+                gone = shared_blocks(a.tolist(), b.tolist(), words.tolist(), least)
+                found.append(gone)
             yield pd.DataFrame({"key": batch["key"], "late": batch["late"], "size": [len(b) for b in batch["b"]], "gone": found})
 
     marks = met.mapInPandas(run, "key binary, late long, size int, gone array<int>").where("size(gone) > 0")
