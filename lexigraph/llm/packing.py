@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 import zlib
@@ -26,6 +27,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,15 @@ OPEN_WINDOWS = 32
 END_ID = 2
 MERGE_TASKS = 64
 CACHE_WORDS = 1_500_000
+#: Longer words, such as lines of a script without spaces, are encoded each time they come.
+KEPT_LENGTH = 64
+#: Characters of text that are encoded together, and of those that pass the whole tokenizer at once.
+PORTION = 4_000_000
+WHOLE_PORTION = 100_000
 #: Words by line: lower-case Latin letters that no normalisation changes, then punctuation; two empty groups for other words.
 PLAIN = re.compile(r"^(?:([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)|.*)$", re.M)
+#: Byte-level models have a visible character for every byte: its own, or for blanks and controls those from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,13 +59,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def symbols(run: str) -> str:
+    """The characters that a byte-level model has for a run of letters."""
+    return run if run.isascii() else run.encode().decode("latin-1").translate(BYTES)
+
+
 class WordEncoder:
     """Ids of texts as little-endian bytes.
 
     The tokenizer drops white space and never merges across it, nor between a run of letters and
-    a run of punctuation. So a text is split at white space, and known words are looked up. A new
+    a run of punctuation. So texts are split at ASCII white space, many at a time, their distinct
+    words are looked up, and the words' ids are laid out as the words stand in the texts. A new
     word of Latin letters, with or without punctuation after it, is looked up by its lower-case
-    letters; new letter runs are encoded many at a time. Other words are encoded one by one.
+    letters; the tokenizer's model is given new letter runs directly, if the steps before it do to
+    letters what ``symbols`` does. Other words, among them those with white space beyond ASCII, pass through the whole
+    tokenizer.
     """
 
     def __init__(self, vocabulary: str):
@@ -65,53 +83,85 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
-        # characters that Python splits at though the tokenizer keeps them: texts with these are encoded as a whole
-        spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
-        self.odd = re.compile("[" + "".join(c for c in spaces if self.whole(c)) + "]")
+        single = [run for run, _ in PLAIN.findall("\n".join(map(chr, range(0x250))).lower()) if run]
+        self.direct = all(self.before_model(x) == [symbols(x)] for x in [*single, "".join(single)])
+
+    def before_model(self, run: str) -> list[str] | None:
+        """What the tokenizer gives its model for a run; None if it has no pre-tokenizer."""
+        first, second = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        return [x for x, _ in second.pre_tokenize_str(first.normalize_str(run) if first else run)] if second else None
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn_letters(self, runs: list[str]) -> None:
-        """Encode runs of letters as one text; each is one piece of it."""
-        for at in range(0, len(runs), 10_000):
-            part = runs[at : at + 10_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
-            self.letters.update(zip(part, (ids[i:j] for i, j in zip(ends, ends[1:]))))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        return self.wholes([text])[0]
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for part in portions(texts, WHOLE_PORTION):
+            found = self.tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4").tobytes() for x in found]
+        return out
+
+    def pieces(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of lower-case letters, one piece each."""
+        model, out = self.model.tokenize, []
+        for run in runs:
+            ids = [x.id for x in model(symbols(run))]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def learn(self, own: list[str]) -> None:
         if len(self.letters) > CACHE_WORDS:
             self.letters.clear()
         if len(self.marks) > CACHE_WORDS // 10:
             self.marks = {"": b""}
-        own = list(words)
         parts = PLAIN.findall("\n".join(own).lower()) if own else []  # no word has a line end
-        plain = [i for i, (run, _) in enumerate(parts) if run]
-        for i in set(range(len(own))).difference(plain):
-            self.words[own[i]] = self.whole(own[i])
+        plain = [i for i, (run, _) in enumerate(parts) if run and len(own[i]) <= KEPT_LENGTH]
+        rest = [w for w, (run, _) in zip(own, parts) if not run or len(w) > KEPT_LENGTH]
+        self.words.update(zip(rest, self.wholes(rest)))
         runs, marks = [parts[i][0] for i in plain], [parts[i][1] for i in plain]
-        self.learn_letters(list(set(runs).difference(self.letters)))
-        for mark in set(marks).difference(self.marks):
-            self.marks[mark] = self.whole(mark)
+        new = list(set(runs).difference(self.letters))
+        self.letters.update(zip(new, (self.pieces if self.direct else self.wholes)(new)))
+        new = list(set(marks).difference(self.marks))
+        self.marks.update(zip(new, self.wholes(new)))
         ids = map(add, map(self.letters.__getitem__, runs), map(self.marks.__getitem__, marks))
         self.words.update(zip(map(own.__getitem__, plain), ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and self.odd.search(t) else (t or "").split() for t in texts]
-        fresh = set().union(*(w for w in split if w))
+        words = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
+        flat = words.flatten().dictionary_encode()
+        own = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHE_WORDS:
-            self.learn(fresh)
-        else:
-            self.learn(fresh.difference(self.words))
-        known = self.words
-        return [self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
+            self.words.clear()
+        found = list(map(self.words.get, own))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([own[i] for i in fresh])
+        for i in fresh:
+            found[i] = self.words[own[i]] if len(own[i]) <= KEPT_LENGTH else self.words.pop(own[i])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        place = flat.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[place])])
+        at = np.repeat(starts[place] - ends[:-1], sizes[place])
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        cuts = (4 * ends[words.offsets.to_numpy()]).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def portions(texts: list[str | None], most: int = PORTION) -> Iterator[slice]:
+    """Slices of texts with about so many characters, or one text, each; all texts are in one."""
+    at = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= most:
+            yield slice(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def encoder_for(vocabulary: str) -> WordEncoder:
@@ -222,10 +272,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, o
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                ids_of = [None if pd.isna(x) else int(x) for x in part["doc_id"]]
-                for doc_id, ids in zip(ids_of, encoder.encode(list(part["text"]))):
+            ids_of = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
+            texts = list(batch["text"])
+            for part in portions(texts):
+                for doc_id, ids in zip(ids_of[part], encoder.encode(texts[part])):
                     for full in packer.place(doc_id, ids + end):
                         rows += rows_of((task << 32) + done, full)
                         done += 1
