@@ -9,9 +9,10 @@ compared by 96 bits of hashes of their words (case and white space aside) over a
 first of a hash, by doc_id and place, stays, and every sentence that any other span of the hash
 covers is removed with the white space that follows it.
 
-Per hash, count and first place are partial sums before the shuffle, so a passage in a third of
-all documents is one row a task; the join that finds its other places is an ordinary equi-join,
-which Spark splits where one hash is hot. The text moves once, to meet its removed places.
+Spans are met in chunks of ``CHUNK`` first. Within a chunk only the first place of a hash may be the
+first of all, and it alone moves; the others are removed whatever the other chunks hold. So a span moves
+once at most, and a passage in a third of all documents is one row a chunk. The text moves once, to meet
+its removed places.
 
 Defined results: a null text stays null and an empty one empty; a text that is repeated whole
 becomes empty in the later documents; rows that share both id and text are one document and get
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_or_last, need, ship, stage
@@ -36,6 +37,8 @@ ship(__name__)
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONE_WORDS = 40
+#: Spans that a Python worker holds at once, some 100 bytes each with what orders them; those of one very long text may be more.
+CHUNK = 500_000
 BREAK = re.compile(r"(?<=[.!?。！？])\s+|\s*\n\s*")
 FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -88,31 +91,67 @@ def span_hashes(text: str, min_sentences: int, min_words: int, lone_words: int)
     return out[0], out[1] >> 32, first, last
 
 
-def spans_of(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
-    """(hash, more, doc_id, key, first, last) for every span; key is a hash that tells texts of one id apart, null ids are LAST_ID."""
+def _places(hashes: np.ndarray, more: np.ndarray, ids: np.ndarray, keys: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every span of a chunk: whether a place before it, by id, key and first sentence, has its hash, and whether the same place stands here again."""
+    order = np.lexsort((firsts, keys, ids, more, hashes))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def as_before(*columns: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        out[1:] = np.logical_and.reduce([np.diff(c[order]) == 0 for c in columns])
+        return out
+
+    alike = as_before(hashes, more)
+    again = alike & as_before(ids, keys, firsts)
+    moves = np.cumsum(alike & ~again)  # grows where a hash goes on at another place
+    starts = np.maximum.accumulate(np.where(alike, 0, np.arange(len(order))))
+    later = np.zeros(len(order), bool)
+    twice = np.zeros(len(order), bool)
+    later[order] = moves > moves[starts]
+    twice[order] = again
+    return later, twice
+
+
+def spans_of(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS, chunk: int = CHUNK) -> DataFrame:
+    """(hash, more, doc_id, key, first, last, later) for every span; key is a hash that tells texts of one id apart, null ids are LAST_ID.
+
+    later: the span's chunk has an earlier place of its hash, which is 0 then. A place stands once a chunk.
+    """
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        found, size = [], 0
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                found = [span_hashes(t or "", min_sentences, min_words, lone_words) for t in part["text"]]
-                sizes = [len(x[0]) for x in found]
-                columns = [np.concatenate(x) for x in zip(*found)]
-                yield pd.DataFrame(
-                    {"hash": columns[0], "more": columns[1].astype(np.int32), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "key": np.repeat(part["key"].to_numpy(), sizes), "first": columns[2].astype(np.int32), "last": columns[3].astype(np.int32)}
-                )
+            for t, doc_id, key in zip(batch["text"], batch["doc_id"].to_numpy(), batch["key"].to_numpy()):
+                hashes, more, first, last = span_hashes(t or "", min_sentences, min_words, lone_words)
+                if size and size + len(hashes) > chunk:
+                    yield found
+                    found, size = [], 0
+                if len(hashes):
+                    found.append((hashes, more.astype(np.int32), doc_id, key, first.astype(np.int32), last.astype(np.int32)))
+                    size += len(hashes)
+        if found:
+            yield found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in held(batches):
+            sizes = [len(x[0]) for x in found]
+            hashes, more, ids, keys, first, last = (np.concatenate(x) if k not in (2, 3) else np.repeat(np.array(x, np.int64), sizes) for k, x in enumerate(zip(*found)))
+            later, twice = _places(hashes, more, ids, keys, first)
+            hashes[later], more[later] = 0, 0
+            rows = np.flatnonzero(~twice)
+            for at in range(0, len(rows), 50_000):
+                r = rows[at : at + 50_000]
+                yield pd.DataFrame({"hash": hashes[r], "more": more[r], "doc_id": ids[r], "key": keys[r], "first": first[r], "last": last[r], "later": later[r]})
 
     source = docs.select(id_or_last(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return source.mapInPandas(run, "hash long, more int, doc_id long, key long, first int, last int")
+    return source.mapInPandas(run, "hash long, more int, doc_id long, key long, first int, last int, later boolean")
 
 
 def repeats_of(spans: DataFrame) -> DataFrame:
     """(doc_id, key, covered: ranges of sentences) of documents with a span that is not the first of its hash."""
-    at = F.struct("doc_id", "key", "first")
-    firsts = spans.groupBy("hash", "more").agg(F.min(at).alias("home"), F.max(at).alias("other")).where("home <> other").select("hash", "more", "home")
-    firsts = stage(firsts, "firsts")  # read from a table, so that Spark may split a hot hash in the join
-    later = spans.join(firsts, ["hash", "more"]).where(at > F.col("home"))
-    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
+    places = Window.partitionBy("hash", "more").orderBy("doc_id", "key", "first")  # a row for each chunk at most
+    met = spans.where("NOT later").select("*", F.rank().over(places).alias("rank")).where("rank > 1")
+    repeated = spans.where("later").unionByName(met.drop("rank"))
+    return repeated.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
 
 def keep(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:

@@ -116,3 +116,44 @@ def test_later_exact_copies_become_empty(spark, sf_dir):
             copies.append(r.doc_id)
     out = {r.doc_id: r.text for r in spans.without_repeats(docs).collect()}
     assert len(copies) > 10 and all(out[i] == "" for i in copies)
+
+
+def shuffled(spark):
+    """Bytes that completed stages wrote to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_span_moves_once_at_most(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    read = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled(spark)
+    spans.without_repeats(docs).write.format("noop").mode("overwrite").save()
+    moved = shuffled(spark) - before
+    assert 0 < moved < 0.8 * read  # 1.3 when spans moved to be counted and again to be joined
+
+
+def test_chunks_make_no_difference(spark):
+    passage = " ".join(f"Word{i} of the passage number {i} goes on here." for i in range(9))
+    texts = [f"Start {i} is its own. {passage} {passage if i % 3 == 0 else ''} End {i % 5} is shared by some others of these texts." for i in range(40)]
+    rows = [(None if i % 10 == 9 else i % 30, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id long, text string").repartition(2)
+    check(docs)
+
+    def covered(found):
+        return sorted((r.doc_id, r.key, sorted(map(tuple, r.covered))) for r in spans.repeats_of(found).collect())
+
+    want = covered(spans.spans_of(docs))
+    for chunk in (1, 30, 100):
+        assert covered(spans.spans_of(docs, chunk=chunk)) == want
+
+
+def test_a_frequent_passage_is_one_row_a_chunk(spark):
+    passage = " ".join(f"Word{i} of the passage number {i} goes on here." for i in range(9))
+    docs = spark.createDataFrame([(i, f"Start {i} is its own. {passage}") for i in range(1000)], "doc_id long, text string").coalesce(1)
+    found = spans.spans_of(docs).where("NOT later").groupBy("hash", "more").count()
+    assert found.agg(F.max("count")).first()[0] == 1
+    assert spans.without_repeats(docs).agg(F.sum("n_removed")).first()[0] == 999 * 9
