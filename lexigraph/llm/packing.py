@@ -41,6 +41,8 @@ OPEN_WINDOWS = 32
 END_ID = 2
 MERGE_TASKS = 64
 CACHE_WORDS = 1_500_000
+#: Of a counter; its words have numbers only, but its query has little memory left beside the JVM's.
+COUNTED_WORDS = 250_000
 #: Longer words, such as lines of a script without spaces, are encoded each time they come.
 KEPT_LENGTH = 64
 #: Characters of text that are encoded together, and of those that pass the whole tokenizer at once.
@@ -76,6 +78,8 @@ class WordEncoder:
     tokenizer.
     """
 
+    most, nothing = CACHE_WORDS, b""
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
@@ -84,9 +88,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.words: dict = {}
+        self.letters: dict = {}
+        self.marks: dict = {"": self.nothing}
         single = [run for run, _ in PLAIN.findall("\n".join(map(chr, range(0x250))).lower()) if run]
         self.direct = all(self.before_model(x) == [symbols(x)] for x in [*single, "".join(single)])
 
@@ -114,10 +118,10 @@ class WordEncoder:
         return out
 
     def learn(self, own: list[str]) -> None:
-        if len(self.letters) > CACHE_WORDS:
+        if len(self.letters) > self.most:
             self.letters.clear()
-        if len(self.marks) > CACHE_WORDS // 10:
-            self.marks = {"": b""}
+        if len(self.marks) > self.most // 10:
+            self.marks = {"": self.nothing}
         parts = PLAIN.findall("\n".join(own).lower()) if own else []  # no word has a line end
         plain = [i for i, (run, _) in enumerate(parts) if run and len(own[i]) <= KEPT_LENGTH]
         rest = [w for w, (run, _) in zip(own, parts) if not run or len(w) > KEPT_LENGTH]
@@ -130,28 +134,49 @@ class WordEncoder:
         ids = map(add, map(self.letters.__getitem__, runs), map(self.marks.__getitem__, marks))
         self.words.update(zip(map(own.__getitem__, plain), ids))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def look_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list]:
+        """Where the words of each text begin and end, which distinct word stands at each place, and what is known of the distinct words."""
         words = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.string()))
         flat = words.flatten().dictionary_encode()
         own = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most:
             self.words.clear()
         found = list(map(self.words.get, own))
         fresh = [i for i, ids in enumerate(found) if ids is None]
         self.learn([own[i] for i in fresh])
         for i in fresh:
             found[i] = self.words[own[i]] if len(own[i]) <= KEPT_LENGTH else self.words.pop(own[i])
+        return words.offsets.to_numpy(), flat.indices.to_numpy(), found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        offsets, place, found = self.look_up(texts)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         starts = np.cumsum(sizes) - sizes
-        place = flat.indices.to_numpy()
         ends = np.concatenate([[0], np.cumsum(sizes[place])])
         at = np.repeat(starts[place] - ends[:-1], sizes[place])
         at += np.arange(len(at))
         ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
-        cuts = (4 * ends[words.offsets.to_numpy()]).tolist()
+        cuts = (4 * ends[offsets]).tolist()
         return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
+class WordCounter(WordEncoder):
+    """How many ids texts have: a word's number of ids is kept in place of its ids."""
+
+    most, nothing = COUNTED_WORDS, 0
+
+    def wholes(self, texts: list[str]) -> list[int]:
+        return [len(ids) // 4 for ids in super().wholes(texts)]
+
+    def pieces(self, runs: list[str]) -> list[int]:
+        return [len(self.model.tokenize(symbols(run))) for run in runs]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        offsets, place, found = self.look_up(texts)
+        ends = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[place])])
+        return np.diff(ends[offsets]).tolist()
+
+
 def portions(texts: list[str | None], most: int = PORTION) -> Iterator[slice]:
     """Slices of texts with about so many characters, or one text, each; all texts are in one."""
     at = held = 0
@@ -164,12 +189,12 @@ def portions(texts: list[str | None], most: int = PORTION) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def encoder_for(vocabulary: str) -> WordEncoder:
-    """The encoder of this Python process, which keeps what it learned from one task to the next."""
+def encoder_for(vocabulary: str, kind: type = WordEncoder) -> WordEncoder:
+    """The encoder, or counter, of this Python process, which keeps what it learned from one task to the next."""
     kept = sys.modules.setdefault("_lexigraph_encoders", types.ModuleType("_lexigraph_encoders")).__dict__
-    if vocabulary not in kept:
-        kept[vocabulary] = WordEncoder(vocabulary)
-    return kept[vocabulary]
+    if (key := f"{kind.__name__} {vocabulary}") not in kept:
+        kept[key] = kind(vocabulary)
+    return kept[key]
 
 
 class Packer:

@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, need, scratch_path, ship, stage
-from .packing import default_vocabulary, encoder_for
+from .packing import WordCounter, default_vocabulary, encoder_for, portions
 
 ship(__name__)
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 WORDS_V1 = "words-v1"
+#: Characters of text that are counted together.
+PORTION = 1_000_000
 
 
 def estimate(text: Column) -> Column:
@@ -54,10 +56,10 @@ def vocabulary_count(text: Column, vocabulary: str | None = None) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = encoder_for(path if Path(path).exists() else default_vocabulary())
+        counter = encoder_for(path if Path(path).exists() else default_vocabulary(), WordCounter)
         for part in texts:
             held = part.tolist()
-            yield pd.Series([len(ids) // 4 for at in range(0, len(held), 256) for ids in encoder.encode(held[at : at + 256])], dtype="int64")
+            yield pd.Series([n for some in portions(held, PORTION) for n in counter.count(held[some])], dtype="int64")
 
     return run(text)
 

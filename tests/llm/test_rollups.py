@@ -1,6 +1,8 @@
 import re
+import sys
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,6 +75,21 @@ def test_odd_rows(spark):
     assert rollups.document_rollups(no_documents(spark)).collect() == []
 
 
+def test_counting_keeps_few_words(monkeypatch):
+    """Words that never come again don't fill a worker's memory; those that were dropped are counted again."""
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda run: lambda text: run)
+    monkeypatch.delitem(sys.modules, "_lexigraph_encoders", raising=False)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(700_000)]
+    texts = [" ".join(words[at : at + 700]) for at in range(0, len(words), 700)]
+    parts = [pd.Series([None, "", *texts]), pd.Series(texts[:2])]
+    got = [n for part in rollups.vocabulary_count(None)(iter(parts)) for n in part]
+    found = Tokenizer.from_file(packing.default_vocabulary()).encode_batch_fast(texts, add_special_tokens=False)
+    counts = [len(x.ids) for x in found]
+    assert got == [0, 0, *counts, *counts[:2]]
+    kept = [len(x.words) + len(x.letters) for x in vars(sys.modules["_lexigraph_encoders"]).values() if hasattr(x, "words")]
+    assert len(kept) == 1 and kept[0] < 850_000
+
+
 def test_documents(spark, sf_dir):
     """Against counts of the tokenizers library, text by text."""
     docs = table(spark, sf_dir, "documents")
