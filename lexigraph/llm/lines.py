@@ -150,6 +150,11 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def line_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n: lines) of the rows of ``line_table``."""
+    return docs.where("text IS NOT NULL").select(id_or_last(F.col("doc_id")).alias("doc_id"), text_key(F.col("text")).alias("key"), F.size(F.split("text", "\n", -1)).alias("n"))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -193,9 +198,8 @@ def overlaps(texts: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
 
 def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, key, gone: array of booleans by line) of documents that lose lines."""
-    rows = stage(line_table(docs), "lines")
     texts = stage(
-        rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("words").alias("words")), "texts"
+        line_table(docs).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("words").alias("words")), "texts"
     )
     pairs = overlaps(texts, least)
     early = texts.select(F.col("doc_id").alias("early"), F.col("hashes").alias("a"))
@@ -225,7 +229,7 @@ def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
 
     own = marks.mapInPandas(mask, "doc_id long, key binary, gone array<boolean>")
     copies = (
-        rows.select("doc_id", "key", F.size("hashes").alias("n")).distinct()
+        line_counts(docs).distinct()
         .join(texts.select("key", F.col("doc_id").alias("home")), "key").where("doc_id > home")
         .select("doc_id", "key", F.array_repeat(F.lit(True), F.col("n")).alias("gone"))
     )
@@ -233,23 +237,23 @@ def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
 
 
 def _met(docs: DataFrame, least: int) -> DataFrame:
-    """(doc: the row, text, gone) of every row of docs."""
+    """(doc: the row, gone) of every row of docs. A row has its text once, in doc: what moves and is sorted here is most of the stage's memory."""
     marks = deletions(docs.select("doc_id", "text"), least).toDF("at", "mark", "gone")
-    rows = docs.select(packed(docs).alias("doc"), "text", id_or_last(F.col("doc_id")).alias("own_at"), text_key(F.col("text")).alias("own_key"))
-    return rows.join(marks, (F.col("own_at") == F.col("at")) & (F.col("own_key") == F.col("mark")), "left").select("doc", "text", "gone")
+    rows = docs.select(packed(docs).alias("doc"), id_or_last(F.col("doc_id")).alias("own_at"), text_key(F.col("text")).alias("own_key"))
+    return rows.join(marks, (F.col("own_at") == F.col("at")) & (F.col("own_key") == F.col("mark")), "left").select("doc", "gone")
 
 
 def _kept():
-    lines = F.split("text", "\n", -1)
+    lines = F.split("doc.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col("gone"), i)), "\n")
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept)
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """doc_id, text without deleted lines, n_lines (before), n_removed of every row of docs (doc_id, text)."""
     need(docs, "doc_id", "text")
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("gone"), lambda x: x)))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
+    n_lines = F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(F.size(F.split("doc.text", "\n", -1)))
     return _met(docs.select("doc_id", "text"), least).select("doc.doc_id", _kept().alias("text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
@@ -257,7 +261,7 @@ def deduplicated(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """docs with deleted lines gone from text and n_chars set anew; documents that lose all their words this way are dropped."""
     need(docs, "doc_id", "text")
     rows = _met(docs, least).withColumn("left", _kept())
-    empty = F.col("gone").isNotNull() & (F.regexp_count("left", F.lit(WORD)) == 0) & (F.regexp_count("text", F.lit(WORD)) > 0)
+    empty = F.col("gone").isNotNull() & (F.regexp_count("left", F.lit(WORD)) == 0) & (F.regexp_count("doc.text", F.lit(WORD)) > 0)
     rows = rows.where(~F.coalesce(empty, F.lit(False)))
     doc = F.col("doc").withField("text", F.col("left"))
     if "n_chars" in docs.columns:

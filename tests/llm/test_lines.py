@@ -191,3 +191,15 @@ def test_clashing_columns_keep_their_values(spark):
     rows = sorted(lines.deduplicated(docs).collect(), key=lambda r: r[0])
     assert [r.text for r in rows] == [f"{same}own text 0", "own text 1", "own text 2"] and [r.n_chars for r in rows] == [60, 10, 10]
     assert [tuple(r)[3:] for r in rows] == [tuple(f"{n}{i}" for n in names[3:]) for i in range(3)]
+
+
+def test_a_row_moves_with_its_text_once(spark, sf_dir):
+    """Each row is joined to its deletions with its own strings only: text, lang and source; it had the text twice."""
+    docs = table(spark, sf_dir, "documents")
+    assert [k for _, k in docs.dtypes].count("string") == 3
+    node = lines.deduplicated(docs)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    moved = node.children().apply(0).output()
+    kinds = [moved.apply(i).dataType().simpleString() for i in range(moved.size())]
+    assert ",".join(kinds).count("string") == 3
