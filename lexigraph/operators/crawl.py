@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lexigraph.functions.web import host_of, is_allowed, normalize_url, parse_robots, read_page, robots_rules, url_host, url_path
 from lexigraph.operators.graph import resolve_links
@@ -100,14 +101,16 @@ def fetch_robots(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(url, title, text, links) of pages (url, body)."""
+    """title, text, links of pages (url, body), beside their other columns. A row stays a row, also where several have one URL."""
+    kept = [c for c in pages.columns if c != "body"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [read_page(b, u) for u, b in zip(batch["url"], batch["body"])]
-            yield pd.DataFrame({"url": batch["url"], "title": [t for t, _, _ in found], "text": [x for _, x, _ in found], "links": [k for _, _, k in found]}, dtype=object)
+            yield batch[kept].assign(**{name: pd.Series([x[i] for x in found], dtype=object, index=batch.index) for i, name in enumerate(("title", "text", "links"))})
 
-    return pages.select("url", "body").mapInPandas(run, "url string, title string, text string, links array<string>")
+    schema = StructType([pages.schema[c] for c in kept]).add("title", "string").add("text", "string").add("links", ArrayType(StringType()))
+    return pages.mapInPandas(run, schema)
 
 
 def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None, known: DataFrame | None = None, first_id: int = 0) -> CrawlResult:
@@ -133,7 +136,7 @@ def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: C
         kind = F.lower(F.coalesce("content_type", F.lit("")))
         readable = F.coalesce("ok", F.lit(False)) & (kind.contains("text/html") | kind.contains("text/plain")) & F.col("body").isNotNull()
         pages = got.where(readable).select("url", "path", F.octet_length("body").alias("bytes"), "body")
-        pages = stage(pages.drop("body").join(parsed_pages(pages), "url").join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
+        pages = stage(parsed_pages(pages).join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
         fresh = F.col("old").isNull() & (F.trim("text") != "")
         left = config.max_pages - metrics["indexed"]
         last = pages.where(fresh).orderBy("path").select("path").limit(left).agg(F.count("*").alias("n"), F.max("path").alias("path")).first()

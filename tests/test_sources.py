@@ -11,6 +11,7 @@ from lexigraph import cli, server
 from lexigraph.functions import codec, web
 from lexigraph.operators import crawl
 from lexigraph.operators import index as indexes
+from lexigraph.plans import catalog
 from lexigraph.plans.engine import SearchEngine, printed
 from lexigraph.sources import files, tables
 from lexigraph.streaming import ingest
@@ -235,3 +236,16 @@ def test_rows_are_numbered_in_order(spark):
     rows = spark.range(1000).withColumn("x", (F.col("id") * 7919) % 1009).repartition(7)
     got = [(r.place, r.x) for r in tables.numbered(rows, "x").orderBy("place").collect()]
     assert [p for p, _ in got] == list(range(1000)) and got == sorted(got, key=lambda g: g[1])
+
+
+def two_captures(spark, path):
+    """A pages table in which two rows have one URL."""
+    page = '<title>{0}</title><p>{0} words</p><a href="/{0}">x</a>'
+    rows = [(1, "http://h/p", page.format("a")), (2, "http://h/p", page.format("b")), (3, "http://h/q#top", page.format("c"))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+def test_links_of_pages_of_one_url(spark, tmp_path):
+    got = catalog.page_links(spark, two_captures(spark, tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "http://h/a"), (2, 0, "http://h/b"), (3, 0, "http://h/c")]
