@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, quote, urljoin, urlsplit, urlunsplit
 
@@ -79,10 +81,22 @@ class _Page(HTMLParser):
             self.nodes.append(data.strip())
 
 
-def read_page(html: str, url: str, reverse: bool = False) -> tuple[str, str, list[str]]:
-    """Title (the URL if there is none), text and normalized links. reverse: text nodes from last to first."""
+_REFERENCE = re.compile(r"&(#?\w+;)?")
+
+
+def only_ended(html: str) -> str:
+    """html in which a reference that no semicolon ends, such as one that was cut, stands for its own characters."""
+    known = lambda name: name is not None and (name[0] == "#" or name in html5)
+    return _REFERENCE.sub(lambda m: m[0] if known(m[1]) else f"&amp;{m[1] or ''}", html)
+
+
+def read_page(html: str, url: str, reverse: bool = False, ended: bool = False) -> tuple[str, str, list[str]]:
+    """Title (the URL if there is none), text and normalized links. reverse: text nodes from last to first.
+
+    ended: only references that a semicolon ends are replaced; browsers also read some without it.
+    """
     page = _Page()
-    page.feed(html)
+    page.feed(only_ended(html) if ended else html)
     page.close()
     nodes = page.nodes[::-1] if reverse else page.nodes
     links = [x for x in (resolve(url, h) for h in page.links) if x]

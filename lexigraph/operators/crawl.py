@@ -100,13 +100,13 @@ def fetch_robots(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
     return asked.join(found, "url", "left").select("host", F.coalesce("disallowed", F.array().cast("array<string>")).alias("disallowed"))
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """title, text, links of pages (url, body), beside their other columns. A row stays a row, also where several have one URL."""
+def parsed_pages(pages: DataFrame, ended: bool = False) -> DataFrame:
+    """title, text, links of pages (url, body), beside their other columns. A row stays a row, also where several have one URL. ended: as in ``read_page``."""
     kept = [c for c in pages.columns if c != "body"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [read_page(b, u) for u, b in zip(batch["url"], batch["body"])]
+            found = [read_page(b, u, ended=ended) for u, b in zip(batch["url"], batch["body"])]
             yield batch[kept].assign(**{name: pd.Series([x[i] for x in found], dtype=object, index=batch.index) for i, name in enumerate(("title", "text", "links"))})
 
     schema = StructType([pages.schema[c] for c in kept]).add("title", "string").add("text", "string").add("links", ArrayType(StringType()))

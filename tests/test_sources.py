@@ -249,3 +249,11 @@ def two_captures(spark, path):
 def test_links_of_pages_of_one_url(spark, tmp_path):
     got = catalog.page_links(spark, two_captures(spark, tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, "http://h/a"), (2, 0, "http://h/b"), (3, 0, "http://h/c")]
+
+
+def test_parsed_pages_of_one_url_and_cut_references(spark, tmp_path):
+    rows = catalog.page_parse(spark, two_captures(spark, tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", "a a words x ", 1), (2, "b", "b b words x ", 1), (3, "c", "c c words x ", 1)]
+    cut = "<title>a&amp;&amp</title>&eacute; &lt &#38; &nosuch; & &am"
+    assert web.read_page(cut, "http://h/", ended=True)[:2] == ("a&&amp", "a&&amp é &lt & &nosuch; & &am ")
+    assert web.read_page(cut, "http://h/")[0] == "a&&"
