@@ -35,6 +35,7 @@ class CrawlConfig:
     same_domain_only: bool = True
     user_agent: str = "lexigraph-crawler"
     timeout_secs: int = 10
+    ended_references: bool = False  # ``ended`` of ``read_page``
 
 
 @dataclass
@@ -46,10 +47,11 @@ class CrawlResult:
 
 
 def table_fetcher(pages: DataFrame) -> Fetcher:
-    """Pages from a table (url, html), for tests and for crawls of an archive."""
+    """Pages from a table (url, html), for tests and for crawls of an archive. A URL has one answer: of several the least."""
 
     def fetch(frontier: DataFrame) -> DataFrame:
-        return frontier.select("url").join(pages.select("url", "html"), "url", "left").select(
+        found = frontier.select("url").join(pages.select("url", "html"), "url", "left").groupBy("url").agg(F.min("html").alias("html"))
+        return found.select(
             "url", F.col("html").isNotNull().alias("ok"), F.lit("text/html").alias("content_type"), F.col("html").alias("body")
         )
 
@@ -136,7 +138,7 @@ def crawl(spark: SparkSession, seeds: Sequence[str], fetcher: Fetcher, config: C
         kind = F.lower(F.coalesce("content_type", F.lit("")))
         readable = F.coalesce("ok", F.lit(False)) & (kind.contains("text/html") | kind.contains("text/plain")) & F.col("body").isNotNull()
         pages = got.where(readable).select("url", "path", F.octet_length("body").alias("bytes"), "body")
-        pages = stage(parsed_pages(pages).join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
+        pages = stage(parsed_pages(pages, config.ended_references).join(known.select("url", F.lit(True).alias("old")), "url", "left"), "pages")
         fresh = F.col("old").isNull() & (F.trim("text") != "")
         left = config.max_pages - metrics["indexed"]
         last = pages.where(fresh).orderBy("path").select("path").limit(left).agg(F.count("*").alias("n"), F.max("path").alias("path")).first()

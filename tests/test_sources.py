@@ -257,3 +257,13 @@ def test_parsed_pages_of_one_url_and_cut_references(spark, tmp_path):
     cut = "<title>a&amp;&amp</title>&eacute; &lt &#38; &nosuch; & &am"
     assert web.read_page(cut, "http://h/", ended=True)[:2] == ("a&&amp", "a&&amp é &lt & &nosuch; & &am ")
     assert web.read_page(cut, "http://h/")[0] == "a&&"
+
+
+def test_crawl_of_an_archive_with_captures_of_one_url(spark, tmp_path):
+    """Each row is a page, as in the SQL: of one URL, on the way and elsewhere, and with a cut reference."""
+    page = "<title>{0}</title><p>{0} words &amp</p>"
+    urls = ["http://h/p#x", "http://h/p", "http://h/q", *(f"http://h/{i}" for i in range(6)), "http://h/q"]
+    rows = [(i, u, page.format(f"t{i}")) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in catalog.crawl_archive(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(i, f"http://h/{p}", f"t{i}", len(f"t{i} t{i} words &amp next ")) for i, p in enumerate("ppq0")]
