@@ -1,23 +1,36 @@
 """The positional inverted index as tables.
 
 ``postings(term, doc_id, tf, dl, positions)`` carries the document's length, so that scoring needs
-no join with the documents. Building it is one shuffle, on (term, doc_id), of partly aggregated
-rows; stems are computed on the way, in the scan's stage.
+no join with the documents. A document's postings are made where its text is read: its words come as
+one array, are grouped in Arrow batches, and each distinct word of a batch is stemmed once.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.functions.text import kept_words_column, with_stem
+from lexigraph.functions import text
+from lexigraph.functions.text import kept_words_column, stem_word, with_stem
+
+for _module in (sys.modules[__name__], text):
+    cloudpickle.register_pickle_by_value(_module)
 
 POSTINGS = "term string, doc_id bigint, tf int, dl int, positions array<int>"
 DOC_STATS = "doc_id bigint, dl int"
 TERMS = "term string, df bigint"
 CORPUS_STATS = "n bigint, total_len bigint, avgdl double"
+#: Tokens that are grouped at a time, or one document if it has more; stems that a worker keeps.
+GROUPED_TOKENS = 400_000
+KEPT_STEMS = 250_000
 
 
 @dataclass
@@ -64,11 +77,51 @@ def doc_stats(documents: DataFrame, body: str = "body") -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(kept_words_column(F.col(body))).alias("dl"))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (doc_id, words), document by document."""
+    stems: dict[str, str] = {}
+    for batch in batches:
+        ids, words = batch.column("doc_id"), batch.column("words")
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(lengths), 0
+        while start < len(lengths):
+            begun = ends[start] - lengths[start]
+            stop = max(start + 1, int(np.searchsorted(ends, begun + GROUPED_TOKENS, "right")))
+            own = lengths[start:stop]
+            if total := int(own.sum()):
+                coded = words.slice(start, stop - start).flatten().dictionary_encode()
+                if len(stems) > KEPT_STEMS:
+                    stems.clear()
+                codes: dict[str, int] = {}
+                of_word = [codes.setdefault(stems.get(w) or stems.setdefault(w, stem_word(w)), len(codes)) for w in coded.dictionary.to_pylist()]
+                term = np.array(of_word, np.int64)[coded.indices.to_numpy()]
+                doc = np.repeat(np.arange(len(own)), own)
+                pos = np.arange(total) - np.repeat(ends[start:stop] - own - begun, own)
+                key = doc * len(codes) + term
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                bounds = np.append(firsts, total)
+                at, term = doc[order[firsts]], term[order[firsts]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(codes), pa.string()).take(pa.array(term)), ids.take(pa.array(start + at)),
+                        pa.array(np.diff(bounds).astype(np.int32)), pa.array(own[at].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(pos[order].astype(np.int32))),
+                    ],
+                    ["term", "doc_id", "tf", "dl", "positions"],
+                )
+            start = stop
+
+
 def build(documents: DataFrame, body: str = "body") -> Index:
-    postings = (
-        tokens(documents, body).groupBy("term", "doc_id")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
+    """The index of documents. Ids are counted first: only where one occurs more than once, its rows' postings are put together, by a shuffle."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), kept_words_column(F.col(body)).alias("words"))
+    postings = rows.mapInArrow(_grouped, POSTINGS)
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        postings = postings.groupBy("term", "doc_id").agg(
+            F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+        )
     return Index(postings, doc_stats(documents, body))
 
 

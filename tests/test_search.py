@@ -7,6 +7,7 @@ import pytest
 from lexigraph.functions.text import deletions, tokenize_text
 from lexigraph.operators import boolean, fuzzy, graph, ranking
 from lexigraph.operators import index as indexes
+from lexigraph.plans import catalog
 
 DOCS = "doc_id bigint, path string, title string, body string"
 
@@ -181,3 +182,24 @@ def test_pagerank_with_split_hubs(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_LINKS", 5)
     got = {r.doc_id: r.pr for r in graph.pagerank(nodes, frame, iterations=7).collect()}
     assert got == {i: pytest.approx(p) for i, p in pr.items()}
+
+
+def test_postings_are_made_without_a_shuffle(spark, monkeypatch):
+    """Also of documents over a batch's tokens, and of none; rows of one id are put together."""
+    bodies = ["hash tables hash", "", "hashes of trees", None, "tree"]
+    want = {("hash", 0): (2, 3, [0, 2]), ("tabl", 0): (1, 3, [1]), ("hash", 2): (1, 2, [0]), ("tree", 2): (1, 2, [1]), ("tree", 4): (1, 1, [0])}
+    made = lambda frame: {(r.term, r.doc_id): (r.tf, r.dl, r.positions) for r in indexes.build(frame).postings.collect()}
+    for most in (1, 400_000):
+        monkeypatch.setattr(indexes, "GROUPED_TOKENS", most)
+        assert made(documents(spark, *bodies)) == want
+    plan = indexes.build(documents(spark, *bodies)).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    twice = made(spark.createDataFrame([(7, None, None, "hash tree"), (7, None, None, "tree")], DOCS))
+    assert twice["tree", 7][0] == 2 and twice["tree", 7][2] == [0, 1] and twice["hash", 7][2] == [0]
+
+
+def test_stored_tables_are_written_when_asked_for(spark):
+    index = catalog.Stored(indexes.build(documents(spark, "hash table", "table hash table")))
+    assert [r.doc_id for r in ranking.phrase_documents(index, tokenize_text("hash table")).orderBy("doc_id").collect()] == [0, 1]
+    assert "stored_terms" not in vars(index) and "stored_totals" not in vars(index)
+    assert indexes.stats(index).first().total_postings == 4 and index.doc_frequency("hash") == 2
