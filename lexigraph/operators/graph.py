@@ -10,6 +10,7 @@ from lexigraph.sources.tables import stage
 DAMPING = 0.85
 ITERATIONS = 30
 HUB_LINKS = 1_000_000
+PART_LINKS = 2_000_000
 PER_JOB = 2
 
 
@@ -34,34 +35,63 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     """(doc_id, pr) of nodes (id) under edges (src, dst), by a fixed number of iterations.
 
     A node gives pr / out_degree along each of its links; what it gives to itself is lost. Nodes
-    without links give to all. Links stay cached in partitions by source, those of a hub in several
-    (``HUB_LINKS`` each), so an iteration moves ranks and partial sums but no links. A job is
-    ``PER_JOB`` iterations; the rank of nodes without links is a broadcast row of the plan. It writes
-    its ranks to the shared folder, which cuts lineage.
+    without links give to all, and all that an iteration needs of them is the sum of their ranks,
+    which is what is left of the sum of all: so only ranks of nodes with links, and links between
+    such nodes, take part in it. Links to the others are followed once, in the last iteration.
+
+    Links stay cached in partitions by source, those of a hub in several (``HUB_LINKS`` each), so an
+    iteration moves ranks and partial sums but no links; partitions are as few as their links allow
+    (``PART_LINKS`` each), as every partition sends a partial sum for each node that it links to. A
+    job is ``PER_JOB`` iterations; it writes its ranks to the shared folder, which cuts lineage.
     """
     spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    degrees = out_degree(nodes, edges).repartition(parts, "id").persist()
-    slices = F.ceil(F.col("out_degree") / HUB_LINKS).cast("int")
-    links = in_links(nodes, edges).join(degrees, F.col("src") == F.col("id"))
-    links = links.select("src", "dst", F.pmod(F.xxhash64("dst"), slices).cast("int").alias("slice")).repartition(parts, "src", "slice").persist()
+    held = []
+
+    def kept(frame: DataFrame) -> DataFrame:
+        held.append(frame.persist())
+        return held[-1]
+
     try:
-        n = degrees.count()
+        n = nodes.count()
         if n == 0:
             return spark.createDataFrame([], "doc_id bigint, pr double")
-        ranks = degrees.select("id", "out_degree", F.lit(1.0 / n).alias("pr"))
+        inside = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("inside")).distinct()
+        passes = F.col("inside").isNotNull() & (F.col("src") != F.col("dst"))  # as in in_links
+        linked = stage(edges.join(inside, "dst", "left").select(F.col("src").alias("id"), "dst", passes.alias("passes")), "links")
+        passing = linked.where("passes").select("id", "dst")
+        slices = F.ceil(F.col("out_degree") / HUB_LINKS).cast("int")
+        core = kept(linked.groupBy("id").agg(F.count("*").alias("out_degree"), F.count_if("passes").alias("passed")).join(nodes.select("id"), "id"))
+        within = passing.join(core.select(F.col("id").alias("dst")), "dst", "left_semi").join(core.select("id", "out_degree"), "id")
+        total = core.agg(F.coalesce(F.sum("passed"), F.lit(0))).first()[0]
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-total // PART_LINKS))))
+        links = kept(within.select(F.col("id").alias("src"), "dst", F.pmod(F.xxhash64("dst"), slices).cast("int").alias("slice")).repartition(parts, "src", "slice"))
+        ranks = core.select("*", F.lit(1.0 / n).alias("pr"), F.lit(1.0).alias("all"))
+        base = (1 - damping) / n
         for turn in range(1, iterations + 1):
-            loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pr"))), F.lit(0.0)).alias("loose"))
-            gives = ranks.where("out_degree > 0").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), (F.col("pr") / F.col("out_degree")).alias("share"))
-            given = links.join(gives, ["src", "slice"]).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-            pr = (1 - damping) / n + damping * (F.col("loose") / n + F.coalesce("got", F.lit(0.0)))
-            ranks = degrees.join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out_degree", pr.alias("pr"))  # a single row
-            if turn == iterations or turn % PER_JOB == 0:
+            last = turn == iterations
+            # what nodes without links have: the sum of all ranks less that of the others
+            sums = ranks.agg(F.coalesce(F.max("all"), F.lit(1.0)).alias("all"), F.coalesce(F.sum("pr"), F.lit(0.0)).alias("some"), F.coalesce(F.sum(F.col("pr") * F.col("passed") / F.col("out_degree")), F.lit(0.0)).alias("sent"))
+            loose = sums.select((F.col("all") - F.col("some")).alias("loose"), "sent")
+            share = (F.col("pr") / F.col("out_degree")).alias("share")
+            if last:
+                given = passing.join(ranks.select("id", share), "id")
+            else:
+                gives = ranks.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), share)
+                given = links.join(gives, ["src", "slice"])
+            given = given.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+            pr = base + damping * (F.col("loose") / n + F.coalesce("got", F.lit(0.0)))
+            every = nodes.select("id") if last else core
+            after = every.join(given, "id", "left").crossJoin(F.broadcast(loose))  # a single row
+            if last:
+                return stage(after.select(F.col("id").alias("doc_id"), pr.alias("pr")), "ranks")
+            all_ = 1 - damping + damping * (F.col("loose") + F.col("sent"))
+            ranks = after.select("id", "out_degree", "passed", pr.alias("pr"), all_.alias("all"))
+            if turn % PER_JOB == 0 or turn == iterations - 1:
                 ranks = stage(ranks, "ranks")
-        return ranks.select(F.col("id").alias("doc_id"), "pr")
+        return stage(nodes.select(F.col("id").alias("doc_id"), F.lit(1.0 / n).alias("pr")), "ranks")
     finally:
-        links.unpersist()
-        degrees.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
 def summary(pageranks: DataFrame) -> DataFrame:

@@ -203,3 +203,19 @@ def test_stored_tables_are_written_when_asked_for(spark):
     assert [r.doc_id for r in ranking.phrase_documents(index, tokenize_text("hash table")).orderBy("doc_id").collect()] == [0, 1]
     assert "stored_terms" not in vars(index) and "stored_totals" not in vars(index)
     assert indexes.stats(index).first().total_postings == 4 and index.doc_frequency("hash") == 2
+
+
+def test_ranks_of_nodes_without_links_are_made_once(spark, monkeypatch):
+    """Iterations stage nodes with links only; links to itself, out of the nodes and from outside included."""
+    links = {(0, 1), (1, 0), (1, 2), (2, 2), (2, 3), (3, 99), (98, 3), (0, 5), (1, 6)}
+    ids, staged = range(9), []
+    own = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda frame, kind: staged.append((kind, out := own(frame, kind))) or out)
+    got = graph.pagerank(spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(sorted(links), "src bigint, dst bigint"), iterations=5)
+    degree = Counter(s for s, _ in links)
+    want = dict.fromkeys(ids, 1 / 9)
+    for _ in range(5):
+        loose = sum(x for i, x in want.items() if not degree[i])
+        want = {i: 0.15 / 9 + 0.85 * (loose / 9 + sum(want[s] / degree[s] for s, d in links if d == i != s and s in want)) for i in ids}
+    assert {r.doc_id: r.pr for r in got.collect()} == {i: pytest.approx(x, abs=1e-12) for i, x in want.items()}
+    assert [frame.count() for kind, frame in staged if kind == "ranks"] == [4, 4, 9]
