@@ -66,11 +66,19 @@ def list_length(positions: Column) -> Column:
 
 #: Bits of a document's id below its stretch; a term's list is cut there, so that no task sorts a whole one.
 STRETCH_BITS = 20
+#: Rows that a task sorts, on average; a stretch is at most 1 << STRETCH_BITS.
+SORTED_ROWS = 1_000_000
 
 
 def id_gaps(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, gap): each document's distance from the term's one before."""
+    """(term, doc_id, gap): each document's distance from the term's one before.
+
+    Rows are counted, which a stored table answers from its footers, and dealt to as many tasks as they
+    fill, so that a task's sort is as large in any corpus.
+    """
     rows = postings.select("term", "doc_id", F.shiftright("doc_id", STRETCH_BITS).alias("stretch"))
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SORTED_ROWS))
+    rows = rows.repartition(parts, "term", "stretch")
     before = F.lag("doc_id").over(Window.partitionBy("term", "stretch").orderBy("doc_id"))
     # the first of a stretch follows the last of the term's stretch before
     ends = rows.groupBy("term", "stretch").agg(F.max("doc_id").alias("end"))

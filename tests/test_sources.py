@@ -267,3 +267,12 @@ def test_crawl_of_an_archive_with_captures_of_one_url(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = [tuple(r) for r in catalog.crawl_archive(spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert got == [(i, f"http://h/{p}", f"t{i}", len(f"t{i} t{i} words &amp next ")) for i, p in enumerate("ppq0")]
+
+
+def test_gaps_are_dealt_by_rows(spark, monkeypatch):
+    """The tasks that sort grow with the rows, not with a setting."""
+    monkeypatch.setattr(codec, "SORTED_ROWS", 10)
+    rows = spark.createDataFrame([(f"t{i % 50}", i) for i in range(500)], "term string, doc_id bigint")
+    gaps = codec.id_gaps(rows)
+    assert "REPARTITION_BY_NUM" in (plan := gaps._jdf.queryExecution().toString()) and ", 50)" in plan
+    assert sorted(map(tuple, gaps.collect())) == sorted((f"t{i % 50}", i, i if i < 50 else 50) for i in range(500))
