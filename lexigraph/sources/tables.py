@@ -118,8 +118,11 @@ def save(path: str, index: Index, documents: DataFrame, edges: DataFrame | None
     postings = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     postings.write.parquet(f"{staged}/postings")
     written = Index(spark.read.schema(POSTINGS).parquet(f"{staged}/postings"), index.doc_stats)
-    terms = written.terms().repartitionByRange("term").sortWithinPartitions("term")
-    frames = {"documents": documents, "doc_stats": index.doc_stats, "terms": terms, "corpus_stats": written.corpus_stats(), "deletions": by_variant(written.terms()), "edges": edges, "pageranks": pageranks}
+    # what a stored index already has of its postings is taken over: neighbourhoods are some forty rows for each term
+    known = index.stored_terms if index.stored_terms is not None else written.terms()
+    near = index.stored_deletions if index.stored_deletions is not None else by_variant(known)
+    terms = known.repartitionByRange("term").sortWithinPartitions("term")
+    frames = {"documents": documents, "doc_stats": index.doc_stats, "terms": terms, "corpus_stats": written.corpus_stats(), "deletions": near, "edges": edges, "pageranks": pageranks}
     for name, frame in frames.items():
         frame = spark.createDataFrame([], SCHEMAS[name]) if frame is None else frame
         frame.write.parquet(f"{staged}/{name}")

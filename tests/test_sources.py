@@ -276,3 +276,15 @@ def test_gaps_are_dealt_by_rows(spark, monkeypatch):
     gaps = codec.id_gaps(rows)
     assert "REPARTITION_BY_NUM" in (plan := gaps._jdf.queryExecution().toString()) and ", 50)" in plan
     assert sorted(map(tuple, gaps.collect())) == sorted((f"t{i % 50}", i, i if i < 50 else 50) for i in range(500))
+
+
+def test_a_loaded_corpus_is_saved_with_its_neighbourhoods(spark, tmp_path, monkeypatch):
+    """They are not made anew; both versions have the same."""
+    path = str(tmp_path / "corpus")
+    docs = spark.createDataFrame([(0, "p", "t", "hash table"), (1, "q", "t", "tree")], tables.SCHEMAS["documents"])
+    tables.save(path, indexes.build(docs), docs)
+    monkeypatch.setattr(tables, "by_variant", None)
+    engine = SearchEngine.load(spark, path)
+    before = sorted(map(tuple, engine.index.stored_deletions.collect()))
+    engine.save(path)
+    assert before and sorted(map(tuple, engine.index.stored_deletions.collect())) == before
